@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, media, near_dedup, packing, secrets
+import corpus_pipeline
+
+from . import bpe, fingerprints, lines, media, near_dedup, packing, quality, secrets, substring_dedup, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
         "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
+        "op3_quality": quality.op3_quality,
         "op4_near_dedup": near_dedup.op4_near_dedup,
+        "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_secret_scan": secrets.op7_secret_scan,
+        "op8_i_match": fingerprints.op8_i_match,
         "op9_line_dedup": lines.op9_line_dedup,
         "op10_media_columns": media.op10_media_columns,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": lines.OP9_SQL}
+    found = {"op9_line_dedup": lines.OP9_SQL}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
