@@ -19,7 +19,7 @@ from .common import U64, _arrow_schema, documents, free_shuffles, map_batches, m
 
 #: Bytes of a text that part its terms; A-Z are lowered. Other bytes are part of terms.
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else 32 if chr(c) in string.punctuation or c < 32 else c) for c in range(256))
-LEVELS = 3
+LEVELS = 4
 
 
 @dataclass(frozen=True)

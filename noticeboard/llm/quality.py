@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import operator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,6 +17,8 @@ from .common import documents, held_out, labels, map_batches, texts_of
 
 #: Distinct words whose features or weights a worker remembers.
 CACHE_WORDS = 400_000
+#: Value of a feature of the whole text; those of its distinct words add up to ``Ratings.scale``.
+TEXT_VALUE = 3.0
 _seen: dict[object, dict] = {}
 
 
@@ -31,8 +34,8 @@ class Ratings:
     bits: int = 13
     steps: int = 160
     rate: float = 0.15
-    ridge: float = 1e-5
-    scale: float = 30.0
+    ridge: float = 3e-5
+    scale: float = 20.0
 
 
 def shape(word: str) -> str:
@@ -51,10 +54,12 @@ def word_buckets(word: str, bits: int) -> tuple[int, ...]:
 
 
 def text_buckets(text: str, words: list[str], bits: int) -> tuple[int, ...]:
-    """Buckets of the whole text: its size and how much of it repeats."""
+    """Buckets of the whole text: its size, and how much of it repeats at once, by word and by line."""
     n = len(words)
     lines = [x for x in text.split("\n") if x.strip()]
+    echoes = sum(map(operator.eq, words, words[1:]))
     told = (
+        f"echoes:{math.ceil(10 * echoes / n) if n else 0}",
         f"size:{int(math.log2(n + 1))}",
         f"variety:{int(10 * len(set(words)) / max(1, n))}",
         f"lines:{int(10 * len(set(lines)) / max(1, len(lines)))}",
@@ -77,12 +82,14 @@ def vectors(docs: DataFrame, bits: int, scale: float) -> DataFrame:
             out = {"buckets": [], "values": []}
             for text in texts_of(batch):
                 kept, words = _cache(("buckets", bits)), text.split()
-                for w in words:
+                distinct = sorted(set(words))
+                for w in distinct:
                     if w not in kept:
                         kept[w] = word_buckets(w, bits)
-                counts = np.bincount(np.array([kept[w] for w in words], np.int64).reshape(-1), minlength=1 << bits) * (scale / max(1, len(words)))
+                flat = np.array([kept[w] for w in distinct], np.int64).reshape(-1)
+                counts = np.bincount(flat, minlength=1 << bits) * (scale / max(1, len(distinct)))
                 for b in text_buckets(text, words, bits):
-                    counts[b] += 1.0
+                    counts[b] += TEXT_VALUE
                 at = np.flatnonzero(counts)
                 out["buckets"].append(at.astype(np.int32))
                 out["values"].append(counts[at].astype(np.float32))
@@ -107,13 +114,13 @@ class OrdinalModel:
 
     def latent(self, text: str) -> float:
         kept, words, w, bits = _cache(self.name), text.split(), self.weights, self.conf.bits
-        total = 0.0
-        for word in words:
+        total, distinct = 0.0, sorted(set(words))
+        for word in distinct:
             value = kept.get(word)
             if value is None:
                 value = kept[word] = float(sum(w[b] for b in word_buckets(word, bits)))
             total += value
-        return total * self.conf.scale / max(1, len(words)) + float(sum(w[b] for b in text_buckets(text, words, bits)))
+        return total * self.conf.scale / max(1, len(distinct)) + TEXT_VALUE * float(sum(w[b] for b in text_buckets(text, words, bits)))
 
     def score(self, docs: DataFrame, text: str = "text", at_least: int = 1) -> DataFrame:
         """``docs`` with ``expected_grade`` and ``tail_probability`` = P(grade >= ``at_least``) more.
