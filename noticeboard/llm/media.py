@@ -12,6 +12,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from .common import bytes_of, documents, map_batches, materialise
 
 #: Sample rate in the container's header; it has no effect on the samples.
 RATE = 8000
+#: Bits of the map of keys: it is 8 MB whatever the input.
+KEY_BITS = 1 << 26
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 1024, 12, 16384
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -109,13 +112,31 @@ def chunk_lists(keyed: DataFrame) -> DataFrame:
     return map_batches(keyed, make, "key binary, idx int, digest binary")
 
 
-def packs(keyed: DataFrame) -> DataFrame:
-    """``key, doc_id, n_bytes, media_sha256, digests, chunks``: each row's ordered chunks, compressed one by one."""
+def key_bits(keys: DataFrame) -> np.ndarray:
+    """A bitmap of ``KEY_BITS`` bits, one set for each key: its size does not depend on the keys' number."""
+    place = F.conv(F.hex(F.substring("key", 1, 8)), 16, 10).cast("decimal(20,0)") % KEY_BITS
+    spots = keys.select(place.cast("bigint").alias("p")).select((F.col("p") / 32).cast("bigint").alias("word"), (F.col("p") % 32).cast("int").alias("bit"))
+    words = spots.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toPandas()
+    out = np.zeros(KEY_BITS // 32, np.uint32)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def packs(keyed: DataFrame, bits, wanted: bool) -> DataFrame:
+    """``key, doc_id, n_bytes, media_sha256, digests, chunks``: each row's ordered chunks, compressed one by one.
+
+    Only rows whose bit in the broadcast bitmap is as ``wanted``.
+    """
 
     def make():
         press = zstandard.ZstdCompressor(level=3)
 
         def work(batch):
+            place = np.array([int.from_bytes(k[:8], "big") % KEY_BITS for k in batch.column("key").to_pylist()], np.int64)
+            here = (bits.value[place // 32] >> (place % 32).astype(np.uint32)) & 1 == wanted
+            if not here.any():
+                return None
+            batch = batch.filter(pa.array(here))
             data = bytes_of(batch)
             media = [to_wave(pad(x)) for x in data]
             chunks = [split(m) for m in media]
@@ -138,11 +159,13 @@ def store(docs: DataFrame) -> DataFrame:
     """Write the media of ``docs`` (``doc_id, text``) with every distinct chunk stored by one owner.
 
     Digests alone are shuffled to find each chunk's owner, the row with the smallest key, and
-    the rows that borrow it; the payloads then move once, compressed. Returns the stored
+    the rows that borrow it. A bitmap of those rows' keys, of fixed size, tells which payloads
+    must meet their lists by a join (compressed, once); the others are stored where they are
+    read. A bit set by chance costs that move and no more. Returns the stored
     table, in the shared folder: ``key, doc_id, n_bytes, media_sha256, digests`` (the ordered
     list), ``own`` (a chunk or, where borrowed, null) and ``lent`` (positions others refer to).
     """
-    keyed = row_keys(docs)
+    spark, keyed = docs.sparkSession, row_keys(docs)
     lists = chunk_lists(keyed)
     owner = lists.groupBy("digest").agg(F.min(F.struct("key", "idx")).alias("owner"), F.count("*").alias("uses"))
     owned = (F.col("owner.key") == F.col("key")) & (F.col("owner.idx") == F.col("idx"))
@@ -152,9 +175,13 @@ def store(docs: DataFrame) -> DataFrame:
         F.collect_set(F.when(F.col("owned"), F.col("idx"))).alias("lent"),
     )
     none = F.array().cast("array<int>")
+    per_row = materialise(per_row)
+    bits = spark.sparkContext.broadcast(key_bits(per_row))
+    alone = packs(keyed, bits, False).withColumns({"borrowed": none, "lent": none})
     table = (
-        packs(keyed)
-        .join(materialise(per_row), "key", "left")
+        packs(keyed, bits, True)
+        .join(per_row.hint("merge"), "key", "left")
+        .unionByName(alone)
         .withColumn("borrowed", F.coalesce("borrowed", none))
         .select(
             "key", "doc_id", "n_bytes", "media_sha256", "digests",
