@@ -20,7 +20,9 @@ import numpy as np
 UNSAFE = re.compile(r" (?!\S)")
 SAFE_CUT = re.compile(r" (?=\S)")
 #: Distinct pieces that a worker remembers, and characters of text that it treats at once.
-CACHE_PIECES, CHUNK_CHARS = 400_000, 4_000_000
+CACHE_PIECES, CHUNK_CHARS = 800_000, 4_000_000
+#: ASCII signs that the pattern parts from letters in front of them, and the end of the Latin letters.
+SIGNS, LATIN = ".,;:!?|", "\u0250"
 
 
 def pieces(text: str) -> list[str]:
@@ -38,6 +40,21 @@ class PieceEncoder:
         self.encode, self.lengths, self.cache, self.first = encode, lengths, {}, {}
 
     def _learn(self, missing: list[str]) -> None:
+        """Cache new pieces; a plain word with signs behind it is its word and its signs, as the pattern parts them."""
+        new, joined = {}, []
+        for piece in missing:
+            word = piece.rstrip(SIGNS)
+            if word != piece and word.isalpha() and max(word) < LATIN:
+                joined.append((piece, word))
+                if word in self.cache:
+                    continue
+                piece = word
+            new[piece] = None
+        self._encode_new(list(new))
+        for piece, word in joined:
+            self.cache[piece] = self.cache[word] + self._head(piece[len(word) :])
+
+    def _encode_new(self, missing: list[str]) -> None:
         if not missing:
             return
         ids = np.asarray(self.encode(" " + " ".join(missing)), dtype="<u4")
@@ -100,7 +117,7 @@ def json_encoder(path: str) -> PieceEncoder:
         lengths = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             lengths[i] = len(token)  # one character of the byte alphabet for each byte
-        encode = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        encode = lambda text: np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         _KEPT["json", path] = PieceEncoder(encode, lengths)
     return _KEPT["json", path]
 
