@@ -556,7 +556,7 @@ def extract_details(spark, sf_dir):
     """Labelled facts from synthetic notice bodies built from orders."""
     k = F.col("o_orderkey")
     body = F.concat(
-        F.lit("Total posts: "), (k % 900 + 1).cast("string"), F.lit(". Educational qualification: Bachelor degree in science. Pay scale: Rs. "), (k * 10 + 1000).cast("string"),
+        F.lit("Total posts: "), (k % 900 + 1).cast("string"), F.lit(". Educational qualification: Bachelor degree in science. Pay scale: Rs "), (k * 10 + 1000).cast("string"),
         F.lit(" - 90000. Age limit: 18 to "), (k % 30 + 20).cast("string"), F.lit(" years. Application fee: Rs 100. Selection process: Written test. Last date to apply "),
         F.date_format("o_orderdate", "dd-MM-yyyy"), F.lit("."),
     )
