@@ -153,3 +153,72 @@ def is_publishable(row: dict[str, Column]) -> Column:
         .when(ai, full)
         .otherwise(True)
     )
+
+
+def generic_category(title: Column | str) -> Column:
+    """Plural category names of the generic scan; Latest Jobs by default."""
+    t = clean(title)
+    return (
+        F.when(has_any(t, W.GENERIC_ADMIT), "Admit Card")
+        .when(has_any(t, W.GENERIC_RESULT), "Results")
+        .when(has_any(t, W.GENERIC_ANSWER), "Answer Key")
+        .when(has_any(t, W.GENERIC_SYLLABUS), "Syllabus")
+        .when(has_any(t, W.GENERIC_SCHOLARSHIP), "Scholarship")
+        .when(has_any(t, W.GENERIC_SCHEME), "Government Schemes")
+        .otherwise("Latest Jobs")
+    )
+
+
+def editor_type(title: Column | str) -> Column:
+    """The editor's nine kebab-case types; a notice by default."""
+    t = clean(title)
+    return (
+        F.when(has_any(t, W.EDITOR_ADMIT), "admit-card")
+        .when(has_any(t, W.TYPE_ANSWER), "answer-key")
+        .when(t.rlike(r"\b(result|results|merit list|score card|scorecard)\b") | t.contains("परिणाम"), "result")
+        .when(has_any(t, ("syllabus", "पाठ्यक्रम")), "syllabus")
+        .when(has_any(t, W.SCHOLARSHIP_TERMS), "scholarship")
+        .when(has_any(t, W.EDITOR_ENTRANCE), "entrance")
+        .when(has_any(t, W.EDITOR_INTERVIEW), "interview")
+        .when(has_any(t, W.EDITOR_NOTICE) & ~has_any(t, W.EDITOR_APPLY), "notice")
+        .when(has_any(t, W.EDITOR_RECRUITMENT), "recruitment")
+        .otherwise("notice")
+    )
+
+
+def category_noise(title: Column | str, body: Column | str) -> Column:
+    """Titles and error pages that no category page shows."""
+    t, b = F.lower(squeeze(title)), F.lower(text(body))
+    return t.isin(*W.CATEGORY_NOISE) | (F.length(t) < 12) | has_any(b, W.ERROR_PAGES) | has_any(t, W.CHROME)
+
+
+def latest_eligible(title: Column | str, kind: Column | str, category: Column | str, last: Column, as_of: str) -> Column:
+    """A recruitment whose deadline is missing or has not passed, by type or category, and no other type by title."""
+    t, k, g = (F.lower(strip(x)) for x in (title, kind, category))
+    hiring = k.isin("recruitment", "job", "jobs", "") | g.isin("recruitment", "latest jobs", "latest job")
+    return hiring & ~has_any(t, W.NOT_LATEST) & F.coalesce(last >= F.to_date(F.lit(as_of)), F.lit(True))
+
+
+def hindi_share(x: Column | str) -> Column:
+    """Devanagari characters among Latin and Devanagari ones."""
+    letters = F.length(F.regexp_replace(text(x), "[^A-Za-z\u0900-\u097F]", ""))
+    return F.length(F.regexp_replace(text(x), "[^\u0900-\u097F]", "")) / F.greatest(letters, F.lit(1))
+
+
+def edited_well(row: dict[str, Column]) -> Column:
+    """Quality gate of an edited article: lengths, Hindi share, key points, questions, blocked words and type."""
+    get = lambda k: squeeze(row.get(k, F.lit("")))
+    body = F.concat_ws(" ", *map(get, ("summary", "intro", "how_to", "important_notes")))
+    kind = F.lower(F.coalesce(F.nullif(get("post_type"), F.lit("")), get("category")))
+    size = lambda k: F.coalesce(F.size(row[k]), F.lit(0)) if k in row else F.lit(0)
+    return (
+        (F.length(get("title")) >= 20)
+        & (F.length(get("summary")) >= 120)
+        & (F.length(get("intro")) >= 100)
+        & (hindi_share(body) >= 0.38)
+        & (size("key_points") >= 4)
+        & (size("faq") >= 3)
+        & ~get("summary").rlike(r"(?i)\b(?:Government|Candidates|Important Dates|Apply Online|Job Details)\b")
+        & ~has_any(F.lower(F.concat_ws(" ", get("title"), body)), W.EDITED_BLOCKED)
+        & ((kind == "") | has_any(kind, ("recruitment", "भर्ती", "vacancy", "रिक्ति")))
+    )

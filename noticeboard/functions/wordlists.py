@@ -222,3 +222,44 @@ HOME_EXPLICIT = (
     "government schemes", "banking jobs", "banking", "railway jobs", "railway", "uttarakhand jobs", "central jobs",
     "central government jobs", "other state jobs", "recruitment",
 )
+
+# Fixed values of the generic scan's categories.
+GENERIC_ADMIT = ("admit card", "hall ticket", "call letter", "e-admit card")
+GENERIC_RESULT = ("result", "results", "merit list", "selection list", "score card", "final result", "provisional result")
+GENERIC_ANSWER = ("answer key", "provisional answer key", "final answer key", "response sheet")
+GENERIC_SYLLABUS = ("syllabus", "exam pattern", "scheme of examination")
+GENERIC_SCHOLARSHIP = ("scholarship", "fellowship", "stipend")
+GENERIC_SCHEME = ("scheme", "yojana", "yojna")
+
+# Fixed values of the editor's types and gate.
+EDITOR_ADMIT = ("admit card", "admit-card", "hall ticket", "call letter", "e-admit", "प्रवेश पत्र")
+EDITOR_ENTRANCE = ("entrance exam", "entrance test", "admission test", "प्रवेश परीक्षा")
+EDITOR_INTERVIEW = ("walk-in interview", "walk in interview", "interview schedule", "interview", "साक्षात्कार")
+EDITOR_NOTICE = (
+    "examination schedule", "exam schedule", "exam date", "examination date", "schedule updated", "important notice", "notice regarding",
+    "regarding the examination", "परीक्षा के आयोजन", "परीक्षा तिथि", "महत्वपूर्ण सूचना", "सूचना",
+)
+EDITOR_APPLY = ("applications are invited", "application invited", "apply online", "online application", "आवेदन आमंत्रित", "ऑनलाइन आवेदन")
+EDITOR_RECRUITMENT = (
+    "recruitment", "vacancy", "vacancies", "applications are invited", "application invited", "apply online", "engagement of", "appointment of",
+    "भर्ती", "रिक्ति", "आवेदन आमंत्रित",
+)
+EDITED_BLOCKED = (
+    "admit card", "admit-card", "hall ticket", "call letter", "answer key", "answer-key", "result", "results", "merit list", "selected candidates",
+    "selected candidate", "qualified candidates", "shortlisted candidates", "waiting list", "previous year", "question paper", "exam schedule",
+    "examination schedule", "corrigendum", "date extension", "extension of last date", "extension of date", "re-schedule", "reschedule",
+    "individual score", "vice chancellor", "vice-chancellor", "second term", "re-appointed", "reappointed", "कुलपति", "पुनः नियुक्त", "कार्यकाल",
+    "प्रवेश पत्र", "कॉल लेटर", "चयनित उम्मीदवार", "प्रतीक्षा सूची", "उत्तर कुंजी", "परिणाम", "संशोधित तिथि",
+)
+
+# Fixed values of category pages.
+CATEGORY_NOISE = (
+    "view all", "view all results", "view all recruitment", "results", "recruitment", "notification", "advertisement", "apply online",
+    "new registration", "step-1: new registration", "step-1", "recruitment/admission links", "examination", "event key dates",
+)
+ERROR_PAGES = (
+    "page you’ve requested either does not exist", "page you've requested either does not exist", "go back home previous button",
+    "app store google play facebook", "the page you requested either does not exist",
+)
+CHROME = ("forgot password", "login/register", "login register", "skip to main content")
+NOT_LATEST = ("admit card", "hall ticket", "call letter", "answer key", "result", "syllabus", "scholarship")

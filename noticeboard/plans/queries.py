@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import classify, dates, extract, text, udfs
 from ..functions import routes as R
 from ..functions import wordlists as W
-from ..operators import dedupe, keys, lifecycle, links, merge, route, search, summary
-from ..sources import sitemap, table
+from ..operators import dedupe, keys, lifecycle, links, merge, projections, route, search, summary
+from ..sources import adapters, scan, sitemap, table
 from . import notices as N
 
 QUERIES: dict = {}
@@ -684,3 +684,81 @@ def search_dashboard(spark, sf_dir):
 def recent_history(spark, sf_dir):
     log = table(spark, sf_dir, "events").select(F.col("event_type").alias("query"), F.col("event_id").alias("ord"))
     return search.recent_queries(log)
+
+
+# Adapters, editor rules and projections.
+
+ADAPTER_OF = tuple(adapters.RULES)
+
+
+def _adapter_sql() -> str:
+    parts = []
+    for name, (must, never, sites, least) in adapters.RULES.items():
+        t, blob = N.clean_sql("title"), f"({N.clean_sql('title')} || ' ' || lower(url))"
+        test = f"length({t}) >= {max(least, 1)} AND {N.any_of(blob if name == 'generic' else t, must)} AND NOT {N.any_of(blob if name == 'generic' else t, never)}"
+        if name == "generic":
+            test += f" AND len(string_split({t}, ' ')) > 2 AND NOT regexp_matches(lower(url), '\\.pdf($|[?#])')"
+        label = N.quoted(next(iter(sites.values()), "Not Mentioned"))
+        parts.append(f"SELECT min(ord) AS ord, {label} AS department, lower(title) AS title FROM n WHERE ord % {len(ADAPTER_OF)} = {ADAPTER_OF.index(name)} AND {test} GROUP BY lower(title), lower(url)")
+    return f"WITH n AS ({N.SQL}) " + " UNION ALL ".join(parts)
+
+
+@query("q_adapter_scan", _adapter_sql())
+def adapter_scan(spark, sf_dir):
+    """Union of all adapters over notices dealt to them in turn."""
+    name = F.element_at(F.array(*map(F.lit, ADAPTER_OF)), (F.col("ord") % len(ADAPTER_OF) + 1).cast("int"))
+    rows = N.notices(spark, sf_dir).select("ord", "title", "url", F.lit("").alias("page_url"), name.alias("adapter"))
+    return scan(rows).select("ord", "department", F.lower("title").alias("title"))
+
+
+@query("q_generic_category", f"""
+SELECT ord, CASE WHEN {N.any_of('t', W.GENERIC_ADMIT)} THEN 'Admit Card' WHEN {N.any_of('t', W.GENERIC_RESULT)} THEN 'Results' WHEN {N.any_of('t', W.GENERIC_ANSWER)} THEN 'Answer Key'
+  WHEN {N.any_of('t', W.GENERIC_SYLLABUS)} THEN 'Syllabus' WHEN {N.any_of('t', W.GENERIC_SCHOLARSHIP)} THEN 'Scholarship' WHEN {N.any_of('t', W.GENERIC_SCHEME)} THEN 'Government Schemes' ELSE 'Latest Jobs' END AS category
+FROM (SELECT ord, {N.clean_sql('title')} AS t FROM ({N.SQL}))""")
+def generic_category(spark, sf_dir):
+    return N.notices(spark, sf_dir).select("ord", classify.generic_category("title").alias("category"))
+
+
+@query("q_editor_type", f"""
+SELECT ord, CASE WHEN {N.any_of('t', W.EDITOR_ADMIT)} THEN 'admit-card' WHEN {N.any_of('t', W.TYPE_ANSWER)} THEN 'answer-key' WHEN regexp_matches(t, '\\b(result|results|merit list|score card|scorecard)\\b') THEN 'result'
+  WHEN contains(t, 'syllabus') THEN 'syllabus' WHEN {N.any_of('t', W.SCHOLARSHIP_TERMS)} THEN 'scholarship' WHEN {N.any_of('t', W.EDITOR_ENTRANCE)} THEN 'entrance' WHEN {N.any_of('t', W.EDITOR_INTERVIEW)} THEN 'interview'
+  WHEN {N.any_of('t', W.EDITOR_NOTICE)} AND NOT {N.any_of('t', W.EDITOR_APPLY)} THEN 'notice' WHEN {N.any_of('t', W.EDITOR_RECRUITMENT)} THEN 'recruitment' ELSE 'notice' END AS kind
+FROM (SELECT ord, {N.clean_sql('title')} AS t FROM ({N.SQL}))""")
+def editor_type(spark, sf_dir):
+    return N.notices(spark, sf_dir).select("ord", classify.editor_type("title").alias("kind"))
+
+
+@query("q_category_noise", f"SELECT ord FROM (SELECT ord, {N.clean_sql('title')} AS t FROM ({N.SQL})) WHERE {N.one_of('t', W.CATEGORY_NOISE)} OR length(t) < 12 OR {N.any_of('t', W.CHROME)}")
+def category_noise(spark, sf_dir):
+    return N.notices(spark, sf_dir).where(classify.category_noise("title", "description")).select("ord")
+
+
+@query("q_latest_eligible", f"SELECT ord FROM ({N.SQL}) WHERE lower(category) IN ('recruitment', 'latest jobs', 'latest job') AND NOT {N.any_of('lower(title)', W.NOT_LATEST)} AND NOT (size % 2 = 0 AND size < 25)")
+def latest_eligible(spark, sf_dir):
+    """Latest Jobs eligibility; a deadline in 1998 is made of the part's size."""
+    last = F.when(F.col("size") % 2 == 0, F.date_add(F.lit("1998-01-01").cast("date"), F.col("size").cast("int")))
+    test = classify.latest_eligible("title", F.lit("notice"), "category", last, "1998-01-26")
+    return N.notices(spark, sf_dir).where(test).select("ord")
+
+
+@query("q_search_items", f"""
+SELECT ord, trim(title) AS title, coalesce(nullif(trim(regexp_replace(lower(trim(title)), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'post') AS slug, url, category, '' AS department, '' AS state, '' AS publish_date, '' AS last_date,
+  'images/default.jpg' AS image, left(description, 250) AS description, '' AS keywords FROM ({N.SQL})""")
+def search_items(spark, sf_dir):
+    return projections.search_items(N.notices(spark, sf_dir)).withColumn("keywords", F.array_join("keywords", " "))
+
+
+@query("q_page_cards")
+def page_cards(spark, sf_dir):
+    """HTML cards of the top fifty of each page."""
+    rows = route.route(N.notices(spark, sf_dir)).select(F.explode_outer("pages").alias("page"), "ord", "title", "url", "description", "size")
+    top = dedupe.top_per_group(rows, "page", [F.desc("size"), F.col("ord")], 50)
+    html = projections.card(F.col("title"), F.col("url"), F.col("description"), F.lit(""), F.lit(""))
+    return projections.page_cards(top, html).select("page", F.sha1("html").alias("digest"), F.length("html").alias("size"))
+
+
+@query("q_structured_data", f"""
+SELECT ord, '{{"@context":"https://schema.org","@type":"JobPosting","title":"' || title || '","url":"' || url || '","hiringOrganization":{{"@type":"Organization","name":"' || source || '"}}}}' AS json FROM ({N.SQL})""")
+def structured_data(spark, sf_dir):
+    none = F.lit("")
+    return N.notices(spark, sf_dir).select("ord", projections.structured_data(F.col("title"), F.col("url"), F.col("source"), none, none).alias("json"))
