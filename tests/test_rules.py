@@ -250,3 +250,70 @@ def test_publisher_plan(spark):
     out = pipeline.publish(fresh.limit(0), fresh, "2026-01-01")
     assert out["live"].count() == 1 and out["hidden"].count() == 0 and out["archive"].count() == 0
     assert [r.page for r in out["pages"].collect()] == ["latest-jobs"]
+
+
+def test_adapters(spark):
+    from noticeboard.sources import adapters
+
+    rows = [
+        (1, "https://ssc.gov.in/", "Constable Recruitment", "https://ssc.gov.in/a", "ssc"), (2, "https://ssc.gov.in/", "Constable Result", "https://ssc.gov.in/b", "ssc"),
+        (3, "https://sssc.uk.gov.in/x", "भर्ती सूचना", "https://sssc.uk.gov.in/document/1", "uk"), (4, "https://psc.cg.gov.in/", "Lecturer posts", "https://psc.cg.gov.in/l", "psc"),
+        (5, "https://a.example/", "Latest vacancy notice here", "https://a.example/v", "other"), (6, "https://a.example/", "Latest vacancy notice here", "https://a.example/v.pdf", None),
+        (7, "https://ssc.gov.in/", "CONSTABLE recruitment", "https://ssc.gov.in/a", "ssc"), (8, "https://www.upsc.gov.in/", "officer", "https://www.upsc.gov.in/o", "upsc"),
+    ]
+    df = spark.createDataFrame(rows, "ord long, page_url string, title string, url string, adapter string")
+    got = {r.ord: r for r in sources.scan(df).collect()}
+    assert sorted(got) == [1, 3, 4, 5]
+    assert (got[3].department, got[3].notification_pdf, got[4].department, got[5].category) == ("UKSSSC", "https://sssc.uk.gov.in/document/1", "CGPSC", "Latest Jobs")
+    html = "<div><p>x</p></div><div><h3>Clerk Recruitment</h3> Advertisement No: CRPD/2026/1 Apply Online from 01.08.2026 to 31.08.2026</div><div>Engagement again Advertisement No: CRPD/2026/1</div>"
+    cards = adapters.cards(spark.createDataFrame([(1, html)], "page_id long, html string")).collect()
+    assert [(c.advertisement_no, c.title, str(c.start), str(c.last)) for c in cards] == [("CRPD/2026/1", "Clerk Recruitment", "2026-08-01", "2026-08-31")]
+    best = adapters.best_text([F.lit("a" * 130), F.lit("b" * 200), F.lit("c")], [F.lit(0.5), F.lit(0.5), F.lit(0.9)])
+    assert spark.range(1).select(best).first()[0] == "a" * 130
+
+
+def test_editor_rules(spark):
+    assert column(spark, ["Entrance test 2026", "Walk in interview", "Important notice", "Apply online: notice regarding jobs", "other"], classify.editor_type) == ["entrance", "interview", "notice", "recruitment", "notice"]
+    assert column(spark, ["Merit list", "PM Yojana", "Fellowship", "x"], classify.generic_category) == ["Results", "Government Schemes", "Scholarship", "Latest Jobs"]
+    assert column(spark, ["नमस्ते ab", ""], classify.hindi_share) == [6 / 8, 0.0]
+    noisy = column(spark, ["Recruitment", "A long enough title", "skip to main content of it"], lambda x: classify.category_noise(x, F.lit("")))
+    assert noisy == [True, False, True]
+    day = lambda d: F.lit(d).cast("date")
+    one = lambda t, k, d: spark.range(1).select(classify.latest_eligible(F.lit(t), F.lit(k), F.lit(""), day(d), "2026-06-01")).first()[0]
+    assert [one("Clerk job", "recruitment", None), one("Clerk job", "recruitment", "2026-05-01"), one("Clerk result", "job", None), one("Clerk", "result", None)] == [True, False, False, False]
+    good = {"title": F.lit("एक लंबा शीर्षक " * 3), "summary": F.lit("हिंदी सार " * 20), "intro": F.lit("परिचय " * 20), "key_points": F.array(*map(F.lit, "abcd")), "faq": F.array(*map(F.lit, "abc"))}
+    assert spark.range(1).select(classify.edited_well(good)).first()[0] is True
+    assert spark.range(1).select(classify.edited_well(good | {"faq": F.array(F.lit("a"))})).first()[0] is False
+
+
+def test_projections(spark):
+    from noticeboard.operators import projections
+
+    df = spark.createDataFrame([(1, " A  Title ", "https://x", None, "2026-01-01", "d" * 300, "pages/kept.html", "9")], "ord long, title string, url string, publish_date string, date string, description string, html_file string, job_id string")
+    item = projections.search_items(df).first()
+    assert (item.title, item.slug, item.publish_date, len(item.description), item.image) == ("A Title", "a-title", "2026-01-01", 250, "images/default.jpg")
+    assert df.select(projections.file_name(df)).first()[0] == "kept.html"
+    assert df.drop("html_file").select(projections.file_name(df.drop("html_file"))).first()[0] == "a-title-9.html"
+    html = df.select(projections.card(F.lit("<T>"), F.lit("u"), F.lit("d"), F.lit("p"), F.lit("l"))).first()[0]
+    assert "&lt;T&gt;" in html and html.startswith("<article")
+    crumbs = df.select(projections.breadcrumb(F.lit("C"), F.lit("c.html"), F.lit("T"))).first()[0]
+    assert crumbs.count("ListItem") == 3
+
+
+def test_streams(spark, tmp_path):
+    from noticeboard import streaming
+
+    kind = "job_id string, title string, vacancy string"
+    spark.createDataFrame([("1", "A", "5")], kind).write.parquet(str(tmp_path / "live0"))
+    spark.createDataFrame([("1", "A2", "N/A"), ("2", "B", "")], kind).write.parquet(str(tmp_path / "in"))
+    state = {"path": str(tmp_path / "live0")}
+
+    def write(df, number):
+        path = str(tmp_path / f"live{number + 1}")
+        df.write.mode("overwrite").parquet(path)
+        state["path"] = path
+
+    stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+    query = streaming.upsert_stream(stream, lambda: spark.read.parquet(state["path"]), write, "job_id", ("title", "vacancy"), str(tmp_path / "ck"))
+    query.awaitTermination(60)
+    assert sorted(map(tuple, spark.read.parquet(state["path"]).collect())) == [("1", "A2", "5"), ("2", "B", "")]
