@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -45,6 +46,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it if ``df`` has it already."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's context cleaner drop the shuffle files of finished jobs."""
     spark.sparkContext._jvm.System.gc()
@@ -108,6 +116,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+@functools.cache
 def odd_constants(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * U64(2) + U64(1)
 

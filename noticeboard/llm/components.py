@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -15,19 +15,19 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     every node hangs on its component's smallest node. Edges stay at most as many as they were.
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    pairs = materialise(pairs)
-    before = None
+    pairs, before = materialise(pairs), None
     for _ in range(rounds):
         both = pairs.select("u", "v").union(pairs.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        pairs = materialise(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        seen = Observation()
+        state = F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")
+        pairs = materialise(small.union(least.select("u", F.col("m").alias("v"))).distinct().observe(seen, *state))
+        if seen.get == before:
             break
-        before = state
+        before = seen.get
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     stars = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))

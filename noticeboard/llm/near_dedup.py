@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from dataclasses import dataclass
@@ -25,7 +26,9 @@ class NearDedup:
     Sets of ``words``-word shingles are linked if 100 * intersection >= ``percent`` * union.
     ``bands`` bands of ``rows`` hashes make a pair at the threshold s candidates except with
     probability (1 - s ** rows) ** bands; a candidate is dropped early only if the posterior
-    probability that it reaches the threshold is below ``miss``.
+    probability that it reaches the threshold is below ``miss``. What hubs
+    leave apart is compared in blocks of ``block`` signatures, with ``fine`` further hashes of a
+    byte each.
     """
 
     words: int = 5
@@ -34,7 +37,8 @@ class NearDedup:
     rows: int = 4
     batch: int = 16
     miss: float = 1e-7
-    rounds: int = 3
+    block: int = 256
+    fine: int = 1024
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -53,11 +57,11 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.unique(mix64(total + U64(k)))
 
 
-def signature(hashes: np.ndarray, n: int) -> np.ndarray:
+def signature(hashes: np.ndarray, n: int, seed: int = 11) -> np.ndarray:
     """The least of each of ``n`` permutations (32-bit multiply-add) over a set of shingle hashes."""
     x = (hashes >> U64(32)).astype(np.uint32)
-    a = odd_constants(n, 11).astype(np.uint32)[:, None]
-    b = odd_constants(n, 13).astype(np.uint32)[:, None]
+    a = odd_constants(n, seed).astype(np.uint32)[:, None]
+    b = odd_constants(n, seed + 2).astype(np.uint32)[:, None]
     out = np.full(n, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(x), BLOCK):
         y = a * x[None, i : i + BLOCK] + b
@@ -65,6 +69,7 @@ def signature(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+@functools.cache
 def least_matches(threshold: float, n: int, miss: float) -> int:
     """Fewest equal hashes of ``n`` with which a pair may still reach ``threshold``.
 
@@ -97,40 +102,64 @@ def sketches(docs: DataFrame, conf: NearDedup) -> DataFrame:
     return map_batches(docs, make, "doc_id bigint, n_shingles bigint, set_hash binary, sig binary")
 
 
+def keys_of(sigs: np.ndarray, conf: NearDedup) -> np.ndarray:
+    """A hash of each band of each signature."""
+    bands = sigs.reshape(len(sigs), conf.bands, conf.rows).astype(np.uint64)
+    key = np.arange(conf.bands, dtype=np.uint64)[None, :] + U64(1)
+    for r in range(conf.rows):
+        key = mix64(key * U64(0x9E3779B97F4A7C15) + bands[:, :, r])
+    return key.view(np.int64)
+
+
 def band_keys(reps: DataFrame, conf: NearDedup) -> DataFrame:
-    """``key, rep``: a hash of each band of each representative's signature."""
+    """``key, rep`` for each band of each representative's signature."""
 
     def make():
         def work(batch):
             if not len(batch):
                 return None
-            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(len(batch), conf.bands, conf.rows)
-            key = np.arange(conf.bands, dtype=np.uint64)[None, :] + U64(1)
-            for r in range(conf.rows):
-                key = mix64(key * U64(0x9E3779B97F4A7C15) + sigs[:, :, r].astype(np.uint64))
-            rep = np.repeat(batch.column("rep").to_numpy(), conf.bands)
-            return {"key": key.reshape(-1).view(np.int64), "rep": rep}
+            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(len(batch), -1)
+            return {"key": keys_of(sigs, conf).reshape(-1), "rep": np.repeat(batch.column("rep").to_numpy(), conf.bands)}
 
         return work
 
     return map_batches(reps, make, "key bigint, rep bigint")
 
 
+def surviving(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, batch: int, threshold: float, miss: float) -> np.ndarray:
+    """Positions of the pairs ``a[i], b[j]`` of signatures that no batch of hashes rules out."""
+    alive, matches = np.arange(len(i)), np.zeros(len(i), np.int64)
+    for start in range(0, a.shape[1], batch):
+        end = min(start + batch, a.shape[1])
+        matches[alive] += (a[i[alive], start:end] == b[j[alive], start:end]).sum(axis=1)
+        alive = alive[matches[alive] >= least_matches(threshold, end, miss)]
+    return alive
+
+
+def fine_signatures(reps: DataFrame, docs: DataFrame, conf: NearDedup) -> DataFrame:
+    """``rep, fine``: the low bytes of further hashes of the documents ``reps(rep)``."""
+
+    def make():
+        def work(batch):
+            fine = [(signature(shingle_hashes(t, conf.words), conf.fine, 17) & 0xFF).astype(np.uint8).tobytes() for t in bytes_of(batch)]
+            return {"rep": batch.column("rep"), "fine": fine}
+
+        return work
+
+    rows = docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("rep"), "text")
+    return map_batches(rows, make, "rep bigint, fine binary").dropDuplicates(["rep"])
+
+
 def prune(pairs: DataFrame, conf: NearDedup) -> DataFrame:
     """``a, b`` of the pairs ``a, b, sig_a, sig_b`` that survive every batch of hashes."""
-    n, steps = conf.bands * conf.rows, []
-    for end in range(conf.batch, n + 1, conf.batch):
-        steps.append((end - conf.batch, end, least_matches(conf.percent / 100, end, conf.miss)))
 
     def make():
         def work(batch):
             if not len(batch):
                 return None
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, n) for c in ("sig_a", "sig_b"))
-            alive, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
-            for start, end, least in steps:
-                matches[alive] += (a[alive, start:end] == b[alive, start:end]).sum(axis=1)
-                alive = alive[matches[alive] >= least]
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(len(batch), -1) for c in ("sig_a", "sig_b"))
+            at = np.arange(len(batch))
+            alive = surviving(a, b, at, at, conf.batch, conf.percent / 100, conf.miss)
             return {c: batch.column(c).to_numpy()[alive] for c in ("a", "b")}
 
         return work
@@ -177,15 +206,107 @@ def verify(pairs: DataFrame, docs: DataFrame, conf: NearDedup) -> DataFrame:
     return map_batches(rows.select("a", "text_a", "text_b", "b"), make, "a bigint, b bigint")
 
 
+def _hub_pairs(buckets: DataFrame) -> DataFrame:
+    """Each bucket's members paired with its hub: the member that meets most others in its buckets.
+
+    Of texts edited from one original, each edited otherwise, the original meets most, so that
+    one star joins them all.
+    """
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("n"))
+    met = buckets.join(sizes, "key")
+    fame = met.groupBy("rep").agg(F.sum("n").alias("fame"))
+    ranked = buckets.join(fame, "rep")
+    hubs = ranked.groupBy("key").agg(F.max_by("rep", F.struct("fame", -F.col("rep"))).alias("hub"))
+    pairs = buckets.join(hubs, "key").where("hub <> rep")
+    return pairs.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+
+
+def _block_survivors(torn: DataFrame, reps: DataFrame, docs: DataFrame, conf: NearDedup) -> DataFrame:
+    """``a, b``: pairs of one bucket but different components that the signatures do not rule out.
+
+    A bucket's largest component and the rest of its members are cut into blocks. Each pair of
+    blocks, but for two of the largest component, is one row, compared in one vectorised step:
+    candidate pairs never become rows. A pair is given by its first common band only.
+    """
+    sizes = torn.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    largest = F.col("component") == F.col("main")
+    parts = F.ceil(F.when(largest, F.col("most")).otherwise(F.col("all") - F.col("most")) / conf.block)
+    block = F.pmod(F.xxhash64("rep"), parts) * 2 + largest.cast("int")
+    named = torn.join(main, "key").select("key", "rep", "component", block.alias("block"))
+    fine = materialise(fine_signatures(torn.select("rep").distinct(), docs, conf))
+    member = F.struct("rep", "component", "n_shingles", "sig", "fine")
+    blocks = named.join(reps, "rep").join(fine, "rep").groupBy("key", "block").agg(F.collect_list(member).alias("members"))
+    blocks = materialise(blocks)
+    ids = blocks.select("key", "block")
+    met = ids.join(ids.withColumnRenamed("block", "other"), "key").where("block <= other AND (block % 2 = 0 OR other % 2 = 0)")
+    rows = met.join(blocks, ["key", "block"]).join(blocks.select("key", F.col("block").alias("other"), F.col("members").alias("others")), ["key", "other"])
+
+    def columns(members: list[dict]):
+        rep, component, n = (np.array([m[k] for m in members], np.int64) for k in ("rep", "component", "n_shingles"))
+        table = lambda k, kind: np.frombuffer(b"".join(m[k] for m in members), kind).reshape(len(members), -1)
+        return rep, component, n, table("sig", "<u4"), table("fine", np.uint8)
+
+    threshold = conf.percent / 100
+    by_byte = threshold + (1 - threshold) / 256  # two different hashes share their low byte so often
+
+    def make():
+        def work(batch):
+            left, right = [], []
+            for key, block, other, members, others in zip(*(batch.column(c).to_pylist() for c in ("key", "block", "other", "members", "others"))):
+                rep_a, of_a, n_a, a, fine_a = columns(members)
+                rep_b, of_b, n_b, b, fine_b = columns(others)
+                few, many = np.minimum(n_a[:, None], n_b[None, :]), np.maximum(n_a[:, None], n_b[None, :])
+                may = (of_a[:, None] != of_b[None, :]) & (100 * few >= conf.percent * many)
+                if block == other:
+                    may &= rep_a[:, None] < rep_b[None, :]
+                i, j = np.nonzero(may)
+                alive = surviving(a, b, i, j, conf.batch, threshold, conf.miss)
+                i, j = i[alive], j[alive]
+                alive = surviving(fine_a, fine_b, i, j, 256, by_byte, conf.miss)
+                i, j = i[alive], j[alive]
+                if len(i):
+                    first = (a[i] == b[j]).reshape(len(i), conf.bands, conf.rows).all(axis=2).argmax(axis=1)
+                    here = keys_of(a, conf)[i, first] == key
+                    x, y = rep_a[i[here]], rep_b[j[here]]
+                    left.append(np.minimum(x, y))
+                    right.append(np.maximum(x, y))
+            return {"a": np.concatenate(left), "b": np.concatenate(right)} if left else None
+
+        return work
+
+    return map_batches(rows.select("key", "block", "other", "members", "others"), make, "a bigint, b bigint")
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: the links join whole components, so only those are walked again."""
+    a, b = (labels.select(F.col("node").alias(side), "component") for side in "ab")
+    named = links.join(a, "a", "left").select(F.coalesce("component", "a").alias("x"), "b").join(b, "b", "left")
+    named = named.select(F.col("x").alias("a"), F.coalesce("component", "b").alias("b"))
+    merged = materialise(connected_components(named))
+    moved = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    old = labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    fresh = merged.join(labels.select("node"), "node", "left_anti").select("node", "component")
+    return materialise(old.union(fresh))
+
+
+def _torn(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, rep, component`` of the buckets that hold more than one component."""
+    named = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    named = named.select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    torn = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    return named.join(torn.select("key"), "key")
+
+
 def near_duplicates(docs: DataFrame, conf: NearDedup = NearDedup()) -> DataFrame:
     """Components of near-duplicate documents: ``doc_id, n_shingles, component_id, kept``.
 
     1. Documents with one set form a class, shown by its smallest id: copies are never compared.
     2. Each band bucket links its members to a hub, not to each other. Candidates are pruned by
        posterior bounds over signature batches and the survivors verified on full sets.
-    3. Buckets whose members are not yet in one component take new hubs in the next rounds; what
-       then still lies in different components of a bucket is compared pair by pair, so that a
-       link between different texts is lost only if no band shows it.
+    3. What then still lies in different components of a bucket is compared block by block, so
+       that a link between different texts is lost only if no band shows it. This is the one
+       step whose work is not linear: members outside a bucket's largest component times all.
 
     ``component_id`` is the smallest id reachable. Null and empty texts, and texts without words,
     have an empty set, link with nothing and stay. A repeated id is one document of its
@@ -198,49 +319,19 @@ def near_duplicates(docs: DataFrame, conf: NearDedup = NearDedup()) -> DataFrame
     classes = known.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
     classes = materialise(classes)
     reps = known.join(classes.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi")
-    reps = reps.select(F.col("doc_id").alias("rep"), "sig").dropDuplicates(["rep"])
+    reps = reps.select(F.col("doc_id").alias("rep"), "n_shingles", "sig").dropDuplicates(["rep"])
     buckets = band_keys(reps, conf)
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = materialise(buckets.join(shared, "key").select("key", "rep"))
 
-    links = labels = None
-    open_ = buckets.withColumn("component", F.col("rep"))
-    tried = None
-    for step in range(conf.rounds + 1):
-        last = step == conf.rounds
-        if last:
-            left, right = open_.alias("l"), open_.alias("r")
-            met = (F.col("l.key") == F.col("r.key")) & (F.col("l.rep") < F.col("r.rep")) & (F.col("l.component") != F.col("r.component"))
-            pairs = left.join(right, met).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
-        else:
-            order = F.struct((F.col("rep") if step == 0 else F.xxhash64("rep", F.lit(step))).alias("rank"), "rep", "component")
-            hubs = open_.groupBy("key").agg(F.min(order).alias("h")).select("key", F.col("h.rep").alias("hub"), F.col("h.component").alias("hub_component"))
-            met = open_.join(hubs, "key").where("component <> hub_component")
-            pairs = met.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
-        if pairs.isEmpty():
-            if last:
-                break
-            continue
-        tried = pairs if tried is None else tried.union(pairs)
-        found = materialise(verify(materialise(prune(with_signatures(pairs, reps), conf)), docs, conf))
-        links = found if links is None else links.union(found)
-        labels = materialise(connected_components(links))
-        if last:
-            break
-        open_ = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        open_ = open_.select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        torn = open_.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-        open_ = materialise(open_.join(torn.select("key"), "key"))
+    candidates = materialise(prune(with_signatures(_hub_pairs(buckets), reps), conf))
+    labels = materialise(connected_components(verify(candidates, docs, conf)))
+    torn = materialise(_torn(buckets, labels))
+    if not torn.isEmpty():
+        labels = _joined(labels, verify(materialise(_block_survivors(torn, reps, docs, conf)), docs, conf))
 
     members = sketch.join(classes, "set_hash", "left")
-    if labels is not None:
-        members = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    else:
-        members = members.withColumn("component", F.lit(None).cast("bigint"))
+    members = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return members.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
@@ -249,3 +340,27 @@ def near_duplicates(docs: DataFrame, conf: NearDedup = NearDedup()) -> DataFrame
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), NearDedup(words=3, percent=85, bands=28))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) >= 3 THEN array_to_string(ws[i:i + 2], ' ') ELSE array_to_string(ws, ' ') END AS shingle
+  FROM w, unnest(range(1, greatest(len(ws) - 2, least(len(ws), 1)) + 1)) AS u(i)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON r.other = e.a
+), c AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
