@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, labels, map_batches, texts_of
+from .common import documents, held_out, labels, map_batches, texts_of, unused
 
 #: Distinct words whose features or weights a worker remembers.
 CACHE_WORDS = 400_000
@@ -125,15 +125,18 @@ class OrdinalModel:
     def score(self, docs: DataFrame, text: str = "text", at_least: int = 1) -> DataFrame:
         """``docs`` with ``expected_grade`` and ``tail_probability`` = P(grade >= ``at_least``) more.
 
-        Null and empty texts are scored as a text without words. All rows and columns stay.
+        Null and empty texts are scored as a text without words. All rows and columns stay, but for
+        columns of those two names.
         """
 
         def latents(texts: pd.Series) -> pd.Series:
             return pd.Series([self.latent(t or "") for t in texts], dtype="float64")
 
-        above = [1 / (1 + F.exp(F.lit(float(t)) - F.col("_latent"))) for t in self.thresholds]
-        scored = docs.withColumn("_latent", F.pandas_udf(latents, "double")(F.col(text)))
-        return scored.select(*docs.columns, sum(above[1:], above[0]).alias("expected_grade"), above[at_least - 1].alias("tail_probability"))
+        name = unused(docs, "_latent")
+        above = [1 / (1 + F.exp(F.lit(float(t)) - F.col(name))) for t in self.thresholds]
+        scored = docs.withColumn(name, F.pandas_udf(latents, "double")(F.col(text)))
+        given = [c for c in docs.columns if c not in ("expected_grade", "tail_probability")]
+        return scored.select(*given, sum(above[1:], above[0]).alias("expected_grade"), above[at_least - 1].alias("tail_probability"))
 
 
 def logistic(x: np.ndarray) -> np.ndarray:

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, materialise, texts_of
+from .common import documents, map_batches, materialise, texts_of, unused
 
 # Fixed patterns of the base kinds and of the kinds that the method adds, in the order of the listing.
 BASE = {
@@ -184,9 +184,10 @@ def redact(
     """
     rows = materialise(scan(docs, repository, owner).where(F.size("found") > 0))
     judged = judged_candidates(rows, most_repositories, most_owners, least_entropy).where(F.col("class") == "live")
-    hashes = judged.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("hash").alias("_hashes"))
-    joined = docs.join(hashes, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left")
-    redacted = F.when(F.col("_hashes").isNull(), F.col("text")).otherwise(F.pandas_udf(_blank_all, "string")(F.col("text"), F.col("_hashes"), F.lit(mark)))
+    key, found = unused(docs, "_id"), unused(docs, "_hashes")
+    hashes = judged.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("hash").alias(found))
+    joined = docs.join(hashes, F.col("doc_id").cast("bigint").eqNullSafe(F.col(key)), "left")
+    redacted = F.when(F.col(found).isNull(), F.col("text")).otherwise(F.pandas_udf(_blank_all, "string")(F.col("text"), F.col(found), F.lit(mark)))
     return joined.select(*(redacted.alias("text") if c == "text" else F.col(c) for c in docs.columns))
 
 
@@ -207,3 +208,46 @@ def _blank_all(text: pd.Series, hashes: pd.Series, mark: pd.Series) -> pd.Series
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir))
+
+
+#: A match's start is the length of all before it: the pieces that the pattern parts and the matches between them.
+OP7_SQL = r"""
+WITH kinds(kind, k, pattern, part, least) AS (VALUES
+  ('assign', 0, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 8),
+  ('access', 1, 'AKIA[A-Z0-9]+', 0, 16), ('hex', 2, '[0-9a-f]+', 0, 32),
+  ('private', 3, '-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----', 0, 0),
+  ('jwt', 4, 'eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}', 0, 0),
+  ('prefixed', 5, '(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})', 0, 0)
+), docs AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS repository, coalesce(lang, '') AS owner FROM documents
+), lists AS (
+  SELECT doc_id, repository, owner, kind, k, least, string_split_regex(t, pattern) AS ps, regexp_extract_all(t, pattern, 0) AS ms,
+    CASE WHEN part = 2 THEN regexp_extract_all(t, pattern, 2) ELSE regexp_extract_all(t, pattern, 0) END AS vs
+  FROM docs, kinds
+), matches AS (
+  SELECT doc_id, repository, owner, kind, k, least, unnest(range(1, len(ms) + 1)) AS i, unnest(ps[1:len(ms)]) AS p, unnest(ms) AS m, unnest(vs) AS v
+  FROM lists WHERE len(ms) > 0
+), placed AS (
+  SELECT *, CAST(sum(length(p) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS stop FROM matches
+), spans AS (
+  SELECT doc_id, repository, owner, kind, k, v, stop - length(m) AS start, kind || ':' || (stop - length(m)) || ':' || stop AS told
+  FROM placed WHERE length(v) >= least
+), held AS (
+  SELECT v, count(DISTINCT repository) AS repositories, count(DISTINCT owner) AS owners FROM spans GROUP BY v
+), spread AS (
+  SELECT v, -sum(n / length(v) * log2(n / length(v))) AS entropy
+  FROM (SELECT v, ch, count(*) AS n FROM (SELECT v, unnest(string_split(v, '')) AS ch FROM held) GROUP BY v, ch) GROUP BY v
+), judged AS (
+  SELECT s.*, CASE WHEN repositories > 2 OR owners > 1 THEN 'example' WHEN entropy < 2.5 THEN 'weak' ELSE 'live' END AS class
+  FROM spans s JOIN held USING (v) JOIN spread USING (v)
+), found AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(told, ',' ORDER BY start, k) FILTER (k < 3) AS base, string_agg(told, ',' ORDER BY start, k) AS spans,
+    count(*) FILTER (class = 'live') AS n_live, count(*) FILTER (class = 'example') AS n_example, count(*) FILTER (class = 'weak') AS n_weak,
+    string_agg(told, ',' ORDER BY start, k) FILTER (class = 'live') AS live_spans
+  FROM judged GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(n_weak, 0) AS n_weak, coalesce(live_spans, '') AS live_spans
+FROM docs LEFT JOIN found USING (doc_id)
+"""

@@ -266,3 +266,22 @@ def dedup_substrings(docs: DataFrame, batches: int = 2) -> DataFrame:
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(documents(spark, sf_dir))
+
+
+OP5_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, i, sha256(array_to_string(ws[i:i + 49], ' ')) AS h FROM w, unnest(range(1, len(ws) - 48)) AS u(i)
+), firsts AS (
+  SELECT h, min(doc_id) AS first FROM windows GROUP BY h
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS j FROM windows JOIN firsts USING (h), range(50) AS r(k) WHERE first < doc_id
+), kept AS (
+  SELECT doc_id, j, ws[j] AS word FROM w, unnest(range(1, len(ws) + 1)) AS u(j) WHERE (doc_id, j) NOT IN (SELECT (doc_id, j) FROM gone)
+), told AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS t FROM kept GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN told USING (doc_id)
+"""
