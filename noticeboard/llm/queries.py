@@ -24,5 +24,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op9_line_dedup": lines.OP9_SQL}
+    found = {
+        "op4_near_dedup": near_dedup.OP4_SQL,
+        "op5_substring_dedup": substring_dedup.OP5_SQL,
+        "op7_secret_scan": secrets.OP7_SQL,
+        "op9_line_dedup": lines.OP9_SQL,
+    }
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
