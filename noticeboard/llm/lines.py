@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, materialise
+
+#: Lines in all lists up to which they are broadcast, and the parts of a host beyond that.
+BROADCAST_LINES, SALTS = 1 << 20, 64
 
 
 def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, least_pages: int) -> DataFrame:
@@ -34,17 +37,24 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     A page counts once for a line however often it has it, and loses all its copies; lines are
     compared without outer spaces. All rows and columns stay, with ``lines_dropped`` more; a
     page may be left with an empty text. Null texts stay null and drop nothing, yet count as
-    pages; null hosts are one unnamed host. Hosts are matched by join, with lists of bounded size.
+    pages; null hosts are one unnamed host. The lists of all hosts are counted and broadcast if
+    they are short (8 bytes a line); else a host's pages are dealt to ``SALTS`` copies of its list.
     """
-    common = boilerplate(pages, host, text, ratio, least_pages)
-    joined = pages.join(common, F.coalesce(F.col(host), F.lit("")) == F.col("_host"), "left")
-    lines = F.split(F.col(text), "\n")
+    common = materialise(boilerplate(pages, host, text, ratio, least_pages))
+    rows = pages.select(F.struct(*pages.columns).alias("_page"), F.coalesce(F.col(host), F.lit("")).alias("_h"))
+    same = F.col("_h") == F.col("_host")
+    if (common.agg(F.sum(F.size("_lines"))).first()[0] or 0) <= BROADCAST_LINES:
+        joined = rows.join(F.broadcast(common), same, "left")
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        salt = F.pmod(F.xxhash64(F.col("_page")[text]), F.lit(SALTS)).cast("int")
+        joined = rows.withColumn("_salt", salt).join(common.withColumn("_to", salts), same & (F.col("_salt") == F.col("_to")), "left")
+    lines = F.split(F.col("_page")[text], "\n")
     kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_lines"), F.xxhash64(F.trim(x))), F.lit(False)))
     joined = joined.withColumn("_kept", F.when(F.col("_lines").isNull(), lines).otherwise(kept))
     dropped = F.coalesce(F.size(lines) - F.size("_kept"), F.lit(0)).alias("lines_dropped")
-    return joined.select(
-        *(F.array_join("_kept", "\n").alias(text) if c == text else F.col(c) for c in pages.columns), dropped
-    )
+    given = [c for c in pages.columns if c != "lines_dropped"]
+    return joined.select(*((F.array_join("_kept", "\n") if c == text else F.col("_page")[c]).alias(c) for c in given), dropped)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
