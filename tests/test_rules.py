@@ -317,3 +317,23 @@ def test_streams(spark, tmp_path):
     query = streaming.upsert_stream(stream, lambda: spark.read.parquet(state["path"]), write, "job_id", ("title", "vacancy"), str(tmp_path / "ck"))
     query.awaitTermination(60)
     assert sorted(map(tuple, spark.read.parquet(state["path"]).collect())) == [("1", "A2", "5"), ("2", "B", "")]
+
+
+def test_lookups(spark):
+    from noticeboard.operators import lookup
+
+    df = spark.createDataFrame([("a",), ("z",), (None,)], "k string")
+    names = spark.createDataFrame([("a", "A"), ("a", "B")], "k string, v string")
+    assert sorted((r.k or "", r.v) for r in lookup.lookup(df, names, "k", "v", "-").collect()) == [("", "-"), ("a", "A"), ("z", "-")]
+    assert column(spark, ["a", "q", None], lambda x: lookup.literal_lookup(x, {"a": "1"}, "?")) == ["1", "?", "?"]
+    assert column(spark, ["Last Date and date, update"], lambda x: lookup.localise(x, {"date": "D", "last date": "LD"})) == ["LD and D, update"]
+    notices = spark.createDataFrame([(1, "Junior Clerk Recruitment", "x"), (2, "Other thing", "y")], "ord long, title string, organisation string")
+    links = spark.createDataFrame([("x", "Clerk advertisement junior", "u1"), ("x", "clerk", "u2.pdf"), ("y", "clerk junior", "u3.pdf")], "organisation string, title string, url string")
+    assert [tuple(r) for r in lookup.official_pdf(notices, links).collect()] == [(1, "u2.pdf", 13)]
+    row = spark.createDataFrame([("d" * 6000, "s", "c", "a.html", "u", "u")], "description string, summary string, content string, notification_pdf string, apply_link string, url string")
+    got = lookup.reader_view(row).first()
+    assert (len(got.source_description), got.description, got.notification_pdf, got.apply_link) == (5000, "s", "", "")
+    report = lookup.execution_report(notices, df.limit(1), "2026-01-01").first()
+    assert tuple(report) == ("success", 2, 1, "2026-01-01")
+    src = spark.range(5).withColumnRenamed("id", "ord")
+    assert [[r.ord for r in lookup.rotation(src, b, 2).collect()] for b in (0, 2, 3)] == [[0, 1], [4], [0, 1]]
