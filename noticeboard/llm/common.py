@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -54,8 +56,14 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's context cleaner drop the shuffle files of finished jobs."""
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's context cleaner drop the shuffle files of finished jobs.
+
+    It does so once the driver's JVM has collected their plans, and then in a thread of its own.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def map_batches(

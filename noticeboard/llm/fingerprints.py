@@ -104,7 +104,7 @@ class Fingerprinter:
             ends = np.searchsorted(rows, np.arange(1, self.conf.subsets + 1))
             start, hashes = 0, []
             for end in ends.tolist():
-                hashes.append(f"{xxhash.xxh32_intdigest(terms[start:end].tobytes()):08x}" if end > start else "-")
+                hashes.append(f"{xxhash.xxh32_intdigest(terms[start:end].tobytes()) >> 8:06x}" if end > start else "-")
                 start = end
             parts.append(f"{bits}:" + ",".join(hashes))
         return ";".join(parts)
@@ -192,7 +192,7 @@ def fingerprint_documents(docs: DataFrame, conf: IMatch = IMatch()) -> DataFrame
             got = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "following")))
             yield to_batch(columns([told(make, i, t, f, make(t), make(f)) for i, t, f in got]), ends)
 
-    dealt = docs.repartitionByRange(F.desc("doc_id"), F.desc("text")).sortWithinPartitions(F.desc("doc_id"), F.desc("text"))
+    dealt = docs.repartitionByRange(F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"), F.desc("text"))
     rows = materialise(dealt.mapInArrow(run, mixed))
     firsts = rows.where("kind = 'first'").select("range", F.col("text").alias("following"))
     order = Window.orderBy("range")  # a row for each range, without texts
