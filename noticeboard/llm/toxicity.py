@@ -27,7 +27,9 @@ FEATURES = (
     "upper_share capital_words bangs questions punctuation repeated_signs obfuscated leet_hits stretched words mean_length"
 ).split()
 CACHE_WORDS = 300_000
-_seen: dict[str, tuple[dict, list]] = {}
+#: Values of a described word, and the lengths of the beginnings that the lexicon may hold.
+COLUMNS, STEMS = 15, (4, 5, 6)
+_seen: dict = {}
 
 
 @dataclass(frozen=True)
@@ -55,50 +57,84 @@ def terms(word: str) -> list[str]:
     return [w, *(w[:k] + "*" for k in (4, 5, 6) if len(w) >= k)] if w else []
 
 
+class _Words:
+    """A worker's table of described words: rows are reused by every text that has the word."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.table = np.zeros((1 << 14, COLUMNS), np.float32)
+
+    def add(self, words: list[str], describe) -> None:
+        if not words:
+            return
+        first = len(self.place)
+        while first + len(words) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[first : first + len(words)] = [describe(w) for w in words]
+        self.place.update(zip(words, range(first, first + len(words))))
+
+
 class Lexicon:
     """Learned terms with log-odds weights, and what each word of a text adds to its features."""
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
+        self.whole = {t: w for t, w in weights.items() if not t.endswith("*")}
+        self.stems = [(k, {t[:-1]: w for t, w in weights.items() if t.endswith("*") and len(t) == k + 1}) for k in STEMS]
+        self.stems = [(k, stems) for k, stems in self.stems if stems]
         self.name = xxhash.xxh3_64_hexdigest(repr(sorted(weights.items())).encode())
 
+    def weight(self, w: str) -> float:
+        """Of a lower-case word: the largest of its own and its beginnings' weights, 0 without any."""
+        found = self.whole.get(w, 0.0)
+        for k, stems in self.stems:
+            found = max(found, stems.get(w[:k], 0.0))
+        return found
+
     def describe(self, word: str) -> tuple:
+        """Row of a word: lexicon, insult, second person, capitals, signs, obfuscation, stretching, length."""
+        plain = word if word.isalpha() else word.rstrip(".,;:!?")
+        if not plain.isalpha():
+            return self._describe_odd(word)
+        w, n, tail = plain.lower(), len(plain), word[len(plain) :]
+        upper = 0 if plain.islower() else sum(map(str.isupper, plain))
+        weight = self.weight(w)
+        return (
+            weight, weight > 0, w in INSULTS, w in SECOND_PERSON, upper, n, n > 2 and upper == n,
+            tail.count("!"), tail.count("?"), len(tail), len(tail) > 1, False, False, bool(STRETCHED.search(w)), len(word),
+        )
+
+    def _describe_odd(self, word: str) -> tuple:
         w = core(word)
-        weight = max((self.weights.get(t, 0.0) for t in terms(word)), default=0.0)
-        letters = sum(c.isalpha() for c in word)
-        upper = sum(c.isupper() for c in word)
-        signs = [c for c in word if c in PUNCTUATION]
-        decoded = w.translate(LEET)
-        plain = "".join(c for c in decoded if c.isalpha())
-        inside = any(not c.isalpha() for c in w) and letters > 0
-        disguised = inside and (plain in INSULTS or any(t in self.weights for t in terms(plain)))
+        weight = self.weight(w)
+        letters = sum(map(str.isalpha, word))
+        upper = sum(map(str.isupper, word))
+        signs = sum(map(PUNCTUATION.__contains__, word))
+        inside = letters > 0 and not w.isalpha()
+        plain = "".join(filter(str.isalpha, w.translate(LEET))) if inside else ""
+        disguised = inside and (plain in INSULTS or self.weight(plain) > 0)
         return (
             weight, weight > 0, w in INSULTS, w in SECOND_PERSON, upper, letters, letters > 2 and upper == letters,
-            word.count("!"), word.count("?"), len(signs), len(signs) > 1, inside, disguised, bool(STRETCHED.search(w)), len(word),
+            word.count("!"), word.count("?"), signs, signs > 1, inside, disguised, bool(STRETCHED.search(w)), len(word),
         )
 
     def features(self, text: str) -> np.ndarray:
-        kept, rows = _seen.setdefault(self.name, ({}, []))
-        if len(kept) > CACHE_WORDS:
-            kept.clear()
-            rows.clear()
+        known = _seen.get(self.name)
+        if known is None or len(known.place) > CACHE_WORDS:
+            _seen.clear()  # those of another lexicon go as well
+            known = _seen[self.name] = _Words()
         words = text.split()
-        new = [w for w in dict.fromkeys(words) if w not in kept]
-        for w in new:
-            kept[w] = len(rows)
-            rows.append(np.array(self.describe(w), np.float32))
+        known.add([w for w in set(words) if w not in known.place], self.describe)
         n = len(words)
         if not n:
             return np.zeros(len(FEATURES))
-        at = np.fromiter(map(kept.__getitem__, words), np.int64, n)
-        distinct, counts = np.unique(at, return_counts=True)
-        table = np.stack([rows[i] for i in distinct.tolist()])
-        total = counts @ table
-        hit, you = table[:, 1] + table[:, 2] > 0, table[:, 3] > 0
+        at = np.fromiter(map(known.place.__getitem__, words), np.int64, n)
+        rows = known.table[at]
+        total = rows.sum(axis=0, dtype=np.float64)
+        hit, you = rows[:, 1] + rows[:, 2] > 0, rows[:, 3] > 0
         near, nearest = 0, 0.0
         if hit.any() and you.any():
-            where_hit = np.flatnonzero(np.isin(at, distinct[hit]))
-            where_you = np.flatnonzero(np.isin(at, distinct[you]))
+            where_hit, where_you = np.flatnonzero(hit), np.flatnonzero(you)
             right = np.searchsorted(where_you, where_hit)
             gap = np.minimum(
                 np.abs(where_hit - where_you[np.minimum(right, len(where_you) - 1)]), np.abs(where_hit - where_you[np.maximum(right - 1, 0)])
@@ -106,8 +142,8 @@ class Lexicon:
             near, nearest = int((gap <= NEAR).sum()), 1.0 / (1.0 + gap.min())
         return np.array(
             [
-                total[1] / n, total[0] / n, np.log1p(total[1]), hit.sum(), table[:, 0].max(), total[2] / n, np.log1p(total[2]), total[3] / n,
-                near, nearest, total[4] / max(1, total[5]), total[6] / n, total[7] / n, total[8] / n, total[9] / max(1, total[14]),
+                total[1] / n, total[0] / n, np.log1p(total[1]), len(np.unique(at[hit])), rows[:, 0].max(), total[2] / n, np.log1p(total[2]),
+                total[3] / n, near, nearest, total[4] / max(1, total[5]), total[6] / n, total[7] / n, total[8] / n, total[9] / max(1, total[14]),
                 total[10] / n, total[11] / n, total[12] / n, total[13] / n, np.log1p(n), total[14] / n,
             ]
         )
