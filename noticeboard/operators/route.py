@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import routes as R
-from ..functions.text import has_any, has_signal, squeeze, strip, text
+from ..functions.text import signal_pattern, squeeze, strip, text
 
 
-def _join(df: DataFrame, *fields: str) -> Column:
-    return F.lower(F.concat_ws(" ", *(strip(k) if k in df.columns else F.lit("") for k in fields)))
+PLAIN = re.compile("[a-z0-9]+")
+
+
+def _any(x: Column, terms) -> Column:
+    """One of the terms as a substring: plain searches, for texts that are fields already."""
+    return F.exists(F.array(*map(F.lit, terms)), lambda t: x.contains(t))
+
+
+def _signal(x: Column, terms) -> Column:
+    """Routing signal; the pattern runs only on texts that have a term at all."""
+    found = _any(x, terms)
+    return found & x.rlike(signal_pattern(terms)) if any(map(PLAIN.fullmatch, terms)) else found
 
 
 def _first(tests: dict[str, Column]) -> Column:
@@ -31,7 +42,7 @@ def _when(test: Column, *pages: str | Column) -> Column:
 def explicit_type(title: Column, persisted: Column) -> Column:
     """Content type by the persisted type, else by words of the title, else null."""
     result = title.rlike(r"\b(result|merit list|score ?card)\b|परिणाम")
-    tests = {k: has_any(title, v) for k, v in R.EXPLICIT_TYPES.items()}
+    tests = {k: _any(title, v) for k, v in R.EXPLICIT_TYPES.items()}
     ordered = {"admit-card": tests["admit-card"], "answer-key": tests["answer-key"], "result": result} | {
         k: tests[k] for k in ("syllabus", "scholarship", "recruitment")
     }
@@ -48,12 +59,12 @@ def _located(s: Column) -> dict[str, Column]:
     """Locations, identities and the content type of a notice's texts."""
     body, identity = s["body"], s["identity"]
     return {
-        "psc": has_any(identity, R.STATE_PSC),
-        "upsc": identity.rlike(r"\bupsc\b") | has_any(identity, ("union public service commission", "upsc.gov.in")),
-        "uk": has_signal(body, R.UK),
-        "central": has_signal(body, R.CENTRAL),
-        "uk_page": _first({k: has_signal(body, v) for k, v in R.UK_PAGES.items()}),
-        "state_page": _first({k: has_signal(body, v) for k, v in R.STATE_PAGES.items()}),
+        "psc": _any(identity, R.STATE_PSC),
+        "upsc": identity.rlike(r"\bupsc\b") | _any(identity, ("union public service commission", "upsc.gov.in")),
+        "uk": _signal(body, R.UK),
+        "central": _signal(body, R.CENTRAL),
+        "uk_page": _first({k: _signal(body, v) for k, v in R.UK_PAGES.items()}),
+        "state_page": _first({k: _signal(body, v) for k, v in R.STATE_PAGES.items()}),
         "mapped": F.create_map(*(F.lit(x) for kv in R.RAW_CATEGORY.items() for x in kv))[s["raw"]],
         "kind": explicit_type(s["title"], s["type"]),
         "raw": s["raw"],
@@ -89,7 +100,7 @@ def _by_content(t: Column) -> list[Column]:
     """Pages by words of the title and description; banking reads more fields."""
     out = []
     for page, signals in R.CONTENT.items():
-        test = has_signal(t["banking"] if page == "banking" else t["primary"], signals)
+        test = _signal(t["banking"] if page == "banking" else t["primary"], signals)
         if page in ("ssc", "upsc"):
             test = test & ~(t["uk"] | t["psc"])
         if page == "upsc":
@@ -105,7 +116,7 @@ def _fallback(t: Column) -> Column:
     signals = R.CONTENT | R.FALLBACK
     return _first(
         {
-            page: has_signal(t["banking"] if page == "banking" else t["primary"], signals[page]) & ((t["upsc"] & ~t["psc"]) if page == "upsc" else F.lit(True))
+            page: _signal(t["banking"] if page == "banking" else t["primary"], signals[page]) & ((t["upsc"] & ~t["psc"]) if page == "upsc" else F.lit(True))
             for page in R.FALLBACK_ORDER
         }
     )
@@ -126,18 +137,26 @@ def pages(df: DataFrame) -> Column:
     category, the explicit type with the removal of pages it excludes, content signals, a
     keyword fallback where no content page has been found, and Latest Jobs where nothing has.
     """
-    col = lambda k: F.lower(strip(k)) if k in df.columns else F.lit("")
-    full = _join(df, "title", "description", "url", "source", "official_website", "apply_link", "state", "organization", "content")
-    implied = [F.when(full.contains(domain), signals) for domain, signals in R.DOMAIN_SIGNALS.items()]
-    texts = {
-        "raw": squeeze(col("category")),
-        "title": col("title"),
-        "type": col("post_type"),
-        "body": F.concat_ws(" ", full, *implied),
-        "banking": _join(df, "title", "description", "source", "state", "organization", "content"),
-        "primary": _join(df, "title", "description"),
-        "identity": _join(df, "title", "description", "organization", "source", "url", "official_website", "state"),
-    }
+    used = ("title", "description", "url", "source", "official_website", "apply_link", "state", "organization", "content", "category", "post_type")
+    fields = {k: F.lower(strip(k)) if k in df.columns else F.lit("") for k in used}
+
+    def join(f: Column) -> Column:
+        told = lambda *ks: F.concat_ws(" ", *(f[k] for k in ks))
+        texts = {
+            "raw": squeeze(f["category"]),
+            "title": f["title"],
+            "type": f["post_type"],
+            "full": told("title", "description", "url", "source", "official_website", "apply_link", "state", "organization", "content"),
+            "banking": told("title", "description", "source", "state", "organization", "content"),
+            "primary": told("title", "description"),
+            "identity": told("title", "description", "organization", "source", "url", "official_website", "state"),
+        }
+        return _let(texts, imply)
+
+    def imply(s: Column) -> Column:
+        implied = [F.when(s["full"].contains(domain), signals) for domain, signals in R.DOMAIN_SIGNALS.items()]
+        kept = {k: s[k] for k in ("raw", "title", "type", "banking", "primary", "identity")}
+        return _let(kept | {"body": F.concat_ws(" ", s["full"], *implied)}, lambda t: _let(_located(t), locate))
 
     def finish(t: Column) -> Column:
         routed = F.array_compact(F.concat(_by_type(t, t["located"]), *_by_content(t)))
@@ -147,7 +166,7 @@ def pages(df: DataFrame) -> Column:
         kept = ("psc", "upsc", "uk", "kind", "banking", "primary")
         return _let({k: t[k] for k in kept} | {"located": _by_category(t)}, finish)
 
-    return _let(texts, lambda s: _let(_located(s), locate))
+    return _let(fields, join)
 
 
 def route(df: DataFrame) -> DataFrame:
