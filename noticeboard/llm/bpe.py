@@ -8,8 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, texts_of
-from .tokens import rank_encoding
+from .common import claim, documents, map_batches, texts_of
+from .tokens import forget, rank_encoding
 
 
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -20,6 +20,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str =
     """
 
     def make():
+        claim(__name__, forget)
         _, encoder = rank_encoding(rank_file, pattern)
 
         def work(batch):
@@ -37,6 +38,7 @@ def decode_ids(encoded: DataFrame, rank_file: str, pattern: str, ids: str = "ids
     """Raw bytes of id lists: ``id, bytes binary``; the bytes need not be valid UTF-8. Null ids give no bytes."""
 
     def make():
+        claim(__name__, forget)
         encoding, _ = rank_encoding(rank_file, pattern)
 
         def work(batch):
@@ -57,6 +59,7 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """
 
     def make():
+        claim(__name__, forget)
         encoding, encoder = rank_encoding(rank_file, pattern)
 
         def work(batch):

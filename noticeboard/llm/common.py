@@ -66,6 +66,21 @@ def free_shuffles(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+_claims: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, clear: Callable[[], None] | None = None) -> None:
+    """Keep the caches of one operator at a time in a Python worker.
+
+    Workers serve one stage after another; what the last owner has cached is cleared when
+    another begins. ``clear`` empties the caches of ``owner``.
+    """
+    for other in [k for k in _claims if k != owner]:
+        _claims.pop(other)()
+    if clear:
+        _claims[owner] = clear
+
+
 def map_batches(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str
 ) -> DataFrame:
@@ -77,6 +92,7 @@ def map_batches(
     target = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(make.__module__)
         work = make()
         for batch in batches:
             out = work(batch)

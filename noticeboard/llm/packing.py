@@ -11,8 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, documents, texts_of, to_batch
-from .tokens import json_encoder
+from .common import _arrow_schema, claim, documents, texts_of, to_batch
+from .tokens import forget, json_encoder
 
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
@@ -126,6 +126,7 @@ def pack_documents(
     target = _arrow_schema(docs.sparkSession, SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__, forget)
         encoder = json_encoder(tokenizer_file)
         packer = _Packer(TaskContext.get().partitionId(), capacity, window_tokens, linear, quadratic)
         end = np.array([end_id], "<u4").tobytes()

@@ -9,14 +9,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, labels, map_batches, texts_of, unused
+from .common import claim, documents, held_out, labels, map_batches, texts_of, unused
 
 #: Distinct words whose features or weights a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Value of a feature of the whole text; those of its distinct words add up to ``Ratings.scale``.
 TEXT_VALUE = 3.0
 _seen: dict[object, dict] = {}
@@ -68,6 +69,10 @@ def text_buckets(text: str, words: list[str], bits: int) -> tuple[int, ...]:
 
 
 def _cache(key) -> dict:
+    """The words of one use, the last: those of another model or step go."""
+    if key not in _seen:
+        _seen.clear()
+    claim(__name__, _seen.clear)
     kept = _seen.setdefault(key, {})
     if len(kept) > CACHE_WORDS:
         kept.clear()
@@ -153,7 +158,7 @@ def fit_rows(grades: np.ndarray, row: np.ndarray, col: np.ndarray, val: np.ndarr
     for step in range(1, conf.steps + 1 if n else 1):
         w, gaps = params[:dims], np.exp(params[dims + 1 :])
         cuts = params[dims] + np.concatenate([[0.0], np.cumsum(gaps)])
-        f = np.bincount(row, weights=val * w[col], minlength=n)
+        f = np.bincount(row, weights=val * w.astype(np.float32)[col], minlength=n)
         upper = np.append(cuts, np.inf)[grades]
         lower = np.append(-np.inf, cuts)[grades]
         a, b = np.where(np.isinf(upper), 1.0, logistic(upper - f)), np.where(np.isinf(lower), 0.0, logistic(lower - f))
@@ -163,7 +168,7 @@ def fit_rows(grades: np.ndarray, row: np.ndarray, col: np.ndarray, val: np.ndarr
         grad_cuts = np.array([db[grades == k + 1].__truediv__(p[grades == k + 1]).sum() - da[grades == k].__truediv__(p[grades == k]).sum() for k in range(levels - 1)]) / n
         grad = np.concatenate(
             [
-                np.bincount(col, weights=val * slope[row], minlength=dims) + conf.ridge * w,
+                np.bincount(col, weights=val * slope.astype(np.float32)[row], minlength=dims) + conf.ridge * w,
                 [grad_cuts.sum()],
                 [grad_cuts[k:].sum() * gaps[k - 1] for k in range(1, levels - 1)],
             ]
@@ -184,11 +189,15 @@ def fit(docs: DataFrame, ratings: DataFrame, conf: Ratings = Ratings()) -> Ordin
     """
     rated = ratings.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "grade")
     sample = rated.orderBy(F.xxhash64("doc_id"), "grade").limit(conf.sample)
-    rows = vectors(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), conf.bits, conf.scale).toPandas()
-    rows = rows.iloc[: 4 * conf.sample]
-    sizes = np.array([len(b) for b in rows["buckets"]], np.int64)
-    flat = lambda c, kind: np.concatenate([np.asarray(x, kind) for x in rows[c]]) if len(rows) else np.zeros(0, kind)
-    return fit_rows(rows["grade"].to_numpy(np.int64), np.repeat(np.arange(len(rows)), sizes), flat("buckets", np.int64), flat("values", np.float64), conf)
+    rows = vectors(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), conf.bits, conf.scale).toArrow()
+    grades = rows.column("grade").to_numpy().astype(np.int64)
+    lists, values = (rows.column(c).combine_chunks() for c in ("buckets", "values"))
+    if isinstance(lists, pa.ChunkedArray):
+        lists, values = pa.concat_arrays(lists.chunks), pa.concat_arrays(values.chunks)
+    row = np.repeat(np.arange(len(grades), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    col, val = lists.flatten().to_numpy().astype(np.int32), values.flatten().to_numpy()
+    del rows, lists, values
+    return fit_rows(grades, row, col, val, conf)
 
 
 def graded(marks: DataFrame) -> DataFrame:

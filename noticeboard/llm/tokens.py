@@ -105,6 +105,11 @@ class PieceEncoder:
 _KEPT: dict[tuple[str, str], object] = {}
 
 
+def forget() -> None:
+    """Drop the encoders of this worker with their caches."""
+    _KEPT.clear()
+
+
 def json_encoder(path: str) -> PieceEncoder:
     """The tokenizers library's file; strings of special tokens are ordinary text. One per worker."""
     if ("json", path) not in _KEPT:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, labels, map_batches, texts_of
+from .common import claim, documents, held_out, labels, map_batches, texts_of
 
 # Fixed word lists: plain insults, and second-person pronouns of the languages scored.
 INSULTS = frozenset("dumb fool foolish garbage idiot idiotic imbecile jerk loser lunatic moron pathetic scum stupid trash useless worthless clown disgusting".split())
@@ -122,6 +122,7 @@ class Lexicon:
         known = _seen.get(self.name)
         if known is None or len(known.place) > CACHE_WORDS:
             _seen.clear()  # those of another lexicon go as well
+            claim(__name__, _seen.clear)
             known = _seen[self.name] = _Words()
         words = text.split()
         known.add([w for w in set(words) if w not in known.place], self.describe)
