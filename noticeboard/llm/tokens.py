@@ -20,7 +20,7 @@ import numpy as np
 UNSAFE = re.compile(r" (?!\S)")
 SAFE_CUT = re.compile(r" (?=\S)")
 #: Distinct pieces that a worker remembers, and characters of text that it treats at once.
-CACHE_PIECES, CHUNK_CHARS = 800_000, 4_000_000
+CACHE_PIECES, CHUNK_CHARS = 1_500_000, 4_000_000
 #: ASCII signs that the pattern parts from letters in front of them, and the end of the Latin letters.
 SIGNS, LATIN = ".,;:!?|", "\u0250"
 
