@@ -22,17 +22,35 @@ BASE = {
     "hex": re.compile(r"[0-9a-f]{32,}"),
 }
 MORE = {
-    "private": re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    "private": re.compile(
+        r"""-----BEGIN\x20(?:[A-Z]+\x20)*PRIVATE\x20KEY-----
+        (?: ((?:(?!-----).)*+) -----END\x20(?:[A-Z]+\x20)*PRIVATE\x20KEY-----
+          | ( (?: (?:\s|\\[nr])*+ (?:Proc-Type|DEK-Info|Comment):[^\n\\]*+ )*+
+              (?: (?:\s|\\[nr]|["'>\#])*+ [A-Za-z0-9+/]{16,}+ ={0,2} (?![\w.+/=-]) )*+
+              (?: (?<=[A-Za-z0-9+/=]{16}) \x20*+ (?:\r?\n|(?:\\r)?\\n) [\x20"'>\#]*+ [A-Za-z0-9+/]{1,15}+ ={0,2} (?=["']?\s*+(?:$|\n|\\[nr])) )? ) )""",
+        re.A | re.S | re.X,
+    ),
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     "prefixed": re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})"),
 }
 KINDS = [*BASE, *MORE]
+#: White space in a key's body, also as the escapes of a quoted string.
+BLANKS = re.compile(r"\s|\\[nr]")
 #: What must be in a text for the costlier patterns to match at all.
 ASSIGN_HINT = re.compile(r"passw|secret|token|api_?key", re.A | re.I)
 
 
+def key_value(m: re.Match) -> str:
+    """A private key's body without white space; the header where no body follows."""
+    return BLANKS.sub("", m[1] or m[2] or "") or m[0]
+
+
 def find_spans(text: str) -> list[tuple[int, int, str, str]]:
-    """All candidates ``(start, kind index, end, value)`` by start, then kind; code points, end exclusive."""
+    """All candidates ``(start, kind index, end, value)`` by start, then kind; code points, end exclusive.
+
+    A private key reaches from its BEGIN line to its END line, or to its last line of base64 where
+    END is missing; its value is the body, so that two keys under one header are two values.
+    """
     found = []
     if ASSIGN_HINT.search(text):
         found += [(m.start(), 0, m.end(), m[2]) for m in BASE["assign"].finditer(text) if len(m[2]) >= 8]
@@ -41,7 +59,7 @@ def find_spans(text: str) -> list[tuple[int, int, str, str]]:
     found += [(m.start(), 2, m.end(), m[0]) for m in BASE["hex"].finditer(text)]
     for k, (kind, hint) in enumerate((("private", "-----BEGIN "), ("jwt", "eyJ"), ("prefixed", "")), 3):
         if hint in text and (hint or any(x in text for x in ("gh", "xox", "sk_live_"))):
-            found += [(m.start(), k, m.end(), m[0]) for m in MORE[kind].finditer(text)]
+            found += [(m.start(), k, m.end(), key_value(m) if kind == "private" else m[0]) for m in MORE[kind].finditer(text)]
     return sorted(found)
 
 

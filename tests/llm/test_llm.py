@@ -269,6 +269,25 @@ def test_ownership_parts_examples_from_live_values(spark):
     assert text[10] == "[secret]" and text[0] == "password=commonexample1" and text[11] == "secret=aaaaaaaaaaaa"
 
 
+def test_private_keys_are_told_by_their_bodies(spark):
+    def block(seed, owner, end=True):
+        body = hashlib.sha512(f"{owner}{seed}".encode()).hexdigest().upper()
+        return "\n".join(["-----BEGIN RSA PRIVATE KEY-----", body[:64], body[64:] + "==", *(["-----END RSA PRIVATE KEY-----"] if end else [])])
+
+    shared = block(0, "all")
+    rows = [(i, f"see\n{block(i, i)}\nthen prose", "en" if i % 2 else "de", f"s{i}", 0) for i in range(2)]  # two keys of two owners
+    rows += [(10 + i, f"doc {shared}", "en" if i % 2 else "de", f"s{i}", 0) for i in range(4)]
+    rows += [(20, f"cut\n{block(20, 20, end=False)}\nNo key here.", "en", "s1", 0), (21, "k = '" + block(21, 21).replace("\n", "\\n") + "' # mine", "fr", "s9", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    scanned = {r.doc_id: r for r in secrets.scan_secrets(docs).collect()}
+    private = lambda r: sum(x.startswith("private:") for x in filter(None, r.live_spans.split(",")))
+    assert [private(scanned[i]) for i in (0, 1, 10, 13, 20, 21)] == [1, 1, 0, 0, 1, 1]
+    assert scanned[0].spans.split(",")[0] == f"private:4:{4 + len(block(0, 0))}"
+    text = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert text[0] == text[1] == "see\n[secret]\nthen prose" and text[10] == rows[2][1]
+    assert text[20] == "cut\n[secret]\nNo key here." and text[21] == "k = '[secret]' # mine"
+
+
 def test_line_dedup_equals_brute_force(spark):
     r = random.Random(1)
     common = ["menu", "footer line", " spaced "]
