@@ -6,6 +6,9 @@ key that a third of all rows share costs one row from each task.
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,8 +55,38 @@ def capped_sections(df: DataFrame, section: str, caps: dict[str, int], order: Se
     return top_per_group(known, section, order, max(caps.values())).where(F.col("rank") <= cap)
 
 
-def rank_decay(df: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
-    """Rank of the first ``limit`` rows and a score that falls with it, one at least."""
-    top = df.orderBy(*order).limit(limit)
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet under ``spark.checkpoint.dir`` (a temporary folder without it) and read again."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"noticeboard-{os.getuid()}")
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def rank_all(df: DataFrame, order: Sequence[Column], rank: str = "rank") -> DataFrame:
+    """Every row with its place by ``order``, a BIGINT from 1; no task sorts all rows.
+
+    Rows are dealt by range, sorted inside their tasks and kept, as ranges are sampled anew each
+    time a plan runs. A row's rank is its place in its range behind the rows of all ranges
+    before it; the window over the counts reads one row a range.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # the id is the task's number, then the row's place in the task
+    kept = _kept(dealt.select(F.struct(*df.columns).alias("_row"), F.monotonically_increasing_id().alias("_at")))
+    kept = kept.select("_row", F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
+    counts = kept.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_before"))
+    ranked = kept.join(F.broadcast(counts), "_part")
+    given = [F.col("_row")[c].alias(c) for c in df.columns if c != rank]
+    return ranked.select(*given, (F.col("_before") + F.col("_place") + 1).alias(rank))
+
+
+def rank_decay(df: DataFrame, order: Sequence[Column], limit: int | None = None) -> DataFrame:
+    """Rank of every row, or of the first ``limit`` rows, and a score that falls with it, one at least."""
+    if limit is None:
+        ranked = rank_all(df, order)
+    else:
+        ranked = df.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     return ranked.withColumn("score", F.greatest(100 - 2 * F.col("rank") + 2, F.lit(1)))

@@ -407,6 +407,14 @@ def sort_latest(spark, sf_dir):
     return top.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("rank").alias("place"))
 
 
+@query("q_sort_latest_all", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, row_number() OVER (ORDER BY o_totalprice DESC, o_orderdate DESC, o_orderkey) AS place FROM orders")
+def sort_latest_all(spark, sf_dir):
+    """The place of every order by price, date and key."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
+    ranked = dedupe.rank_decay(orders, [F.desc("o_totalprice"), F.desc("o_orderdate"), F.col("o_orderkey")])
+    return ranked.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("rank").alias("place"))
+
+
 @query("q_top50_per_category", """
 SELECT p_type, l_orderkey, CAST(l_linenumber AS INT) AS l_linenumber, CAST(r AS INT) AS rank FROM (SELECT p_type, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY p_type ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r
   FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE r <= 50""")
@@ -434,6 +442,12 @@ def rank_decay(spark, sf_dir):
     return top.select("p_partkey", "rank", F.col("score").cast("int").alias("score"))
 
 
+@query("q_rank_decay_all", "SELECT p_partkey, r AS rank, greatest(100 - 2 * (r - 1), 1) AS score FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r FROM part)")
+def rank_decay_all(spark, sf_dir):
+    ranked = dedupe.rank_decay(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), [F.desc("p_retailprice"), F.col("p_partkey")])
+    return ranked.select("p_partkey", "rank", "score")
+
+
 # Counts.
 
 @query("q_summary_grouping_sets", """

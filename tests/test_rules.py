@@ -134,6 +134,15 @@ def test_dedupe(spark):
     assert sorted(r.ord for r in capped.collect()) == [3, 4]
 
 
+def test_rank_decay_ranks_every_row(spark):
+    rows = spark.range(1000).select(F.col("id").alias("ord"), (F.col("id") * 7919 % 13).alias("priority")).repartition(7)
+    ranked = dedupe.rank_decay(rows, [F.desc("priority"), F.col("ord")]).collect()
+    want = sorted(range(1000), key=lambda i: (-(i * 7919 % 13), i))
+    assert [r.ord for r in sorted(ranked, key=lambda r: r.rank)] == want
+    assert all(r.score == max(102 - 2 * r.rank, 1) for r in ranked) and sorted(r.rank for r in ranked) == list(range(1, 1001))
+    assert dedupe.rank_decay(rows.limit(0), [F.col("ord")]).count() == 0
+
+
 def test_merge(spark):
     kind = "job_id string, title string, vacancy string, apply_link string, year string"
     old = spark.createDataFrame([("1", "A", "5", "https://x", "2025"), ("2", "B", "not mentioned", "", ""), ("3", "C", "N/A", "", ""), ("4", "D", "9", "", "2024")], kind)
