@@ -8,10 +8,11 @@ Parquet and read again as the next stage's ``docs``. All but the last return the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from noticeboard.llm.common import labels, shared_dir
+from noticeboard.llm.common import labels, materialise, shared_dir, unused
 from noticeboard.llm.lines import drop_boilerplate
-from noticeboard.llm.near_dedup import NearDedup, near_duplicates
+from noticeboard.llm.near_dedup import NearDedup, near_duplicates, repeated_ids
 from noticeboard.llm.packing import pack_documents
 from noticeboard.llm.quality import quality_scores
 from noticeboard.llm.secrets import redact
@@ -27,11 +28,37 @@ def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return drop_boilerplate(docs).select(docs.columns)
 
 
+def with_own_ids(docs: DataFrame, repeated: DataFrame, own: str) -> DataFrame:
+    """``docs`` with an id ``own`` of each distinct row, where ids repeat.
+
+    Identical rows of one id become one. The smallest text of a repeated id keeps the id; its
+    other rows get ids behind all others, so that each text is compared.
+    """
+    key = F.col("doc_id").cast("bigint")
+    ids = repeated.select(F.col("doc_id").alias(own))
+    single = docs.join(ids, key == F.col(own), "left_anti").withColumn(own, key)
+    rows = materialise(docs.join(ids, key == F.col(own), "left_semi").distinct())
+    row = F.struct(*rows.columns)
+    first = rows.groupBy(key.alias(own)).agg(F.min(F.struct(F.col("text").isNull(), "text", row.alias("row"))).alias("least"))
+    first = materialise(first.select("least.row.*", own))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in rows.columns]
+    rest = rows.alias("a").join(first.alias("b"), [F.col("a.doc_id") == F.col("b.doc_id"), *same], "left_anti")
+    most = docs.agg(F.max(key)).first()[0]
+    rest = materialise(rest.withColumn(own, F.lit(most) + 1 + F.monotonically_increasing_id()))
+    return materialise(single.unionByName(first).unionByName(rest))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each group of near-duplicates: five words, 0.8 or more."""
-    groups = near_duplicates(docs, NearDedup())
-    gone = groups.where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Keep the document of smallest id of each group of near-duplicates: five words, 0.8 or more.
+
+    Where ids repeat, one of identical rows stays, and different texts of one id are documents of their own.
+    """
+    own, columns = unused(docs, "_own"), docs.columns
+    repeated = repeated_ids(docs)
+    docs = docs.withColumn(own, F.col("doc_id").cast("bigint")) if repeated.isEmpty() else with_own_ids(docs, repeated, own)
+    groups = near_duplicates(docs.select(F.col(own).alias("doc_id"), "text"), NearDedup())
+    gone = groups.where("NOT kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone, own, "left_anti").select(columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

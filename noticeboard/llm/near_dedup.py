@@ -298,6 +298,12 @@ def _torn(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(torn.select("key"), "key")
 
 
+def repeated_ids(docs: DataFrame) -> DataFrame:
+    """``doc_id, _rows`` of the ids that several rows have; only ids are shuffled to find them."""
+    ids = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
+    return materialise(ids.agg(F.count("*").alias("_rows")).where("_rows > 1"))
+
+
 def near_duplicates(docs: DataFrame, conf: NearDedup = NearDedup()) -> DataFrame:
     """Components of near-duplicate documents: ``doc_id, n_shingles, component_id, kept``.
 
@@ -310,10 +316,15 @@ def near_duplicates(docs: DataFrame, conf: NearDedup = NearDedup()) -> DataFrame
 
     ``component_id`` is the smallest id reachable. Null and empty texts, and texts without words,
     have an empty set, link with nothing and stay. A repeated id is one document of its
-    smallest text; rows with a null id stay as they are with a null component. An empty table
-    gives no rows. Other columns are not read.
+    smallest text that is not null, which each of its rows shows; rows with a null id stay as they
+    are with a null component. An empty table gives no rows. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    repeated = repeated_ids(docs)
+    again = not repeated.isEmpty()
+    if again:
+        smallest = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+        docs = docs.join(repeated, "doc_id", "left_anti").unionByName(materialise(smallest))
     sketch = materialise(sketches(docs, conf))
     known = sketch.where("set_hash IS NOT NULL AND doc_id IS NOT NULL")
     classes = known.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
@@ -332,6 +343,9 @@ def near_duplicates(docs: DataFrame, conf: NearDedup = NearDedup()) -> DataFrame
 
     members = sketch.join(classes, "set_hash", "left")
     members = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    if again:
+        rows = members.join(repeated, "doc_id", "left")
+        members = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.coalesce("_rows", F.lit(1)))))
     component = F.coalesce("component", "rep", "doc_id")
     return members.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")

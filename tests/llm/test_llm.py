@@ -170,6 +170,31 @@ def test_near_duplicates_equal_brute_force(spark, k, percent):
     assert [(got[i].n_shingles, got[i].component_id, got[i].kept) for i in range(len(texts))] == [(len(s), c, c == i) for i, (s, c) in enumerate(zip(sets, want))]
 
 
+def repeated_rows(spark):
+    """Id 5 has texts a and b (a is smaller) and id 9 has c twice; 6 is like a, 8 is b and 10 is like c."""
+    a, b, c = (" ".join([x, *words(120, seed, 5000)]) for x, seed in (("a", 1), ("b", 2), ("c", 3)))
+    rows = [(5, b), (5, a), (6, a + " more"), (8, b), (9, c), (9, c), (10, c + " more"), (None, a), (None, a), (12, None), (12, "z " * 9)]
+    return spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(5), (a, b, c)
+
+
+def test_repeated_id_is_one_document_of_its_smallest_text(spark):
+    docs, _ = repeated_rows(spark)
+    for order in (F.asc("text"), F.desc("text")):
+        got = near_dedup.near_duplicates(docs.orderBy(order).coalesce(1)).collect()
+        assert [r.kept for r in got if r.doc_id is None] == [True, True]
+        told = sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id is not None)
+        want = [(5, 5, True)] * 2 + [(6, 5, False), (8, 8, True)] + [(9, 9, True)] * 2 + [(10, 9, False)] + [(12, 12, True)] * 2
+        assert told == want and {r.n_shingles for r in got if r.doc_id == 12} == {1}
+
+
+def test_stage_keeps_one_of_identical_rows_and_every_other_text(spark):
+    docs, (a, b, c) = repeated_rows(spark)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.dtypes == docs.dtypes
+    left = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert left == sorted([(0, a), (0, a), (5, a), (8, b), (9, c), (12, ""), (12, "z " * 9)])
+
+
 def test_posterior_bound_is_a_binomial_tail():
     assert near_dedup.least_matches(0.85, 16, 1e-7) <= 8
     assert near_dedup.least_matches(0.85, 1024, 1e-7) > 0.79 * 1024
