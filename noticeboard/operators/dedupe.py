@@ -6,14 +6,13 @@ key that a third of all rows share costs one row from each task.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+
 
 def _row(df: DataFrame) -> Column:
     return F.struct(*df.columns)
@@ -55,15 +54,6 @@ def capped_sections(df: DataFrame, section: str, caps: dict[str, int], order: Se
     return top_per_group(known, section, order, max(caps.values())).where(F.col("rank") <= cap)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet under ``spark.checkpoint.dir`` (a temporary folder without it) and read again."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"noticeboard-{os.getuid()}")
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def rank_all(df: DataFrame, order: Sequence[Column], rank: str = "rank") -> DataFrame:
     """Every row with its place by ``order``, a BIGINT from 1; no task sorts all rows.
 
@@ -74,7 +64,7 @@ def rank_all(df: DataFrame, order: Sequence[Column], rank: str = "rank") -> Data
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     # the id is the task's number, then the row's place in the task
-    kept = _kept(dealt.select(F.struct(*df.columns).alias("_row"), F.monotonically_increasing_id().alias("_at")))
+    kept = materialise(dealt.select(F.struct(*df.columns).alias("_row"), F.monotonically_increasing_id().alias("_at")))
     kept = kept.select("_row", F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
     before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
     counts = kept.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_before"))
