@@ -3,11 +3,6 @@
 from __future__ import annotations
 
 import functools
-import gc
-import os
-import tempfile
-import time
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import clean, materialise, release, scratch, shared_dir  # noqa: F401
+
 U64 = np.uint64
 MASK64 = (1 << 64) - 1
 
@@ -27,27 +24,6 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder name under ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where the setting is absent (single-machine tests) a temporary folder stands in.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), f"noticeboard-{os.getuid()}")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again.
-
-    This cuts the lineage at a table that outlives any executor.
-    """
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def unused(df: DataFrame, name: str) -> str:
     """The name, with underscores behind it if ``df`` has it already."""
     while name in df.columns:
@@ -55,15 +31,62 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's context cleaner drop the shuffle files of finished jobs.
+#: A key is heavy if more than one in ``HEAVY_SHARE`` rows has it; a sketch of ``TRACKED`` keys finds them.
+HEAVY_SHARE, TRACKED = 1024, 8192
+
+
+def heavy_keys(rows: DataFrame, key: str) -> DataFrame | None:
+    """``_heavy, _parts``: hashes of the keys that more than one in ``HEAVY_SHARE`` rows have, or None.
 
-    It does so once the driver's JVM has collected their plans, and then in a thread of its own.
+    At most ``HEAVY_SHARE`` keys can be heavy, so the table may be broadcast whatever the input, and
+    ``_parts``, by which a key's rows are dealt, sums to at most twice as many. The sketch combines
+    in each task; a count that is off moves rows to other tasks and changes no result.
     """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    top = rows.select(F.xxhash64(key).alias("h")).agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h, {HEAVY_SHARE}, {TRACKED})").alias("top")).first()
+    found = [(x["item"], -(-x["count"] * HEAVY_SHARE // top["n"])) for x in top["top"] if x["count"] * HEAVY_SHARE > top["n"]]
+    return rows.sparkSession.createDataFrame(found, "_heavy bigint, _parts int") if found else None
+
+
+def heavy_counted(counts: DataFrame, key: str, n: str) -> DataFrame | None:
+    """:func:`heavy_keys` from a table of exact counts, one row a key."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    parts = F.ceil(F.col(n) * HEAVY_SHARE / total).cast("int") if total else F.lit(1)
+    found = counts.where(F.col(n) * HEAVY_SHARE > total).select(F.xxhash64(key).alias("_heavy"), parts.alias("_parts")).collect()
+    return counts.sparkSession.createDataFrame(found, "_heavy bigint, _parts int") if found else None
+
+
+def dealt(rows: DataFrame, key: str, heavy: DataFrame | None) -> DataFrame:
+    """``rows`` with ``_part``: 0, or for a heavy key one of its parts, by a hash of the row."""
+    if heavy is None:
+        return rows.withColumn("_part", F.lit(0))
+    row = F.xxhash64(*(F.col(c) for c in rows.columns if c != key), F.lit(0))
+    joined = rows.join(F.broadcast(heavy), F.xxhash64(key) == F.col("_heavy"), "left")
+    part = F.coalesce(F.pmod(row, F.col("_parts")), F.lit(0)).cast("int")
+    return joined.withColumn("_part", part).select(*rows.columns, "_part")
+
+
+def copied(facts: DataFrame, key: str, heavy: DataFrame | None) -> DataFrame:
+    """``facts``, one row a key, with ``_part``: a copy for each part of a heavy key."""
+    if heavy is None:
+        return facts.withColumn("_part", F.lit(0))
+    joined = facts.join(F.broadcast(heavy), F.xxhash64(key) == F.col("_heavy"), "left")
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    return joined.withColumn("_part", parts).select(*facts.columns, "_part")
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, heavy: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``facts`` by ``key``, each heavy key's rows dealt to many tasks."""
+    if heavy is None:
+        return rows.join(facts, key, how)
+    return dealt(rows, key, heavy).join(copied(facts, key, heavy), [key, "_part"], how).drop("_part")
+
+
+def apart(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` with columns of these names, which a result needs, renamed: an ``_in`` is put behind them."""
+    for name in names:
+        if name in docs.columns:
+            docs = docs.withColumnRenamed(name, unused(docs, name + "_in"))
+    return docs
 
 
 _claims: dict[str, Callable[[], None]] = {}

@@ -11,11 +11,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, _arrow_schema, documents, free_shuffles, map_batches, materialise, mix64, odd_constants, to_batch
+from .common import U64, _arrow_schema, bytes_of, documents, map_batches, materialise, mix64, odd_constants, scratch, to_batch
 
 #: Bytes of a text that part its terms; A-Z are lowered. Other bytes are part of terms.
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else 32 if chr(c) in string.punctuation or c < 32 else c) for c in range(256))
@@ -141,15 +142,29 @@ def fingerprint_documents(docs: DataFrame, conf: IMatch = IMatch()) -> DataFrame
 
     ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``. The
     next document is the one with the next smaller id; the first follows the last. Texts are
-    dealt once by id ranges and each range is read in order; only the text at a range's end
-    meets the next range's first text by a join. Null texts are empty. Rows of one id follow
-    each other by text, null ids come last. A single row is its own next document. An empty
-    table gives no rows.
+    dealt once, compressed, by ranges of id and text hash and each range is read in order; only the
+    text at a range's end meets the next range's first text by a join. Null texts are empty. Rows of
+    one id follow each other by a hash of their text, null ids come last. A single row is its own
+    next document. An empty table gives no rows. Other columns are not read.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    with scratch() as keep:
+        return keep(_fingerprint_documents(docs, conf))
+
+
+def press(docs: DataFrame) -> DataFrame:
+    """``doc_id, hash, text``: the text compressed, with a hash of it that parts rows of one id."""
+
+    def make():
+        pressed = zstandard.ZstdCompressor(level=3).compress
+        return lambda batch: {"doc_id": batch.column("doc_id"), "hash": batch.column("hash"), "text": [pressed(t) for t in bytes_of(batch)]}
+
+    return map_batches(docs.select("doc_id", F.xxhash64("text").alias("hash"), "text"), make, "doc_id bigint, hash bigint, text binary")
+
+
+def _fingerprint_documents(docs: DataFrame, conf: IMatch) -> DataFrame:
+    spark = docs.sparkSession
     terms = spark.sparkContext.broadcast(lexicon(docs, conf))
-    free_shuffles(spark)
     result = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = [x.split()[0] for x in result.split(", ")]
     mixed = f"kind string, range bigint, text string, {result}"
@@ -166,6 +181,7 @@ def fingerprint_documents(docs: DataFrame, conf: IMatch = IMatch()) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, here, before = Fingerprinter(terms.value, conf), TaskContext.get().partitionId(), None
+        whole = zstandard.ZstdDecompressor().decompress
 
         def edge(kind: str, doc_id, text: str) -> pa.RecordBatch:
             blank = {n: [None] for n in names} | {"doc_id": [doc_id]}
@@ -174,6 +190,7 @@ def fingerprint_documents(docs: DataFrame, conf: IMatch = IMatch()) -> DataFrame
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                text = whole(text).decode()
                 mark = make(text)
                 if before is None:
                     yield edge("first", doc_id, text)
@@ -192,8 +209,9 @@ def fingerprint_documents(docs: DataFrame, conf: IMatch = IMatch()) -> DataFrame
             got = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "following")))
             yield to_batch(columns([told(make, i, t, f, make(t), make(f)) for i, t, f in got]), ends)
 
-    dealt = docs.repartitionByRange(F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"), F.desc("text"))
-    rows = materialise(dealt.mapInArrow(run, mixed))
+    order = F.desc("doc_id"), F.desc("hash")
+    ranges = press(docs).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = materialise(ranges.select("doc_id", "text").mapInArrow(run, mixed))
     firsts = rows.where("kind = 'first'").select("range", F.col("text").alias("following"))
     order = Window.orderBy("range")  # a row for each range, without texts
     met = firsts.select("range").withColumn("next", F.lead("range").over(order)).withColumn("start", F.min("range").over(Window.partitionBy()))

@@ -9,10 +9,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, bytes_of, documents, map_batches, materialise, mix64, odd_constants
+from .common import (
+    U64, bytes_of, copied, dealt, documents, heavy_counted, heavy_keys, map_batches, materialise, mix64, odd_constants, release, scratch, spread_join
+)
 from .components import connected_components
 
 #: Shingle hashes that are permuted at once: the block stays in the processor's cache.
@@ -168,114 +170,175 @@ def prune(pairs: DataFrame, conf: NearDedup) -> DataFrame:
 
 
 def with_signatures(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` with ``sig_a, sig_b``; the pairs of a hub are dealt to many tasks."""
     left = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
     right = reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
-    return pairs.join(left, "a").join(right, "b")
+    return spread_join(pairs, left, "a", heavy_keys(pairs, "a")).join(right, "b")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, conf: NearDedup) -> DataFrame:
     """The pairs ``a, b`` whose full shingle sets reach the threshold, from the documents' texts.
 
-    Each document's set is made once where its text lies next to the pairs' first side; a hub
-    that many pairs name is joined to them, never gathered with them into one group.
+    Each first side's pairs lie together behind one row that carries its text, so its set is made
+    once; the pairs of a hub that very many name are dealt to many tasks first.
     """
+    heavy_a, heavy_b = heavy_keys(pairs, "a"), heavy_keys(pairs, "b")
     texts = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     hubs = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    rows = pairs.join(texts, "b").join(hubs, "a")
+    rows = dealt(pairs.select("a", "b"), "a", heavy_a).withColumnRenamed("_part", "_deal")
+    rows = spread_join(rows, texts, "b", heavy_b)
+    rows = rows.join(copied(hubs, "a", heavy_a).withColumnRenamed("_part", "_deal"), ["a", "_deal"])
+    first = F.row_number().over(Window.partitionBy("a", "_deal").orderBy("b")) == 1
+    rows = rows.select("a", F.when(first, F.struct("text_a")).alias("hub"), "b", "text_b")
 
     def make():
-        kept: dict = {}
+        at, known = None, None
 
         def work(batch):
-            if not len(batch):
-                return None
+            nonlocal at, known
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            keep = []
-            for i, (x, text_a, text_b) in enumerate(zip(a, bytes_of(batch, "text_a"), bytes_of(batch, "text_b"))):
-                if x not in kept:
-                    kept.clear()
-                    kept[x] = shingle_hashes(text_a, conf.words)
-                p, q = kept[x], shingle_hashes(text_b, conf.words)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                if 100 * both >= conf.percent * (len(p) + len(q) - both):
+            hub, keep = batch.column("hub"), []
+            for i, (x, text_b) in enumerate(zip(a, bytes_of(batch, "text_b"))):
+                if hub[i].is_valid:
+                    at, known = x, shingle_hashes((hub[i].as_py()["text_a"] or "").encode(), conf.words)
+                if at != x:
+                    raise RuntimeError("a pair lies apart from its hub's text")
+                other = shingle_hashes(text_b, conf.words)
+                both = len(np.intersect1d(known, other, assume_unique=True))
+                if 100 * both >= conf.percent * (len(known) + len(other) - both):
                     keep.append(i)
             return {"a": [a[i] for i in keep], "b": [b[i] for i in keep]}
 
         return work
 
-    return map_batches(rows.select("a", "text_a", "text_b", "b"), make, "a bigint, b bigint")
+    return map_batches(rows, make, "a bigint, b bigint")
 
 
-def _hub_pairs(buckets: DataFrame) -> DataFrame:
-    """Each bucket's members paired with its hub: the member that meets most others in its buckets.
+def _hub_pairs(buckets: DataFrame, heavy: DataFrame | None) -> DataFrame:
+    """``a, b``: each bucket's hub with its other members; the hub meets most others in its buckets.
 
     Of texts edited from one original, each edited otherwise, the original meets most, so that
-    one star joins them all.
+    one star joins them all. A hub's fame is larger than its members', so a pair has one order.
     """
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("n"))
-    met = buckets.join(sizes, "key")
-    fame = met.groupBy("rep").agg(F.sum("n").alias("fame"))
+    fame = buckets.groupBy("rep").agg(F.sum("n").alias("fame"))
     ranked = buckets.join(fame, "rep")
     hubs = ranked.groupBy("key").agg(F.max_by("rep", F.struct("fame", -F.col("rep"))).alias("hub"))
-    pairs = buckets.join(hubs, "key").where("hub <> rep")
-    return pairs.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+    pairs = spread_join(buckets.select("key", "rep"), hubs, "key", heavy).where("hub <> rep")
+    return pairs.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
 
 
-def _block_survivors(torn: DataFrame, reps: DataFrame, docs: DataFrame, conf: NearDedup) -> DataFrame:
-    """``a, b``: pairs of one bucket but different components that the signatures do not rule out.
+def _blocks(torn: DataFrame, heavy: DataFrame | None, reps: DataFrame, docs: DataFrame, conf: NearDedup) -> DataFrame:
+    """``key, block, members``: a bucket's largest component, and the rest of its members, in blocks.
 
-    A bucket's largest component and the rest of its members are cut into blocks. Each pair of
-    blocks, but for two of the largest component, is one row, compared in one vectorised step:
-    candidate pairs never become rows. A pair is given by its first common band only.
+    Blocks of the largest component have odd numbers.
     """
     sizes = torn.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
     largest = F.col("component") == F.col("main")
     parts = F.ceil(F.when(largest, F.col("most")).otherwise(F.col("all") - F.col("most")) / conf.block)
     block = F.pmod(F.xxhash64("rep"), parts) * 2 + largest.cast("int")
-    named = torn.join(main, "key").select("key", "rep", "component", block.alias("block"))
+    named = spread_join(torn, main, "key", heavy).select("key", "rep", "component", block.alias("block"))
     fine = materialise(fine_signatures(torn.select("rep").distinct(), docs, conf))
     member = F.struct("rep", "component", "n_shingles", "sig", "fine")
-    blocks = named.join(reps, "rep").join(fine, "rep").groupBy("key", "block").agg(F.collect_list(member).alias("members"))
-    blocks = materialise(blocks)
-    ids = blocks.select("key", "block")
-    met = ids.join(ids.withColumnRenamed("block", "other"), "key").where("block <= other AND (block % 2 = 0 OR other % 2 = 0)")
+    return named.join(reps, "rep").join(fine, "rep").groupBy("key", "block").agg(F.collect_list(member).alias("members"))
+
+
+def _block_survivors(met: DataFrame, blocks: DataFrame, conf: NearDedup, skip: int, width: int) -> DataFrame:
+    """``a, b, x, y, key, block, other, left``: for each two components ``x, y`` of a pair of blocks
+    ``met(key, block, other)``, the likeliest pairs of members, from number ``skip`` on, ``width`` at most.
+
+    Each pair of blocks is one row, compared in one vectorised step: candidate pairs never become
+    rows. A pair must be of one bucket, of two components and not be ruled out by the signatures;
+    it is given by its first common band only. ``left`` tells how many more there are.
+    """
     rows = met.join(blocks, ["key", "block"]).join(blocks.select("key", F.col("block").alias("other"), F.col("members").alias("others")), ["key", "other"])
+    threshold = conf.percent / 100
+    by_byte = threshold + (1 - threshold) / 256  # two different hashes share their low byte so often
 
     def columns(members: list[dict]):
         rep, component, n = (np.array([m[k] for m in members], np.int64) for k in ("rep", "component", "n_shingles"))
         table = lambda k, kind: np.frombuffer(b"".join(m[k] for m in members), kind).reshape(len(members), -1)
         return rep, component, n, table("sig", "<u4"), table("fine", np.uint8)
 
-    threshold = conf.percent / 100
-    by_byte = threshold + (1 - threshold) / 256  # two different hashes share their low byte so often
+    def compare(key: int, same: bool, members: list[dict], others: list[dict]) -> np.ndarray | None:
+        rep_a, of_a, n_a, a, fine_a = columns(members)
+        rep_b, of_b, n_b, b, fine_b = columns(others)
+        few, many = np.minimum(n_a[:, None], n_b[None, :]), np.maximum(n_a[:, None], n_b[None, :])
+        may = (of_a[:, None] != of_b[None, :]) & (100 * few >= conf.percent * many)
+        if same:
+            may &= rep_a[:, None] < rep_b[None, :]
+        i, j = np.nonzero(may)
+        alive = surviving(a, b, i, j, conf.batch, threshold, conf.miss)
+        i, j = i[alive], j[alive]
+        alive = surviving(fine_a, fine_b, i, j, 256, by_byte, conf.miss)
+        i, j = i[alive], j[alive]
+        if not len(i):
+            return None
+        first = (a[i] == b[j]).reshape(len(i), conf.bands, conf.rows).all(axis=2).argmax(axis=1)
+        here = keys_of(a, conf)[i, first] == key
+        i, j = i[here], j[here]
+        swap = rep_a[i] > rep_b[j]
+        p, q = np.where(swap, rep_b[j], rep_a[i]), np.where(swap, rep_a[i], rep_b[j])
+        x, y = np.where(swap, of_b[j], of_a[i]), np.where(swap, of_a[i], of_b[j])
+        alike = np.zeros(len(i), np.int64)
+        for at in range(0, len(i), BLOCK):
+            part = slice(at, at + BLOCK)
+            alike[part] = (fine_a[i[part]] == fine_b[j[part]]).sum(axis=1)
+        u, v = np.minimum(x, y), np.maximum(x, y)
+        order = np.lexsort((q, p, -alike, v, u))
+        p, q, u, v = p[order], q[order], u[order], v[order]
+        start = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))) if len(u) else np.zeros(0, np.int64)
+        size = np.diff(np.append(start, len(u)))
+        place = np.arange(len(u)) - np.repeat(start, size)
+        left = np.maximum(np.repeat(size, size) - skip - width, 0)
+        take = (place >= skip) & (place < skip + width)
+        return np.stack([p[take], q[take], u[take], v[take], left[take]])
 
     def make():
         def work(batch):
-            left, right = [], []
+            out = {k: [] for k in ("a", "b", "x", "y", "left", "key", "block", "other")}
             for key, block, other, members, others in zip(*(batch.column(c).to_pylist() for c in ("key", "block", "other", "members", "others"))):
-                rep_a, of_a, n_a, a, fine_a = columns(members)
-                rep_b, of_b, n_b, b, fine_b = columns(others)
-                few, many = np.minimum(n_a[:, None], n_b[None, :]), np.maximum(n_a[:, None], n_b[None, :])
-                may = (of_a[:, None] != of_b[None, :]) & (100 * few >= conf.percent * many)
-                if block == other:
-                    may &= rep_a[:, None] < rep_b[None, :]
-                i, j = np.nonzero(may)
-                alive = surviving(a, b, i, j, conf.batch, threshold, conf.miss)
-                i, j = i[alive], j[alive]
-                alive = surviving(fine_a, fine_b, i, j, 256, by_byte, conf.miss)
-                i, j = i[alive], j[alive]
-                if len(i):
-                    first = (a[i] == b[j]).reshape(len(i), conf.bands, conf.rows).all(axis=2).argmax(axis=1)
-                    here = keys_of(a, conf)[i, first] == key
-                    x, y = rep_a[i[here]], rep_b[j[here]]
-                    left.append(np.minimum(x, y))
-                    right.append(np.maximum(x, y))
-            return {"a": np.concatenate(left), "b": np.concatenate(right)} if left else None
+                got = compare(key, block == other, members, others)
+                if got is not None:
+                    for k, values in zip(("a", "b", "x", "y", "left"), got):
+                        out[k].append(values)
+                    for k, value in (("key", key), ("block", block), ("other", other)):
+                        out[k].append(np.full(got.shape[1], value, np.int64))
+            return {k: np.concatenate(v) for k, v in out.items()} if out["a"] else None
 
         return work
 
-    return map_batches(rows.select("key", "block", "other", "members", "others"), make, "a bigint, b bigint")
+    columns_ = "a bigint, b bigint, x bigint, y bigint, left bigint, key bigint, block bigint, other bigint"
+    return map_batches(rows.select("key", "block", "other", "members", "others"), make, columns_)
+
+
+def _join_torn(torn: DataFrame, labels: DataFrame, heavy: DataFrame | None, reps: DataFrame, docs: DataFrame, conf: NearDedup, width: int = 4) -> DataFrame:
+    """``labels`` after all links between the components that one bucket of ``torn`` holds.
+
+    One verified link joins two components, so their pairs are tried by rounds, the likeliest first:
+    each round takes four times as many of the pairs of two components, and only of those that
+    no link has joined by then. Every pair is tried in the end unless its components are one.
+    """
+    blocks = materialise(_blocks(torn, heavy, reps, docs, conf))
+    ids = blocks.select("key", "block")
+    met = ids.join(ids.withColumnRenamed("block", "other"), "key").where("block <= other AND (block % 2 = 0 OR other % 2 = 0)")
+    links, now, skip = None, labels, 0
+    while True:
+        tried = materialise(_block_survivors(met, blocks, conf, skip, width))
+        pairs = materialise(tried.select("a", "b").distinct())
+        found = materialise(verify(pairs, docs, conf))
+        links = found if links is None else links.unionByName(found)
+        now = _joined(labels, links)
+        more = tried.where("left > 0").select("key", "block", "other", "x", "y").distinct()
+        name = now.select(F.col("node"), "component")
+        for side in "xy":
+            more = more.join(name.withColumnsRenamed({"node": side, "component": f"{side}_now"}), side, "left")
+        open_ = more.where(F.coalesce("x_now", "x") != F.coalesce("y_now", "y")).select("key", "block", "other").distinct()
+        met = materialise(open_)
+        release(tried, pairs)
+        if met.isEmpty():
+            return now
+        skip, width = skip + width, 4 * width
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -290,12 +353,12 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(old.union(fresh))
 
 
-def _torn(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+def _torn(buckets: DataFrame, labels: DataFrame, heavy: DataFrame | None) -> DataFrame:
     """``key, rep, component`` of the buckets that hold more than one component."""
-    named = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    named = buckets.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("key", "rep", F.coalesce("component", "rep").alias("component"))
     torn = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    return named.join(torn.select("key"), "key")
+    return spread_join(named, torn.select("key"), "key", heavy)
 
 
 def repeated_ids(docs: DataFrame) -> DataFrame:
@@ -310,9 +373,10 @@ def near_duplicates(docs: DataFrame, conf: NearDedup = NearDedup()) -> DataFrame
     1. Documents with one set form a class, shown by its smallest id: copies are never compared.
     2. Each band bucket links its members to a hub, not to each other. Candidates are pruned by
        posterior bounds over signature batches and the survivors verified on full sets.
-    3. What then still lies in different components of a bucket is compared block by block, so
-       that a link between different texts is lost only if no band shows it. This is the one
-       step whose work is not linear: members outside a bucket's largest component times all.
+    3. What then still lies in different components of a bucket is compared block by block, and of
+       the pairs of two components as many are verified, the likeliest first, as it takes to find a
+       link; one is lost only if no band shows it. This is the one step whose comparisons are not
+       linear: members outside a bucket's largest component times all. Rows are not made of them.
 
     ``component_id`` is the smallest id reachable. Null and empty texts, and texts without words,
     have an empty set, link with nothing and stay. A repeated id is one document of its
@@ -320,6 +384,11 @@ def near_duplicates(docs: DataFrame, conf: NearDedup = NearDedup()) -> DataFrame
     are with a null component. An empty table gives no rows. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    with scratch() as keep:
+        return keep(_near_duplicates(docs, conf))
+
+
+def _near_duplicates(docs: DataFrame, conf: NearDedup) -> DataFrame:
     repeated = repeated_ids(docs)
     again = not repeated.isEmpty()
     if again:
@@ -327,29 +396,35 @@ def near_duplicates(docs: DataFrame, conf: NearDedup = NearDedup()) -> DataFrame
         docs = docs.join(repeated, "doc_id", "left_anti").unionByName(materialise(smallest))
     sketch = materialise(sketches(docs, conf))
     known = sketch.where("set_hash IS NOT NULL AND doc_id IS NOT NULL")
-    classes = known.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
+    classes = known.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     classes = materialise(classes)
-    reps = known.join(classes.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi")
-    reps = reps.select(F.col("doc_id").alias("rep"), "n_shingles", "sig").dropDuplicates(["rep"])
-    buckets = band_keys(reps, conf)
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = materialise(buckets.join(shared, "key").select("key", "rep"))
-
-    candidates = materialise(prune(with_signatures(_hub_pairs(buckets), reps), conf))
+    reps = known.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
+    reps = reps.select(F.col("doc_id").alias("rep"), "n_shingles", "sig")
+    all_keys = band_keys(reps, conf)
+    shared = materialise(all_keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    heavy = heavy_counted(shared, "key", "n")
+    buckets = materialise(spread_join(all_keys, shared, "key", heavy))
+
+    candidates = materialise(_hub_pairs(buckets, heavy))
+    candidates = materialise(prune(with_signatures(candidates, reps), conf))
     labels = materialise(connected_components(verify(candidates, docs, conf)))
-    torn = materialise(_torn(buckets, labels))
+    torn = materialise(_torn(buckets, labels, heavy))
     if not torn.isEmpty():
-        labels = _joined(labels, verify(materialise(_block_survivors(torn, reps, docs, conf)), docs, conf))
-
-    members = sketch.join(classes, "set_hash", "left")
-    members = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+        labels = _join_torn(torn, labels, heavy, reps, docs, conf)
+
+    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    named = named.select("set_hash", F.coalesce("component", "rep").alias("component"))
+    told = "set_hash IS NOT NULL"
+    members = spread_join(sketch.where(told).select("set_hash", "doc_id", "n_shingles"), named, "set_hash", heavy_counted(classes, "set_hash", "n"), "left")
+    alone = sketch.where(f"NOT ({told})").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
+    members = members.select("doc_id", "n_shingles", "component").unionByName(alone)
     if again:
-        rows = members.join(repeated, "doc_id", "left")
-        members = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.coalesce("_rows", F.lit(1)))))
-    component = F.coalesce("component", "rep", "doc_id")
-    return members.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
-    )
+        copies = F.explode(F.sequence(F.lit(1), F.coalesce("_rows", F.lit(1))))
+        rows = members.where("doc_id IS NOT NULL").join(repeated, "doc_id", "left").withColumn("_copy", copies)
+        members = rows.select("doc_id", "n_shingles", "component").unionByName(members.where("doc_id IS NULL"))
+    # a row without an id links with nothing
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return members.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
