@@ -248,10 +248,13 @@ def _block_survivors(met: DataFrame, blocks: DataFrame, conf: NearDedup, skip: i
     ``met(key, block, other)``, the likeliest pairs of members, from number ``skip`` on, ``width`` at most.
 
     Each pair of blocks is one row, compared in one vectorised step: candidate pairs never become
-    rows. A pair must be of one bucket, of two components and not be ruled out by the signatures;
-    it is given by its first common band only. ``left`` tells how many more there are.
+    rows. A pair must be of two components and not be ruled out by the signatures. ``left`` tells
+    how many more there are.
     """
-    rows = met.join(blocks, ["key", "block"]).join(blocks.select("key", F.col("block").alias("other"), F.col("members").alias("others")), ["key", "other"])
+    own = met.where("block = other").join(blocks, ["key", "block"]).withColumn("others", F.array().cast(blocks.schema["members"].dataType))
+    two = met.where("block <> other").join(blocks, ["key", "block"])
+    two = two.join(blocks.select("key", F.col("block").alias("other"), F.col("members").alias("others")), ["key", "other"])
+    rows = own.unionByName(two)
     threshold = conf.percent / 100
     by_byte = threshold + (1 - threshold) / 256  # two different hashes share their low byte so often
 
@@ -260,12 +263,13 @@ def _block_survivors(met: DataFrame, blocks: DataFrame, conf: NearDedup, skip: i
         table = lambda k, kind: np.frombuffer(b"".join(m[k] for m in members), kind).reshape(len(members), -1)
         return rep, component, n, table("sig", "<u4"), table("fine", np.uint8)
 
-    def compare(key: int, same: bool, members: list[dict], others: list[dict]) -> np.ndarray | None:
+    def compare(members: list[dict], others: list[dict]) -> np.ndarray | None:
+        """Rows of a, b, x, y, left; without ``others`` the members are compared with each other."""
         rep_a, of_a, n_a, a, fine_a = columns(members)
-        rep_b, of_b, n_b, b, fine_b = columns(others)
+        rep_b, of_b, n_b, b, fine_b = columns(others or members)
         few, many = np.minimum(n_a[:, None], n_b[None, :]), np.maximum(n_a[:, None], n_b[None, :])
         may = (of_a[:, None] != of_b[None, :]) & (100 * few >= conf.percent * many)
-        if same:
+        if not others:
             may &= rep_a[:, None] < rep_b[None, :]
         i, j = np.nonzero(may)
         alive = surviving(a, b, i, j, conf.batch, threshold, conf.miss)
@@ -274,9 +278,6 @@ def _block_survivors(met: DataFrame, blocks: DataFrame, conf: NearDedup, skip: i
         i, j = i[alive], j[alive]
         if not len(i):
             return None
-        first = (a[i] == b[j]).reshape(len(i), conf.bands, conf.rows).all(axis=2).argmax(axis=1)
-        here = keys_of(a, conf)[i, first] == key
-        i, j = i[here], j[here]
         swap = rep_a[i] > rep_b[j]
         p, q = np.where(swap, rep_b[j], rep_a[i]), np.where(swap, rep_a[i], rep_b[j])
         x, y = np.where(swap, of_b[j], of_a[i]), np.where(swap, of_a[i], of_b[j])
@@ -287,7 +288,7 @@ def _block_survivors(met: DataFrame, blocks: DataFrame, conf: NearDedup, skip: i
         u, v = np.minimum(x, y), np.maximum(x, y)
         order = np.lexsort((q, p, -alike, v, u))
         p, q, u, v = p[order], q[order], u[order], v[order]
-        start = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))) if len(u) else np.zeros(0, np.int64)
+        start = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])))
         size = np.diff(np.append(start, len(u)))
         place = np.arange(len(u)) - np.repeat(start, size)
         left = np.maximum(np.repeat(size, size) - skip - width, 0)
@@ -298,7 +299,7 @@ def _block_survivors(met: DataFrame, blocks: DataFrame, conf: NearDedup, skip: i
         def work(batch):
             out = {k: [] for k in ("a", "b", "x", "y", "left", "key", "block", "other")}
             for key, block, other, members, others in zip(*(batch.column(c).to_pylist() for c in ("key", "block", "other", "members", "others"))):
-                got = compare(key, block == other, members, others)
+                got = compare(members, others)
                 if got is not None:
                     for k, values in zip(("a", "b", "x", "y", "left"), got):
                         out[k].append(values)
@@ -312,19 +313,19 @@ def _block_survivors(met: DataFrame, blocks: DataFrame, conf: NearDedup, skip: i
     return map_batches(rows.select("key", "block", "other", "members", "others"), make, columns_)
 
 
-def _join_torn(torn: DataFrame, labels: DataFrame, heavy: DataFrame | None, reps: DataFrame, docs: DataFrame, conf: NearDedup, width: int = 4) -> DataFrame:
+def _join_torn(torn: DataFrame, labels: DataFrame, heavy: DataFrame | None, reps: DataFrame, docs: DataFrame, conf: NearDedup, width: int = 16) -> DataFrame:
     """``labels`` after all links between the components that one bucket of ``torn`` holds.
 
     One verified link joins two components, so their pairs are tried by rounds, the likeliest first:
-    each round takes four times as many of the pairs of two components, and only of those that
+    each round takes ``width`` times as many of the pairs of two components, and only of those that
     no link has joined by then. Every pair is tried in the end unless its components are one.
     """
     blocks = materialise(_blocks(torn, heavy, reps, docs, conf))
     ids = blocks.select("key", "block")
     met = ids.join(ids.withColumnRenamed("block", "other"), "key").where("block <= other AND (block % 2 = 0 OR other % 2 = 0)")
-    links, now, skip = None, labels, 0
+    links, now, skip, most = None, labels, 0, width
     while True:
-        tried = materialise(_block_survivors(met, blocks, conf, skip, width))
+        tried = materialise(_block_survivors(met, blocks, conf, skip, most))
         pairs = materialise(tried.select("a", "b").distinct())
         found = materialise(verify(pairs, docs, conf))
         links = found if links is None else links.unionByName(found)
@@ -338,7 +339,7 @@ def _join_torn(torn: DataFrame, labels: DataFrame, heavy: DataFrame | None, reps
         release(tried, pairs)
         if met.isEmpty():
             return now
-        skip, width = skip + width, 4 * width
+        skip, most = skip + most, width * most
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -354,10 +355,15 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _torn(buckets: DataFrame, labels: DataFrame, heavy: DataFrame | None) -> DataFrame:
-    """``key, rep, component`` of the buckets that hold more than one component."""
-    named = buckets.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    """``key, rep, component`` of the buckets that hold more than one component.
+
+    The one pair of a bucket of two was tried with its hub, and of buckets with the same members one is enough.
+    """
+    named = buckets.where("n > 2").select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    torn = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    total = lambda seed: F.sum(F.xxhash64("rep", F.lit(seed)).cast("decimal(38,0)"))
+    told = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), total(1).alias("p"), total(2).alias("q"), F.count("*").alias("n"))
+    torn = told.where("x <> y").groupBy("p", "q", "n").agg(F.min("key").alias("key"))
     return spread_join(named, torn.select("key"), "key", heavy)
 
 
@@ -396,15 +402,17 @@ def _near_duplicates(docs: DataFrame, conf: NearDedup) -> DataFrame:
         docs = docs.join(repeated, "doc_id", "left_anti").unionByName(materialise(smallest))
     sketch = materialise(sketches(docs, conf))
     known = sketch.where("set_hash IS NOT NULL AND doc_id IS NOT NULL")
-    classes = known.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    classes = materialise(classes)
-    reps = known.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
-    reps = reps.select(F.col("doc_id").alias("rep"), "n_shingles", "sig")
+    same = [F.any_value(c).alias(c) for c in ("n_shingles", "sig")]
+    classes = materialise(known.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), *same))
+    wide, sketch = sketch, materialise(sketch.select("doc_id", "n_shingles", "set_hash"))
+    release(wide)
+    reps = classes.select("rep", "n_shingles", "sig")
     all_keys = band_keys(reps, conf)
     shared = materialise(all_keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     heavy = heavy_counted(shared, "key", "n")
     buckets = materialise(spread_join(all_keys, shared, "key", heavy))
 
+    docs = materialise(docs.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     candidates = materialise(_hub_pairs(buckets, heavy))
     candidates = materialise(prune(with_signatures(candidates, reps), conf))
     labels = materialise(connected_components(verify(candidates, docs, conf)))
