@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, documents, map_batches, materialise
+from .common import bytes_of, documents, heavy_counted, map_batches, materialise, scratch, spread_join
 
 #: Sample rate in the container's header; it has no effect on the samples.
 RATE = 8000
@@ -163,13 +163,15 @@ def store(docs: DataFrame) -> DataFrame:
     must meet their lists by a join (compressed, once); the others are stored where they are
     read. A bit set by chance costs that move and no more. Returns the stored
     table, in the shared folder: ``key, doc_id, n_bytes, media_sha256, digests`` (the ordered
-    list), ``own`` (a chunk or, where borrowed, null) and ``lent`` (positions others refer to).
+    list), ``own`` (a chunk or, where borrowed, null), ``lent`` and ``borrowed`` (positions that
+    others refer to and that other rows own). The uses of a very common chunk are dealt to many tasks.
     """
     spark, keyed = docs.sparkSession, row_keys(docs)
     lists = chunk_lists(keyed)
     owner = lists.groupBy("digest").agg(F.min(F.struct("key", "idx")).alias("owner"), F.count("*").alias("uses"))
+    owner = materialise(owner.where("uses > 1"))
     owned = (F.col("owner.key") == F.col("key")) & (F.col("owner.idx") == F.col("idx"))
-    refs = lists.join(owner.where("uses > 1"), "digest").select("key", "idx", owned.alias("owned"))
+    refs = spread_join(lists, owner, "digest", heavy_counted(owner, "digest", "uses")).select("key", "idx", owned.alias("owned"))
     per_row = refs.groupBy("key").agg(
         F.collect_set(F.when(~F.col("owned"), F.col("idx"))).alias("borrowed"),
         F.collect_set(F.when(F.col("owned"), F.col("idx"))).alias("lent"),
@@ -186,8 +188,7 @@ def store(docs: DataFrame) -> DataFrame:
         .select(
             "key", "doc_id", "n_bytes", "media_sha256", "digests",
             F.expr("transform(chunks, (c, i) -> if(array_contains(borrowed, i), null, c))").alias("own"),
-            F.coalesce("lent", none).alias("lent"),
-            (F.size("borrowed") > 0).alias("borrows"),
+            F.coalesce("lent", none).alias("lent"), "borrowed",
         )
     )
     return materialise(table)
@@ -205,17 +206,20 @@ def read_back(table: DataFrame) -> DataFrame:
         .select(F.element_at("digests", F.col("i") + 1).alias("digest"), F.element_at("own", F.col("i") + 1).alias("chunk"))
         .dropDuplicates(["digest"])
     )
-    borrowers = table.where("borrows").withColumn("row", F.monotonically_increasing_id())
-    wanted = borrowers.select("row", F.posexplode("own").alias("idx", "chunk"), "digests").where("chunk IS NULL")
+    borrows = F.size("borrowed") > 0
+    uses = table.where(borrows).select(F.explode("borrowed").alias("i"), "digests").groupBy(F.element_at("digests", F.col("i") + 1).alias("digest"))
+    heavy = heavy_counted(uses.agg(F.count("*").alias("uses")), "digest", "uses")
+    borrowers = table.where(borrows).withColumn("row", F.monotonically_increasing_id())
+    wanted = borrowers.select("row", F.explode("borrowed").alias("idx"), "digests")
+    wanted = wanted.select("row", "idx", F.element_at("digests", F.col("idx") + 1).alias("digest"))
     fetched = (
-        wanted.select("row", "idx", F.element_at("digests", F.col("idx") + 1).alias("digest"))
-        .join(shelf, "digest")
+        spread_join(wanted, shelf, "digest", heavy)
         .groupBy("row")
         .agg(F.map_from_entries(F.collect_list(F.struct("idx", "chunk"))).alias("fetched"))
     )
     filled = borrowers.join(fetched, "row").withColumn("own", F.expr("transform(own, (c, i) -> coalesce(c, fetched[i]))"))
     columns = ["doc_id", "n_bytes", "media_sha256", "digests", F.col("own").alias("chunks")]
-    return table.where("NOT borrows").select(columns).unionByName(filled.select(columns))
+    return table.where(~borrows).select(columns).unionByName(filled.select(columns))
 
 
 def reconstruct(rows: DataFrame) -> DataFrame:
@@ -261,9 +265,11 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """Store every whole text as media chunks, read the stored bytes back and compute features.
 
     Null and empty texts have a payload of 64 zero bytes. Rows with a repeated or null id each
-    give a row. An empty table gives none. Other columns are not read.
+    give a row. An empty table gives none. Other columns are not read. The stored table goes once
+    it has been read back; :func:`store` keeps it.
     """
-    return reconstruct(read_back(store(docs)))
+    with scratch() as keep:
+        return keep(reconstruct(read_back(store(docs))))
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, materialise, texts_of, unused
+from .common import documents, heavy_counted, map_batches, materialise, scratch, spread_join, texts_of, unused
 
 # Fixed patterns of the base kinds and of the kinds that the method adds, in the order of the listing.
 BASE = {
@@ -80,9 +80,9 @@ def listed(spans) -> str:
 def scan(docs: DataFrame, repository: str = "source", owner: str = "lang") -> DataFrame:
     """Candidates of every whole text, one row a document.
 
-    ``row, doc_id, n_assign, n_access, n_hex, base_sha256, spans, repository, owner, found``;
-    ``row`` numbers the rows read, ``found`` lists each candidate's hash, span and entropy, never
-    its value.
+    ``row, doc_id, told, n_assign, n_access, n_hex, base_sha256, spans, repository, owner, found``;
+    ``row`` numbers the rows read, ``told`` is a hash of the text, ``found`` lists each candidate's
+    hash, span and entropy, never its value.
     """
 
     def make():
@@ -104,17 +104,18 @@ def scan(docs: DataFrame, repository: str = "source", owner: str = "lang") -> Da
                         for a, k, b, v in spans
                     ]
                 )
-            return out | {k: batch.column(k) for k in ("doc_id", "repository", "owner")} | {"row": [next(row) for _ in range(len(batch))]}
+            return out | {k: batch.column(k) for k in ("doc_id", "told", "repository", "owner")} | {"row": [next(row) for _ in range(len(batch))]}
 
         return work
 
     schema = (
-        "row bigint, doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, repository string, "
+        "row bigint, doc_id bigint, told bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, repository string, "
         "owner string, found array<struct<hash:string,kind:string,start:int,end:int,entropy:double>>"
     )
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         "text",
+        F.xxhash64("text").alias("told"),
         F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"),
         F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"),
     )
@@ -142,10 +143,14 @@ def classify(most_repositories: int, most_owners: int, least_entropy: float) ->
 
 
 def judged_candidates(rows: DataFrame, most_repositories: int, most_owners: int, least_entropy: float) -> DataFrame:
-    """Every candidate of :func:`scan` with its ownership and ``class``."""
-    flat = rows.where(F.size("found") > 0).select("row", "doc_id", "repository", "owner", F.explode("found").alias("f"))
-    flat = flat.select("row", "doc_id", "repository", "owner", "f.*")
-    return flat.join(ownership(flat), "hash").withColumn("class", classify(most_repositories, most_owners, least_entropy))
+    """Every candidate of :func:`scan` with its ownership and ``class``.
+
+    The uses of a widely copied value are dealt to many tasks.
+    """
+    flat = rows.where(F.size("found") > 0).select("row", "doc_id", "told", "repository", "owner", F.explode("found").alias("f"))
+    flat = flat.select("row", "doc_id", "told", "repository", "owner", "f.*")
+    owned = materialise(ownership(flat))
+    return spread_join(flat, owned, "hash", heavy_counted(owned, "hash", "n_uses")).withColumn("class", classify(most_repositories, most_owners, least_entropy))
 
 
 def scan_secrets(
@@ -165,8 +170,13 @@ def scan_secrets(
     One row a document: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live,
     n_example, n_weak, live_spans``. Null and empty texts, and texts without candidates, have
     no spans. Repeated rows and null ids each keep a row; null repositories or owners count as
-    one unnamed place. An empty table gives no rows.
+    one unnamed place. An empty table gives no rows. Other columns are not read.
     """
+    with scratch() as keep:
+        return keep(_scan_secrets(docs, repository, owner, most_repositories, most_owners, least_entropy))
+
+
+def _scan_secrets(docs: DataFrame, repository: str, owner: str, most_repositories: int, most_owners: int, least_entropy: float) -> DataFrame:
     rows = materialise(scan(docs, repository, owner))
     judged = judged_candidates(rows, most_repositories, most_owners, least_entropy)
     one = lambda name: F.count_if(F.col("class") == name)
@@ -198,13 +208,16 @@ def redact(
     """``docs`` with live-looking credentials replaced by ``mark``; all rows and columns stay.
 
     Widely copied examples and weak candidates stay as they are. Null texts stay null. Rows
-    with a null or repeated id are redacted by the hashes found under that id.
+    with a null or repeated id are told apart by their texts. An empty table gives no rows.
     """
-    rows = materialise(scan(docs, repository, owner).where(F.size("found") > 0))
-    judged = judged_candidates(rows, most_repositories, most_owners, least_entropy).where(F.col("class") == "live")
-    key, found = unused(docs, "_id"), unused(docs, "_hashes")
-    hashes = judged.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("hash").alias(found))
-    joined = docs.join(hashes, F.col("doc_id").cast("bigint").eqNullSafe(F.col(key)), "left")
+    key, told, found = unused(docs, "_id"), unused(docs, "_told"), unused(docs, "_hashes")
+    with scratch() as keep:
+        rows = materialise(scan(docs, repository, owner).where(F.size("found") > 0))
+        judged = judged_candidates(rows, most_repositories, most_owners, least_entropy).where(F.col("class") == "live")
+        hashes = judged.groupBy(F.col("doc_id").alias(key), F.col("told").alias(told)).agg(F.collect_set("hash").alias(found))
+        hashes = keep(hashes)
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(told))
+    joined = docs.join(hashes, same, "left")
     redacted = F.when(F.col(found).isNull(), F.col("text")).otherwise(F.pandas_udf(_blank_all, "string")(F.col("text"), F.col(found), F.lit(mark)))
     return joined.select(*(redacted.alias("text") if c == "text" else F.col(c) for c in docs.columns))
 
