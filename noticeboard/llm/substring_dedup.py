@@ -5,20 +5,24 @@ anchors (shorter word runs) inside it, so equal windows have equal fingerprints
 they stand, while neighbouring windows mostly share one: a text has about one fingerprint
 for each 13 words. The index keeps fingerprints in sorted immutable runs; a new batch is
 merge-joined with them, and only texts that share a fingerprint have their windows
-compared, by two independent 64-bit hashes.
+compared, by two independent 64-bit hashes. The index lives in a folder with a manifest, so that a
+later session can open it and add its own batch.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
+import json
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, bytes_of, documents, map_batches, materialise, mix64
+from .common import U64, bytes_of, documents, heavy_counted, heavy_keys, map_batches, materialise, mix64, release, scratch, shared_dir, spread_join
 
 WINDOW, ANCHOR = 50, 25
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -90,71 +94,187 @@ def read_texts(docs: DataFrame) -> DataFrame:
     return map_batches(docs, make, "doc_id bigint, text_hash binary, n_words bigint, all_sha256 string, fps array<bigint>")
 
 
-class FingerprintIndex:
-    """Runs of ``fp, owner`` rows, each an immutable table bucketed and sorted by ``fp``.
+#: Settings under which a run's sorted buckets are read as sorted and grouped as they come.
+SORTED = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.execution.replaceHashWithSortAgg": "true", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session with some settings, put back at the end."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@dataclass(frozen=True)
+class Run:
+    """An immutable run: its folder's name, level and buckets, and ``fp, least owner, largest owner`` of its heavy fps."""
+
+    name: str
+    level: int
+    buckets: int
+    heavy: list[list[int]]
 
-    A batch becomes a run of its own with one shuffle; joins of runs need none. Once
-    ``fan_out`` runs have gathered they are merged into one. ``owner`` names a text.
+
+class FingerprintIndex:
+    """A log-structured index of ``fp, owner`` rows in the folder ``path``; ``owner`` is a document's id.
+
+    A batch becomes a run: rows bucketed and sorted by fp, but for those of fps that more than one in
+    1024 of its rows have (so fewer than 1024), which lie apart in ``heavy`` and meet others by
+    broadcasts. Runs are merge-joined bucket by bucket, without a shuffle or a sort. A run also has
+    ``texts``: ``text_hash, first_id``. ``fan_out`` runs of one level are merged into one of the
+    next by :meth:`compact`, so a row is written again once a level. The manifest with the
+    largest number names the runs; it is written last, so an addition that fails leaves the index as it was.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, fan_out: int = 2):
-        self.spark, self.fan_out = spark, fan_out
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, fan_out: int = 4):
+        self.spark, self.path, self.fan_out = spark, path.rstrip("/"), fan_out
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[str] = []
-
-    def _write(self, rows: DataFrame) -> str:
-        name = f"noticeboard_run_{uuid.uuid4().hex}"
-        (
-            rows.repartition(self.buckets, "fp")
-            .write.option("compression", "zstd")
-            .bucketBy(self.buckets, "fp")
-            .sortBy("fp", "owner")
-            .saveAsTable(name)
-        )
-        return name
-
-    def _drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Add ``fp, owner`` rows; returns those, old and new, whose fp some other owner has as well.
-
-        Old rows come back only if the batch has their fp.
-        """
-        new = self._write(batch.distinct())
-        rows = self.spark.table(new)
-        spread = rows.groupBy("fp").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"))
-        matched = []
+        self.version, self.runs, made = 0, [], self._versions()
+        if made:
+            self.version = made[-1]
+            self.runs = [Run(**r) for r in json.loads(spark.read.text(self._manifest(self.version)).first()[0])]
+
+    def _fs(self, path: str):
+        context = self.spark.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(context._jsc.hadoopConfiguration()), at
+
+    def _manifest(self, version: int) -> str:
+        return f"{self.path}/manifest/{version:08d}"
+
+    def _versions(self) -> list[int]:
+        fs, at = self._fs(f"{self.path}/manifest")
+        if not fs.exists(at):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(at)]
+        return sorted(int(n) for n in names if fs.exists(self._fs(f"{self.path}/manifest/{n}/_SUCCESS")[1]))
+
+    def _commit(self, runs: list[Run]) -> None:
+        told = json.dumps([asdict(r) for r in runs])
+        self.spark.createDataFrame([(told,)], "value string").coalesce(1).write.mode("overwrite").text(self._manifest(self.version + 1))
+        self.version, self.runs = self.version + 1, runs
+
+    def _name(self, run: Run, part: str) -> str:
+        return f"noticeboard_{hashlib.md5(self.path.encode()).hexdigest()[:12]}_{run.name}_{part}"
+
+    def _table(self, run: Run, part: str) -> DataFrame:
+        """A part of a run; the catalogue learns of its buckets in the first session that reads it."""
+        columns, key = {"rows": ("fp bigint, owner bigint", "fp, owner"), "texts": ("text_hash binary, first_id bigint", "text_hash, first_id")}[part]
+        name = self._name(run, part)
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(
+                f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({key.split(',')[0]}) SORTED BY ({key}) "
+                f"INTO {run.buckets} BUCKETS LOCATION '{self.path}/runs/{run.name}/{part}'"
+            )
+        return self.spark.table(name)
+
+    def _heavy(self, run: Run) -> DataFrame:
+        return self.spark.read.schema("fp bigint, owner bigint").parquet(f"{self.path}/runs/{run.name}/heavy")
+
+    def _heads(self, run: Run) -> DataFrame:
+        """``fp, lo, hi`` of the run's heavy fps."""
+        return self.spark.createDataFrame([tuple(x) for x in run.heavy], "fp bigint, lo bigint, hi bigint")
+
+    def _write(self, rows: DataFrame, texts: DataFrame, level: int) -> Run:
+        run = Run(f"r{self.version + 1:08d}", level, self.buckets, [])
+        at = f"{self.path}/runs/{run.name}"
+        fs, folder = self._fs(at)
+        fs.delete(folder, True)  # of an addition that failed
+        heavy = heavy_keys(rows, "fp")
+        fps = F.xxhash64("fp")
+        common = rows.join(F.broadcast(heavy), fps == F.col("_heavy"), "left_semi") if heavy is not None else rows.limit(0)
+        rest = rows.join(F.broadcast(heavy), fps == F.col("_heavy"), "left_anti") if heavy is not None else rows
+        common.write.option("compression", "zstd").parquet(f"{at}/heavy")
+        for part, table, key, more in (("rows", rest, "fp", "owner"), ("texts", texts, "text_hash", "first_id")):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(run, part)}")
+            (
+                table.repartition(run.buckets, key)
+                .write.option("compression", "zstd").option("path", f"{at}/{part}")
+                .bucketBy(run.buckets, key).sortBy(key, more).saveAsTable(self._name(run, part))
+            )
+        heads = self._heavy(run).groupBy("fp").agg(F.min("owner"), F.max("owner")).collect()
+        return Run(run.name, level, run.buckets, sorted(list(h) for h in heads))
+
+    def known_texts(self, texts: DataFrame) -> DataFrame:
+        """``texts(text_hash, first_id, ...)`` with ``known_id``: the smallest id that the index has for the text, or null."""
+        out = texts.withColumn("known_id", F.lit(None).cast("bigint"))
         for run in self.runs:
-            old = self.spark.table(run)
-            theirs = old.groupBy("fp").agg(F.min("owner").alias("old_lo"), F.max("owner").alias("old_hi"))
-            met = spread.join(theirs, "fp").where("least(lo, old_lo) <> greatest(hi, old_hi)").select("fp")
-            matched += [rows.join(met, "fp", "left_semi"), old.join(met, "fp", "left_semi")]
-        matched.append(rows.join(spread.where("lo <> hi").select("fp"), "fp", "left_semi"))
-        out = matched[0]
-        for more in matched[1:]:
-            out = out.unionByName(more)
-        out = materialise(out)
-        self.runs.append(new)
-        if len(self.runs) >= self.fan_out:
-            self.compact()
+            old = self._table(run, "texts").groupBy("text_hash").agg(F.min("first_id").alias("_old"))
+            out = out.join(old, "text_hash", "left").withColumn("known_id", F.least("known_id", "_old")).drop("_old")
         return out
 
-    def compact(self) -> None:
-        """Merge all runs into one; a fingerprint keeps all its owners."""
-        if len(self.runs) > 1:
-            rows = self.spark.table(self.runs[0])
-            for run in self.runs[1:]:
-                rows = rows.unionByName(self.spark.table(run))
-            merged = self._write(rows)
+    def add(self, rows: DataFrame, texts: DataFrame) -> DataFrame:
+        """Add a run of ``fp, owner`` and ``text_hash, first_id``; returns the rows, old and new, whose fp another owner has too.
+
+        Old rows come back only if the batch has their fp. Compaction is left to :meth:`compact`.
+        """
+        new = self._write(rows, texts, 0)
+        edges = lambda t: t.groupBy("fp").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"))
+        mine, my_heads = self._table(new, "rows"), self._heads(new)
+        spread = edges(mine)
+        found = [mine.join(spread.where("lo <> hi").select("fp"), "fp", "left_semi")]
+        few = my_heads.where("lo <> hi").select("fp")
+        with settings(self.spark, SORTED):
             for run in self.runs:
-                self._drop(run)
-            self.runs = [merged]
+                old, heads = self._table(run, "rows"), self._heads(run)
+                theirs = edges(old)
+
+                def shared(a: DataFrame, b: DataFrame) -> DataFrame:
+                    b = b.select("fp", F.col("lo").alias("old_lo"), F.col("hi").alias("old_hi"))
+                    return a.join(b, "fp").where("least(lo, old_lo) <> greatest(hi, old_hi)").select("fp")
+
+                met = shared(spread, theirs)
+                found += [mine.join(met, "fp", "left_semi"), old.join(met, "fp", "left_semi")]
+                some = shared(spread, F.broadcast(heads)).union(shared(theirs, F.broadcast(my_heads))).union(shared(my_heads, heads))
+                some = materialise(some.distinct())  # fps that are heavy in one of the two runs
+                found += [old.join(F.broadcast(some), "fp", "left_semi"), self._heavy(run).join(F.broadcast(some), "fp", "left_semi")]
+                few = few.union(some)
+            few = materialise(few.distinct())
+            found += [mine.join(F.broadcast(few), "fp", "left_semi"), self._heavy(new).join(F.broadcast(few), "fp", "left_semi")]
+            out = found[0]
+            for more in found[1:]:
+                out = out.unionByName(more)
+            out = materialise(out)
+        self._commit([*self.runs, new])
+        return out
 
-    def close(self) -> None:
+    def compact(self) -> None:
+        """Merge the runs of each level that has ``fan_out`` of them into one run of the next level."""
+        level = 0
+        while any(r.level >= level for r in self.runs):
+            full = [r for r in self.runs if r.level == level]
+            if len(full) >= self.fan_out:
+                rows = texts = None
+                for run in full:
+                    mine = self._table(run, "rows").unionByName(self._heavy(run))
+                    rows = mine if rows is None else rows.unionByName(mine)
+                    told = self._table(run, "texts")
+                    texts = told if texts is None else texts.unionByName(told)
+                merged = self._write(rows, texts, level + 1)
+                self._commit([r for r in self.runs if r not in full] + [merged])
+                for run in full:
+                    self._forget(run)
+            level += 1
+
+    def _forget(self, run: Run) -> None:
+        for part in ("rows", "texts"):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(run, part)}")
+        fs, at = self._fs(f"{self.path}/runs/{run.name}")
+        fs.delete(at, True)
+
+    def drop(self) -> None:
+        """Delete the index."""
         for run in self.runs:
-            self._drop(run)
-        self.runs = []
+            self._forget(run)
+        fs, at = self._fs(self.path)
+        fs.delete(at, True)
+        self.version, self.runs = 0, []
 
 
 def shared_windows(candidates: DataFrame) -> DataFrame:
@@ -185,9 +305,10 @@ def shared_windows(candidates: DataFrame) -> DataFrame:
 
     rows = map_batches(candidates.select("doc_id", "text", "fps"), make, "doc_id bigint, window bigint, check bigint")
     rows = materialise(rows)
-    first = rows.groupBy("window", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    first = first.where("first < last").select("window", "check", "first")
-    return rows.join(first, ["window", "check"]).where("doc_id > first").select("doc_id", "window")
+    first = rows.groupBy("window", F.col("check").alias("_check")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    first = materialise(first.where("first < last"))
+    met = spread_join(rows, first.select("window", "_check", "first"), "window", heavy_counted(first, "window", "n"))
+    return met.where("check = _check AND doc_id > first").select("doc_id", "window")
 
 
 def cut(rows: DataFrame) -> DataFrame:
@@ -223,45 +344,90 @@ def remove_windows(words: list[bytes], windows: np.ndarray) -> list[bytes]:
     return [w for w, c in zip(words, covered) if not c]
 
 
+def index_batch(index: FingerprintIndex, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Add ``docs(doc_id, text)`` to the index: their ``rows``, their ``texts`` and the ``fp, owner`` rows found.
+
+    ``rows`` has ``doc_id, text_hash, n_words, all_sha256``; ``texts`` has ``text_hash, first_id`` (the smallest
+    id of the index or the batch) and ``n``, for texts that fill a window. A text of the index is not added again.
+    """
+    wide = materialise(read_texts(docs))
+    long = wide.where((F.col("n_words") >= WINDOW) & F.col("doc_id").isNotNull())
+    mine = long.groupBy("text_hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.any_value("fps").alias("fps"))
+    texts = materialise(index.known_texts(mine))
+    rows = materialise(wide.drop("fps"))
+    release(wide)
+    fresh = texts.where("known_id IS NULL OR first_id < known_id")
+    found = index.add(fresh.select(F.explode("fps").alias("fp"), F.col("first_id").alias("owner")), fresh.select("text_hash", "first_id"))
+    return rows, texts.select("text_hash", F.least("first_id", "known_id").alias("first_id"), "n"), found
+
+
+def removals(docs: DataFrame, rows: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256`` of ``rows``; ``docs`` has the texts of all ids that ``found`` names.
+
+    A common passage's fps and windows and a text with very many copies are dealt to many tasks.
+    """
+    suspects = found.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_set("fp").alias("fps"))
+    candidates = materialise(docs.join(suspects, "doc_id"))
+    removed = shared_windows(candidates).groupBy("doc_id").agg(F.collect_set("window").alias("windows"))
+    done = materialise(cut(candidates.join(removed, "doc_id")).distinct())
+
+    heavy = heavy_counted(texts, "text_hash", "n")
+    told = spread_join(rows.where(F.col("n_words") >= WINDOW), texts.select("text_hash", "first_id"), "text_hash", heavy, "left")
+    copy = F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))
+    whole = told.where(copy).select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit(NOTHING).alias("kept_sha256"))
+    rest = told.where(~copy & F.col("doc_id").isNotNull()).drop("first_id")
+    rest = rest.join(done.select("doc_id", "text_hash", "n_removed", "kept_sha256"), ["doc_id", "text_hash"], "left")
+    alone = rows.where((F.col("n_words") < WINDOW) | F.col("doc_id").isNull()).withColumns({"n_removed": F.lit(0), "kept_sha256": F.lit(None).cast("string")})
+    rest = rest.unionByName(alone.select(rest.columns))
+    rest = rest.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("kept_sha256", "all_sha256").alias("kept_sha256"))
+    return whole.unionByName(rest)
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+
+
+def dedup_batch(index: FingerprintIndex, docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """Add a batch to a lasting index and remove from it what earlier documents have; rows as :func:`dedup_substrings`.
+
+    ``history(doc_id, text)`` is the table of the documents added before; only texts that the index
+    finds are compared. Words go if a window over them also starts in a document of smaller id,
+    of this batch or before; what an earlier batch was given is not judged again.
+    """
+    with scratch() as keep:
+        docs = _plain(docs)
+        rows, texts, found = index_batch(index, docs)
+        return keep(removals(docs if history is None else docs.unionByName(_plain(history)), rows, texts, found))
+
+
 def dedup_substrings(docs: DataFrame, batches: int = 2) -> DataFrame:
     """Remove every word that a window covers whose words also start in a document of smaller id.
 
     Documents come in ``batches`` of ascending ids, as they would day by day; each is matched with
     the index of all before it. A text whose words equal an earlier text's is decided by that
-    alone and is not indexed again. Windows are judged on the input.
+    alone and is not indexed again. Windows are judged on the input. The index is dropped at the
+    end; :func:`dedup_batch` works on one that stays.
 
     One row a document: ``doc_id, n_words, n_removed, kept_sha256`` (kept words joined by one
     space). Null and empty texts have no words; texts under a window lose none. Rows with a null
     id lose none and cost others none. Rows of one id don't count as each other's earlier text.
     An empty table gives no rows. Other columns are not read.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = materialise(read_texts(docs))
-    long = rows.where((F.col("n_words") >= WINDOW) & F.col("doc_id").isNotNull())
-    texts = materialise(long.groupBy("text_hash").agg(F.min("doc_id").alias("first_id")))
-
-    ends = long.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
-    index, matched = FingerprintIndex(spark), None
-    for lo, hi in zip([None, *ends], [*ends, None]):
-        batch = long if lo is None else long.where(F.col("doc_id") > lo)
-        batch = batch if hi is None else batch.where(F.col("doc_id") <= hi)
-        found = index.add(batch.select(F.explode("fps").alias("fp"), F.col("text_hash").alias("owner")))
-        matched = found if matched is None else matched.unionByName(found)
-    index.close()
-
-    suspects = matched.join(texts, matched["owner"] == texts["text_hash"])
-    suspects = suspects.groupBy(F.col("first_id").alias("doc_id")).agg(F.collect_set("fp").alias("fps"))
-    candidates = materialise(docs.join(suspects, "doc_id"))
-    removed = shared_windows(candidates).groupBy("doc_id").agg(F.collect_set("window").alias("windows"))
-    done = materialise(cut(candidates.join(removed, "doc_id")))
-
-    told = rows.join(texts, "text_hash", "left")
-    copy = F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))
-    whole = told.where(copy).select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit(NOTHING).alias("kept_sha256"))
-    rest = told.where(~copy).join(done.select("doc_id", "text_hash", "n_removed", "kept_sha256").distinct(), ["doc_id", "text_hash"], "left")
-    rest = rest.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "all_sha256").alias("kept_sha256"))
-    return whole.unionByName(rest)
+    spark, docs = docs.sparkSession, _plain(docs)
+    with scratch() as keep:
+        ends = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
+        index, parts = FingerprintIndex(spark, shared_dir(spark)), []
+        for lo, hi in zip([None, *ends], [*ends, None]):
+            batch = docs if lo is None else docs.where(F.col("doc_id") > lo)
+            batch = batch if hi is None else batch.where((F.col("doc_id") <= hi) | (F.col("doc_id").isNull() & F.lit(lo is None)))
+            parts.append(index_batch(index, batch))
+        rows, texts, found = parts[0]
+        for more_rows, more_texts, more_found in parts[1:]:
+            rows, texts, found = rows.unionByName(more_rows), texts.unionByName(more_texts), found.unionByName(more_found)
+        texts = materialise(texts.groupBy("text_hash").agg(F.min("first_id").alias("first_id"), F.sum("n").alias("n")))
+        out = keep(removals(docs, rows, texts, found))
+        index.drop()
+        return out
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

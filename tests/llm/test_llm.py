@@ -245,16 +245,53 @@ def test_substring_dedup_equals_brute_force(spark, batches):
     assert got == brute_substrings(texts)
 
 
-def test_index_matches_old_and_new_and_compacts(spark):
-    index = substring_dedup.FingerprintIndex(spark, buckets=3, fan_out=3)
-    rows = lambda *x: spark.createDataFrame([(f, o.encode()) for f, o in x], "fp long, owner binary")
-    told = lambda df: {(r.fp, bytes(r.owner).decode()) for r in df.collect()}
-    assert told(index.add(rows((1, "a"), (2, "a"), (2, "b"), (3, "a"), (3, "a")))) == {(2, "a"), (2, "b")}
-    assert told(index.add(rows((1, "c"), (4, "c")))) == {(1, "a"), (1, "c")}
-    assert told(index.add(rows((4, "c"), (5, "d")))) == set()
-    assert len(index.runs) == 1
-    assert told(index.add(rows((5, "e"), (1, "a")))) == {(5, "d"), (5, "e"), (1, "a"), (1, "c")}
-    index.close()
+def test_index_matches_old_and_new_and_compacts(spark, tmp_path):
+    index = substring_dedup.FingerprintIndex(spark, f"file://{tmp_path}/index", buckets=3, fan_out=3)
+    none = spark.createDataFrame([], "text_hash binary, first_id long")
+    rows = lambda *x: spark.createDataFrame(list(x), "fp long, owner long")
+    told = lambda df: {(r.fp, r.owner) for r in df.collect()}
+    assert told(index.add(rows((1, 10), (2, 10), (2, 11), (3, 10), (3, 10)), none)) == {(2, 10), (2, 11)}
+    assert told(index.add(rows((1, 12), (4, 12)), none)) == {(1, 10), (1, 12)}
+    assert told(index.add(rows((4, 12), (5, 13)), none)) == set()
+    assert len(index.runs) == 3
+    index.compact()
+    assert [r.level for r in index.runs] == [1]
+    again = substring_dedup.FingerprintIndex(spark.newSession(), f"file://{tmp_path}/index", buckets=3)
+    assert again.runs == index.runs
+    assert told(again.add(rows((5, 14), (1, 10)), none)) == {(5, 13), (5, 14), (1, 10), (1, 12)}
+    again.drop()
+
+
+def test_a_heavy_fingerprint_meets_all_owners(spark, tmp_path):
+    index = substring_dedup.FingerprintIndex(spark, f"file://{tmp_path}/index", buckets=3)
+    none = spark.createDataFrame([], "text_hash binary, first_id long")
+    first = [(7, i) for i in range(600)] + [(1000 + i, i) for i in range(3000)]
+    second = [(7, 5000), (1001, 5001), (9, 5002)] + [(9, 6000 + i) for i in range(600)] + [(9000 + i, i) for i in range(3000)]
+    make = lambda x: spark.createDataFrame(x, "fp long, owner long")
+    assert {(r.fp, r.owner) for r in index.add(make(first), none).collect()} == {x for x in first if x[0] == 7}
+    assert index.runs[0].heavy and index.runs[0].heavy[0] == [7, 0, 599]
+    got = {(r.fp, r.owner) for r in index.add(make(second), none).collect()}
+    assert got == {x for x in first + second if x[0] in (7, 9, 1001)}
+    index.drop()
+
+
+def test_index_of_three_sessions_equals_brute_force(spark, tmp_path):
+    r = random.Random(9)
+    passages = [words(n, 70 + n, 5000) for n in (50, 64, 110)]
+    texts = [" ".join([*words(r.randrange(5, 60), 300 + i, 5000), *r.choice(passages), *words(9, 400 + i, 5000)]) for i in range(30)]
+    texts[17], texts[25] = texts[3], texts[12]
+    want, got, done = brute_substrings(texts), {}, None
+    for lo in (0, 10, 20):
+        session = spark.newSession()
+        index = substring_dedup.FingerprintIndex(session, f"file://{tmp_path}/index", buckets=2, fan_out=2)
+        docs = session.createDataFrame([(i, texts[i]) for i in range(lo, lo + 10)], "doc_id long, text string")
+        history = session.createDataFrame(done, "doc_id long, text string") if done else None
+        for x in substring_dedup.dedup_batch(index, docs, history).collect():
+            got[x.doc_id] = (x.n_words, x.n_removed, x.kept_sha256)
+        index.compact()
+        done = [(i, texts[i]) for i in range(lo + 10)]
+    assert got == want
+    index.drop()
 
 
 SECRET_TEXTS = [
