@@ -83,10 +83,12 @@ def spread_join(rows: DataFrame, facts: DataFrame, key: str, heavy: DataFrame |
 
 def apart(docs: DataFrame, *names: str) -> DataFrame:
     """``docs`` with columns of these names, which a result needs, renamed: an ``_in`` is put behind them."""
-    for name in names:
-        if name in docs.columns:
-            docs = docs.withColumnRenamed(name, unused(docs, name + "_in"))
-    return docs
+    return docs.withColumnsRenamed({name: unused(docs, name + "_in") for name in names if name in docs.columns})
+
+
+def given(docs: DataFrame, *names: str) -> list[F.Column]:
+    """The columns of ``docs`` by their own names, in a result that :func:`apart` has set some apart in."""
+    return [F.col(unused(docs, c + "_in")).alias(c) if c in names else F.col(c) for c in docs.columns]
 
 
 _claims: dict[str, Callable[[], None]] = {}

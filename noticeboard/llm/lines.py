@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import apart, documents, materialise
 
 #: Lines in all lists up to which they are broadcast, and the parts of a host beyond that.
 BROADCAST_LINES, SALTS = 1 << 20, 64
@@ -35,11 +35,12 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     """``pages`` without lines that over ``ratio`` of the pages of their host contain.
 
     A page counts once for a line however often it has it, and loses all its copies; lines are
-    compared without outer spaces. All rows and columns stay, with ``lines_dropped`` more; a
-    page may be left with an empty text. Null texts stay null and drop nothing, yet count as
+    compared without outer spaces. All rows and columns stay, with ``lines_dropped`` more (a
+    column of that name is kept as ``lines_dropped_in``); repeated rows are pages of their own. A page may be left with an empty text. Null texts stay null and drop nothing, yet count as
     pages; null hosts are one unnamed host. The lists of all hosts are counted and broadcast if
     they are short (8 bytes a line); else a host's pages are dealt to ``SALTS`` copies of its list.
     """
+    pages = apart(pages, "lines_dropped")
     common = materialise(boilerplate(pages, host, text, ratio, least_pages))
     rows = pages.select(F.struct(*pages.columns).alias("_page"), F.coalesce(F.col(host), F.lit("")).alias("_h"))
     same = F.col("_h") == F.col("_host")
@@ -53,8 +54,7 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_lines"), F.xxhash64(F.trim(x))), F.lit(False)))
     joined = joined.withColumn("_kept", F.when(F.col("_lines").isNull(), lines).otherwise(kept))
     dropped = F.coalesce(F.size(lines) - F.size("_kept"), F.lit(0)).alias("lines_dropped")
-    given = [c for c in pages.columns if c != "lines_dropped"]
-    return joined.select(*((F.array_join("_kept", "\n") if c == text else F.col("_page")[c]).alias(c) for c in given), dropped)
+    return joined.select(*((F.array_join("_kept", "\n") if c == text else F.col("_page")[c]).alias(c) for c in pages.columns), dropped)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

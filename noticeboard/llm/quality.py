@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim, documents, held_out, labels, map_batches, texts_of, unused
+from .common import apart, claim, documents, held_out, labels, map_batches, texts_of, unused
 
 #: Distinct words whose features or weights a worker remembers.
 CACHE_WORDS = 250_000
@@ -130,18 +130,18 @@ class OrdinalModel:
     def score(self, docs: DataFrame, text: str = "text", at_least: int = 1) -> DataFrame:
         """``docs`` with ``expected_grade`` and ``tail_probability`` = P(grade >= ``at_least``) more.
 
-        Null and empty texts are scored as a text without words. All rows and columns stay, but for
-        columns of those two names.
+        Null and empty texts are scored as a text without words. All rows and columns stay; columns that
+        have these names already are kept as ``expected_grade_in`` and ``tail_probability_in``.
         """
 
         def latents(texts: pd.Series) -> pd.Series:
             return pd.Series([self.latent(t or "") for t in texts], dtype="float64")
 
+        docs = apart(docs, "expected_grade", "tail_probability")
         name = unused(docs, "_latent")
         above = [1 / (1 + F.exp(F.lit(float(t)) - F.col(name))) for t in self.thresholds]
         scored = docs.withColumn(name, F.pandas_udf(latents, "double")(F.col(text)))
-        given = [c for c in docs.columns if c not in ("expected_grade", "tail_probability")]
-        return scored.select(*given, sum(above[1:], above[0]).alias("expected_grade"), above[at_least - 1].alias("tail_probability"))
+        return scored.select(*docs.columns, sum(above[1:], above[0]).alias("expected_grade"), above[at_least - 1].alias("tail_probability"))
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
@@ -184,12 +184,14 @@ def fit(docs: DataFrame, ratings: DataFrame, conf: Ratings = Ratings()) -> Ordin
     """Fit on ``ratings(doc_id, grade)``, grades 0 and up, of the texts of ``docs``.
 
     The sample is bounded by ``conf.sample``, so its ids are broadcast and its vectors, each no
-    longer than the weights, come to the driver. Null grades and ids are left out; of a
-    repeated id each row counts. With no rated row every text gets the same score.
+    longer than the weights, come to the driver in the order of ids. Null grades and ids are left out; a
+    repeated id counts once, by its smallest text and grade. With no rated row every text gets the same score.
     """
-    rated = ratings.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "grade")
-    sample = rated.orderBy(F.xxhash64("doc_id"), "grade").limit(conf.sample)
-    rows = vectors(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), conf.bits, conf.scale).toArrow()
+    rated = ratings.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    sample = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(conf.sample)
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    found = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("grade").alias("grade")).orderBy("doc_id")
+    rows = vectors(found, conf.bits, conf.scale).toArrow()
     grades = rows.column("grade").to_numpy().astype(np.int64)
     lists, values = (rows.column(c).combine_chunks() for c in ("buckets", "values"))
     if isinstance(lists, pa.ChunkedArray):
@@ -208,8 +210,11 @@ def graded(marks: DataFrame) -> DataFrame:
 def quality_scores(docs: DataFrame, marks: DataFrame, least: float = 0.5, conf: Ratings = Ratings()) -> DataFrame:
     """``docs`` with ``expected_grade``, ``tail_probability`` (of grade 1 or better) and ``selected``.
 
-    Ratings of held-out ids (crc32 of the id as text, modulo 5, is 0) are not learned.
+    Ratings of held-out ids (crc32 of the id as text, modulo 5, is 0) are not learned. Rows with a null or
+    repeated id are scored as any other; an empty table gives no rows. Columns that have the names of
+    the result already are kept with ``_in`` behind them.
     """
+    docs = apart(docs, "selected")
     model = fit(docs, graded(marks).where(~held_out(F.col("doc_id"))), conf)
     return model.score(docs).withColumn("selected", F.col("tail_probability") >= least)
 

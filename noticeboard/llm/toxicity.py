@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim, documents, held_out, labels, map_batches, texts_of
+from .common import apart, claim, documents, held_out, labels, map_batches, texts_of
 
 # Fixed word lists: plain insults, and second-person pronouns of the languages scored.
 INSULTS = frozenset("dumb fool foolish garbage idiot idiotic imbecile jerk loser lunatic moron pathetic scum stupid trash useless worthless clown disgusting".split())
@@ -287,14 +287,17 @@ class ToxicityModel:
         return np.clip(0.99 * fitted + 0.01 * sigmoid(raw), 0.0, 1.0)
 
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """``docs`` with ``score`` and ``predicted`` more; null texts are empty texts. All rows stay."""
+        """``docs`` with ``score`` and ``predicted`` more; null texts are empty texts. All rows stay.
+
+        Columns that have these names already are kept as ``score_in`` and ``predicted_in``.
+        """
 
         def scores(texts: pd.Series) -> pd.Series:
             if not len(texts):
                 return pd.Series([], dtype="float64")
             return pd.Series(self.probabilities(np.stack([self.lexicon.features(t or "") for t in texts])))
 
-        scored = docs.withColumn("score", F.pandas_udf(scores, "double")(F.col(text)))
+        scored = apart(docs, "score", "predicted").withColumn("score", F.pandas_udf(scores, "double")(F.col(text)))
         return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -303,13 +306,16 @@ def fit(docs: DataFrame, marks: DataFrame, conf: Boosting = Boosting()) -> Toxic
 
     The sample's ids are broadcast (``conf.sample`` bounds them) and only its dense features
     come to the driver. A quarter of the sample calibrates what the rest has fitted. Null labels
-    and ids are left out; copies of one text count once. With no labelled row, or one class
-    only, every text gets much the same score.
+    and ids are left out. A repeated id counts once, by its smallest text, and copies of one text count
+    once, by their smallest id; either is toxic if one of its labels is. So the model does not depend
+    on the order of rows. With no labelled row, or one class only, every text gets much the same score.
     """
-    told = marks.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
-    sample = told.orderBy(F.xxhash64("doc_id"), "toxic").limit(conf.sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = rows.dropDuplicates(["text"]).select("text", F.col("toxic").cast("int").alias("toxic"), (F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(4)) == 0).alias("calibrates"))
+    told = marks.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    sample = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(conf.sample)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = rows.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("first"))
+    rows = rows.select("text", "toxic", (F.pmod(F.xxhash64("first", F.lit(4)), F.lit(4)) == 0).alias("calibrates"))
     rows = rows.cache()
     try:
         lexicon = learn_lexicon(rows.where("NOT calibrates").select("text", "toxic"), conf)
