@@ -2,7 +2,8 @@
 
 Each stage is a function of (spark, docs, sf_dir) that returns a DataFrame; it is written as
 Parquet and read again as the next stage's ``docs``. All but the last return the columns of
-``documents``.
+``documents``. Every stage takes null, empty and very long texts, null and repeated ids, other columns
+of any name and an empty table, which gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeboard.llm.common import labels, materialise, shared_dir, unused
+from noticeboard.llm.common import given, labels, materialise, release, scratch, unused
 from noticeboard.llm.lines import drop_boilerplate
 from noticeboard.llm.near_dedup import NearDedup, near_duplicates, repeated_ids
 from noticeboard.llm.packing import pack_documents
@@ -19,13 +20,20 @@ from noticeboard.llm.secrets import redact
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose probability of grade 1 or better is under a half."""
-    return quality_scores(docs, labels(spark, sf_dir)).where("selected").select(docs.columns)
+    """Drop documents whose probability of grade 1 or better is under a half.
+
+    Each row is judged by its own text, so rows of one id or without one may part; a null text is empty.
+    """
+    scored = quality_scores(docs, labels(spark, sf_dir)).where("selected")
+    return scored.select(given(docs, "selected", "expected_grade", "tail_probability"))
 
 
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines that over a tenth of their source's documents have; all documents stay."""
-    return drop_boilerplate(docs).select(docs.columns)
+    """Drop lines that over a tenth of their source's documents have; all documents stay.
+
+    A null source is a site of its own; a null text stays null, a text may become empty; each repeated row counts.
+    """
+    return drop_boilerplate(docs).select(given(docs, "lines_dropped"))
 
 
 def with_own_ids(docs: DataFrame, repeated: DataFrame, own: str) -> DataFrame:
@@ -51,7 +59,8 @@ def with_own_ids(docs: DataFrame, repeated: DataFrame, own: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of smallest id of each group of near-duplicates: five words, 0.8 or more.
 
-    Where ids repeat, one of identical rows stays, and different texts of one id are documents of their own.
+    Where ids repeat, one of identical rows stays, and different texts of one id are documents of their
+    own. Rows without an id, and null, empty and blank texts, all stay.
     """
     own, columns = unused(docs, "_own"), docs.columns
     repeated = repeated_ids(docs)
@@ -62,12 +71,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace live-looking credentials by a mark; all documents stay."""
+    """Replace live-looking credentials by a mark; all documents stay.
+
+    Null texts stay null; rows of one id or without one are told apart by their texts.
+    """
     return redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenise and pack what is left into sequences of 2048 tokens."""
+    """Tokenise and pack what is left into sequences of 2048 tokens.
+
+    A null or empty text is its end token alone; each repeated row is packed.
+    """
     import public_tokenizers as P
 
     return pack_documents(docs, P.path("byte_bpe_50k.json"))
@@ -85,11 +100,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; a stage's tables go once the next has been written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            path = shared_dir(spark)
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scratch() as keep:
+            done = keep(stage(spark, docs, sf_dir))
+        release(docs)
+        docs = done
+    return STAGES[-1][1](spark, docs, sf_dir)
