@@ -31,8 +31,9 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-#: A key is heavy if more than one in ``HEAVY_SHARE`` rows has it; a sketch of ``TRACKED`` keys finds them.
-HEAVY_SHARE, TRACKED = 1024, 8192
+#: A key is heavy if more than one in ``HEAVY_SHARE`` rows has it, and more than ``LEAST_ROWS`` rows, the
+#: size of a part; a sketch of ``TRACKED`` keys finds them.
+HEAVY_SHARE, LEAST_ROWS, TRACKED = 1024, 64, 8192
 
 
 def heavy_keys(rows: DataFrame, key: str) -> DataFrame | None:
@@ -43,15 +44,15 @@ def heavy_keys(rows: DataFrame, key: str) -> DataFrame | None:
     in each task; a count that is off moves rows to other tasks and changes no result.
     """
     top = rows.select(F.xxhash64(key).alias("h")).agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h, {HEAVY_SHARE}, {TRACKED})").alias("top")).first()
-    found = [(x["item"], -(-x["count"] * HEAVY_SHARE // top["n"])) for x in top["top"] if x["count"] * HEAVY_SHARE > top["n"]]
+    part = max(LEAST_ROWS, -(-top["n"] // HEAVY_SHARE))
+    found = [(x["item"], -(-x["count"] // part)) for x in top["top"] if x["count"] > part]
     return rows.sparkSession.createDataFrame(found, "_heavy bigint, _parts int") if found else None
 
 
 def heavy_counted(counts: DataFrame, key: str, n: str) -> DataFrame | None:
     """:func:`heavy_keys` from a table of exact counts, one row a key."""
-    total = counts.agg(F.sum(n)).first()[0] or 0
-    parts = F.ceil(F.col(n) * HEAVY_SHARE / total).cast("int") if total else F.lit(1)
-    found = counts.where(F.col(n) * HEAVY_SHARE > total).select(F.xxhash64(key).alias("_heavy"), parts.alias("_parts")).collect()
+    part = max(LEAST_ROWS, -(-(counts.agg(F.sum(n)).first()[0] or 0) // HEAVY_SHARE))
+    found = counts.where(F.col(n) > part).select(F.xxhash64(key).alias("_heavy"), F.ceil(F.col(n) / part).cast("int").alias("_parts")).collect()
     return counts.sparkSession.createDataFrame(found, "_heavy bigint, _parts int") if found else None
 
 
