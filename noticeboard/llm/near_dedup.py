@@ -40,7 +40,7 @@ class NearDedup:
     batch: int = 16
     miss: float = 1e-7
     block: int = 256
-    fine: int = 1024
+    fine: int = 2048
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -78,9 +78,12 @@ def least_matches(threshold: float, n: int, miss: float) -> int:
     With a uniform prior the posterior of the similarity after m of n matches is
     Beta(m + 1, n - m + 1); its tail above the threshold is P(Binomial(n + 1, threshold) <= m).
     """
+    if threshold >= 1:
+        return n
     tail = 0.0
     for m in range(n + 1):
-        tail += math.comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
+        ways = math.lgamma(n + 2) - math.lgamma(m + 1) - math.lgamma(n + 2 - m)
+        tail += math.exp(ways + m * math.log(threshold) + (n + 1 - m) * math.log1p(-threshold))
         if tail >= miss:
             return m
     return n
@@ -114,18 +117,19 @@ def keys_of(sigs: np.ndarray, conf: NearDedup) -> np.ndarray:
 
 
 def band_keys(reps: DataFrame, conf: NearDedup) -> DataFrame:
-    """``key, rep`` for each band of each representative's signature."""
+    """``key, rep, band`` for each band of each representative's signature."""
 
     def make():
         def work(batch):
             if not len(batch):
                 return None
             sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(len(batch), -1)
-            return {"key": keys_of(sigs, conf).reshape(-1), "rep": np.repeat(batch.column("rep").to_numpy(), conf.bands)}
+            band = np.tile(np.arange(conf.bands, dtype=np.int32), len(batch))
+            return {"key": keys_of(sigs, conf).reshape(-1), "rep": np.repeat(batch.column("rep").to_numpy(), conf.bands), "band": band}
 
         return work
 
-    return map_batches(reps, make, "key bigint, rep bigint")
+    return map_batches(reps, make, "key bigint, rep bigint, band int")
 
 
 def surviving(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, batch: int, threshold: float, miss: float) -> np.ndarray:
@@ -230,17 +234,19 @@ def _hub_pairs(buckets: DataFrame, heavy: DataFrame | None) -> DataFrame:
 def _blocks(torn: DataFrame, heavy: DataFrame | None, reps: DataFrame, docs: DataFrame, conf: NearDedup) -> DataFrame:
     """``key, block, members``: a bucket's largest component, and the rest of its members, in blocks.
 
-    Blocks of the largest component have odd numbers.
+    Blocks of the largest component have odd numbers. A member knows the bucket's ``band`` and, as bits of
+    ``met``, the bands of all its buckets that are compared.
     """
     sizes = torn.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
     largest = F.col("component") == F.col("main")
     parts = F.ceil(F.when(largest, F.col("most")).otherwise(F.col("all") - F.col("most")) / conf.block)
     block = F.pmod(F.xxhash64("rep"), parts) * 2 + largest.cast("int")
-    named = spread_join(torn, main, "key", heavy).select("key", "rep", "component", block.alias("block"))
+    named = spread_join(torn, main, "key", heavy).select("key", "rep", "component", "band", block.alias("block"))
     fine = materialise(fine_signatures(torn.select("rep").distinct(), docs, conf))
-    member = F.struct("rep", "component", "n_shingles", "sig", "fine")
-    return named.join(reps, "rep").join(fine, "rep").groupBy("key", "block").agg(F.collect_list(member).alias("members"))
+    met = torn.groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1L, band)")).alias("met"))
+    member = F.struct("rep", "component", "n_shingles", "sig", "fine", "band", "met")
+    return named.join(reps, "rep").join(fine, "rep").join(met, "rep").groupBy("key", "block").agg(F.collect_list(member).alias("members"))
 
 
 def _block_survivors(met: DataFrame, blocks: DataFrame, conf: NearDedup, skip: int, width: int) -> DataFrame:
@@ -248,8 +254,8 @@ def _block_survivors(met: DataFrame, blocks: DataFrame, conf: NearDedup, skip: i
     ``met(key, block, other)``, the likeliest pairs of members, from number ``skip`` on, ``width`` at most.
 
     Each pair of blocks is one row, compared in one vectorised step: candidate pairs never become
-    rows. A pair must be of two components and not be ruled out by the signatures. ``left`` tells
-    how many more there are.
+    rows. A pair must be of two components and not be ruled out by the signatures; it is given by the
+    first of its common buckets only. ``left`` tells how many more there are.
     """
     own = met.where("block = other").join(blocks, ["key", "block"]).withColumn("others", F.array().cast(blocks.schema["members"].dataType))
     two = met.where("block <> other").join(blocks, ["key", "block"])
@@ -276,6 +282,13 @@ def _block_survivors(met: DataFrame, blocks: DataFrame, conf: NearDedup, skip: i
         i, j = i[alive], j[alive]
         alive = surviving(fine_a, fine_b, i, j, 256, by_byte, conf.miss)
         i, j = i[alive], j[alive]
+        if not len(i):
+            return None
+        bands = np.arange(conf.bands)
+        common = (a[i] == b[j]).reshape(len(i), conf.bands, conf.rows).all(axis=2)
+        common &= ((np.array([m["met"] for m in members], np.int64)[i, None] >> bands) & 1).astype(bool)
+        first = common.argmax(axis=1) == members[0]["band"]
+        i, j = i[first], j[first]
         if not len(i):
             return None
         swap = rep_a[i] > rep_b[j]
@@ -355,12 +368,12 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _torn(buckets: DataFrame, labels: DataFrame, heavy: DataFrame | None) -> DataFrame:
-    """``key, rep, component`` of the buckets that hold more than one component.
+    """``key, rep, band, component`` of the buckets that hold more than one component.
 
     The one pair of a bucket of two was tried with its hub, and of buckets with the same members one is enough.
     """
-    named = buckets.where("n > 2").select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    named = buckets.where("n > 2").select("key", "rep", "band").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    named = named.select("key", "rep", "band", F.coalesce("component", "rep").alias("component"))
     total = lambda seed: F.sum(F.xxhash64("rep", F.lit(seed)).cast("decimal(38,0)"))
     told = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), total(1).alias("p"), total(2).alias("q"), F.count("*").alias("n"))
     torn = told.where("x <> y").groupBy("p", "q", "n").agg(F.min("key").alias("key"))
