@@ -222,3 +222,29 @@ def edited_well(row: dict[str, Column]) -> Column:
         & ~has_any(F.lower(F.concat_ws(" ", get("title"), body)), W.EDITED_BLOCKED)
         & ((kind == "") | has_any(kind, ("recruitment", "भर्ती", "vacancy", "रिक्ति")))
     )
+
+
+def page_type(title: Column | str, category: Column | str, kind: Column | str) -> Column:
+    """Type of a rendered page, from category, title and type together; a recruitment by default."""
+    t, raw = F.lower(text(title)), F.lower(text(category))
+    blob = F.concat_ws(" ", raw, t, F.lower(text(kind)))
+    return (
+        F.when(blob.contains("admit") | has_any(t, ("hall ticket", "call letter", "प्रवेश पत्र")), "admit-card")
+        .when(blob.contains("answer") | t.contains("उत्तर कुंजी"), "answer-key")
+        .when(blob.contains("result") | t.rlike(r"\bmerit list\b|\bscore ?card\b|परिणाम"), "result")
+        .when(blob.contains("syllabus") | t.contains("पाठ्यक्रम"), "syllabus")
+        .when(blob.contains("scholarship") | t.contains("छात्रवृत्ति"), "scholarship")
+        .when(has_any(blob, ("interview", "walk-in")) | has_any(t, ("वॉक-इन", "साक्षात्कार")), "interview")
+        .when(blob.contains("entrance") | t.contains("प्रवेश परीक्षा"), "entrance")
+        .when(has_any(blob, W.PAGE_NOTICE) & ~has_any(t, W.PAGE_HIRING), "notice")
+        .when(has_any(raw, ("teaching", "teacher")), "teaching")
+        .otherwise("recruitment")
+    )
+
+
+def is_recruitment(title: Column | str, category: Column | str, kind: Column | str) -> Column:
+    """Strict form: a type or category of hiring, and no other type by name or title."""
+    t, g, p = (F.lower(squeeze(x)) for x in (title, category, kind))
+    other = p.isin("result", "admit card", "answer key", "syllabus", "scholarship", "other")
+    titled = has_any(t, ("admit card", "hall ticket", "answer key", "result", "syllabus", "scholarship", "पाठ्यक्रम", "प्रवेश पत्र", "परिणाम", "उत्तर कुंजी"))
+    return ~other & ~titled & (p.isin("recruitment", "job", "jobs", "") | g.isin("recruitment", "latest jobs", "latest job", "job", "jobs"))

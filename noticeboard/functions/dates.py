@@ -24,9 +24,14 @@ def month_number(name: Column) -> Column:
 
 
 def _parts(x: Column, pattern: str, order: tuple[int, int, int], named: bool = False) -> Column:
-    y, m, d = (F.regexp_extract(x, pattern, i) for i in order)
-    found = x.rlike(pattern)
-    return F.when(found, make(y, month_number(m) if named else m, d))
+    """The date of the first match: what was found is cut at its signs once, as the value of a lambda."""
+
+    def read(bits: Column) -> Column:
+        y, m, d = (F.get(bits, F.lit(i - 1)) for i in order)
+        return make(y, month_number(m) if named else m, d)
+
+    found = F.split(F.regexp_extract(x, pattern, 0), r"[^\p{L}\p{N}]+")
+    return F.when(x.rlike(pattern), F.get(F.transform(F.array(found), read), F.lit(0)))
 
 
 def anchored(x: Column | str) -> Column:
@@ -51,6 +56,19 @@ def strict(x: Column | str) -> Column:
     )
 
 
+def last_day(x: Column | str) -> Column:
+    """Whole-text day-first dates with two- or four-digit years, ISO or a named month; any separator."""
+    t = F.regexp_replace(F.lower(squeeze(x)), "[/.]", "-")
+    two = r"^(\d{1,2})-(\d{1,2})-(\d{2})$"
+    century = F.when(F.regexp_extract(t, two, 3).try_cast("int") < 69, "20").otherwise("19")
+    return F.coalesce(
+        _parts(t, r"^(\d{1,2})-(\d{1,2})-(\d{4})$", (3, 2, 1)),
+        F.when(t.rlike(two), make(F.concat(century, F.regexp_extract(t, two, 3)), F.regexp_extract(t, two, 2), F.regexp_extract(t, two, 1))),
+        _parts(t, r"^(\d{4})-(\d{1,2})-(\d{1,2})$", (1, 2, 3)),
+        _parts(t, rf"^(\d{{1,2}}) ({MONTHS}) (\d{{4}})$", (3, 2, 1), named=True),
+    )
+
+
 def anywhere(x: Column | str) -> Column:
     """First of: year-first, day-first, named month; a form found but impossible gives way to the next."""
     t = F.lower(squeeze(x))
@@ -116,6 +134,61 @@ def labelled_deadline(x: Column | str) -> Column:
     return anywhere(F.regexp_extract(F.lower(text(x)), label + r"\s*[:\-]?\s*(\d{1,2}[-/.]\d{1,2}[-/.]\d{4})", 1))
 
 
+#: Where a record tells its publication, in order of trial, and the labels of an advertisement's date.
+PUBLISHED = ("notification_date", "publish_date", "published_date", "date_published", "source_date")
+ADVERTISED = r"(?i)(?:dated|date\s*of\s*advertisement|advertisement\s*dated|notification\s*dated|दिनांकित|विज्ञापन\s*दिनांक|अधिसूचना\s*दिनांक|दिनांक)\s*[:\-–]?\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})"
+LAST_LABELS = (
+    r"(?i)(?:last\s*date(?:\s*to\s*apply)?|application\s+(?:last\s*)?date|closing\s*date|deadline|registration\s+(?:last\s*)?date"
+    r"|आवेदन\s*की\s*अंतिम\s*तिथि|अंतिम\s*तिथि|अंतिम\s*तारीख)\s*[:\-–]?\s*([^\n|;]{1,80})"
+)
+WRITTEN = rf"(?i)\b(?:0?[1-9]|[12]\d|3[01])(?:[-/. ](?:0?[1-9]|1[0-2])[-/. ]20\d{{2}}|\s+(?:{MONTHS})\s+20\d{{2}})\b"
+
+
+def _spelled(x: Column) -> Column:
+    """YYYY-MM-DD of a year-first text, whose separators may be missing, or of a day-first one; null without either."""
+    first, second = r"(\d{4})[-/]?(\d{1,2})[-/]?(\d{1,2})", r"(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})"
+    whole = lambda p, i: F.regexp_extract(x, p, i).cast("int")
+    short = F.when(whole(second, 3) < 100, whole(second, 3) + 2000).otherwise(whole(second, 3))
+    told = lambda y, m, d: F.format_string("%04d-%02d-%02d", y, m, d)
+    return F.when(x.rlike(first), told(whole(first, 1), whole(first, 2), whole(first, 3))).when(x.rlike(second), told(short, whole(second, 2), whole(second, 1)))
+
+
+def published_day(columns: list[str], default: str = "उपलब्ध नहीं") -> Column:
+    """Publication day as YYYY-MM-DD: the first date column that holds one, else a labelled date of the texts; never today."""
+    found = [_spelled(F.trim(text(k))) for k in PUBLISHED if k in columns]
+    texts = F.concat_ws(" ", *(text(k) for k in ("title", "description", "content") if k in columns))
+    return F.coalesce(*found, _spelled(F.regexp_extract(texts, ADVERTISED, 1)), F.lit(default))
+
+
+def first_date(x: Column | str) -> Column:
+    """As written: the date behind the first deadline label, else the first date of the text, else empty."""
+    behind = F.regexp_extract(F.regexp_extract(text(x), LAST_LABELS, 1), WRITTEN, 0)
+    return F.coalesce(F.nullif(behind, F.lit("")), F.regexp_extract(text(x), WRITTEN, 0))
+
+
+def shown_day(columns: list[str]) -> Column:
+    """"05 Jan 2026" of the first readable publication column, else of the day seen, else empty."""
+    names = ("publish_date", "notification_date", "published_date", "date_published", "posted_date", "date", "scraped_at")
+    found = [anywhere(k) for k in names if k in columns]
+    return F.coalesce(F.date_format(F.coalesce(*found, F.lit(None).cast("date")), "dd MMM yyyy"), F.lit(""))
+
+
+def archive_day(x: Column | str) -> Column:
+    """A year-first date as DD-MM-YYYY; anything else as it is."""
+    pattern = r"(20\d{2})[-/.](\d{1,2})[-/.](\d{1,2})"
+    whole = lambda i: F.regexp_extract(text(x), pattern, i).cast("int")
+    return F.when(text(x).rlike(pattern), F.format_string("%02d-%02d-%04d", whole(3), whole(2), whole(1))).otherwise(text(x))
+
+
+def newest_year(x: Column | str) -> Column:
+    return F.array_max(years(x))
+
+
+def last_year(x: Column | str) -> Column:
+    """The year that stands last, or null."""
+    return F.try_element_at(years(x), F.lit(-1))
+
+
 def is_expired(last: Column, as_of: Column | str) -> Column:
     """Before the day ``as_of``; no readable date is not expired."""
     day = F.to_date(F.lit(as_of)) if isinstance(as_of, str) else as_of

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import wordlists as W
 from .text import c, clean
 
 
@@ -26,7 +27,10 @@ def _vector(fn, kind: str = "string"):
         def two(a: pd.Series, b: pd.Series) -> pd.Series:
             return pd.Series([fn(x or "", y or "") for x, y in zip(a, b)], dtype=object if kind == "string" else None)
 
-        return F.pandas_udf(one if len(columns) == 1 else two, kind)(*map(c, columns))
+        def many(a: pd.Series, b: pd.Series, d: pd.Series, e: pd.Series) -> pd.Series:
+            return pd.Series([fn(*(x or "" for x in row)) for row in zip(a, b, d, e)], dtype=object if kind == "string" else None)
+
+        return F.pandas_udf({1: one, 2: two, 4: many}[len(columns)], kind)(*map(c, columns))
 
     return apply
 
@@ -52,31 +56,55 @@ def ratio_bound(a: Column, b: Column) -> Column:
 absolute = _vector(lambda base, link: urljoin(base, link.strip()) if link.strip() else "")
 
 
+_SLUG_WORDS = re.compile("|".join(sorted(W.SLUG_WORDS, key=len, reverse=True)))
+
+
+def _dashed(x: str) -> str:
+    return re.sub(r"[^a-z0-9]+", "-", x).strip("-")
+
+
 def slug_text(title: str) -> str:
-    """ASCII slug after template braces go, & becomes a word and accents are folded."""
-    s = re.sub(r"\{\{.*?\}\}", "", title).lower().replace("&", " and ")
-    s = unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode()
-    return re.sub(r"[^a-z0-9]+", "-", s).strip("-")[:130].strip("-")
+    """ASCII slug: template braces go, & becomes a word, Hindi terms become English ones, accents are folded."""
+    s = re.sub(r"\{\{.*?\}\}", "", title).strip().lower().replace("&", " and ")
+    s = _SLUG_WORDS.sub(lambda m: W.SLUG_WORDS[m[0]], s)
+    return _dashed(unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode())
 
 
-def slug_of(title: str, job_id: str) -> str:
-    """Slug with the id's last ten characters; without an id the title's hash tells empty slugs apart."""
-    base = slug_text(title)
-    tail = re.sub(r"[^a-z0-9]", "", job_id.lower())[-10:]
-    if not base:
-        base = "post-" + hashlib.sha1(title.strip().lower().encode()).hexdigest()[:8]
-    return f"{base}-{tail}" if tail else base
+def slug_of(title: str, job_id: str, category: str = "", year: str = "") -> str:
+    """Slug of at most 150 characters that ends with the id's last ten, or a hash where the title is not ASCII.
+
+    Without Latin letters or digits it is made of category, year and id, or a hash in place of the id.
+    """
+    title = title.strip() or "update"
+    base, tail = slug_text(title)[:130].rstrip("-"), re.sub(r"[^a-z0-9]", "", job_id.lower())[-10:]
+    if base:
+        mark = tail or ("" if title.isascii() else hashlib.sha1(title.encode()).hexdigest()[:8])
+        return (f"{base}-{mark}" if mark else base)[:150].rstrip("-")
+    told = re.findall(r"20\d{2}", f"{title} {year}")
+    mark = tail or hashlib.sha1(f"{title}|{job_id.strip()}".encode()).hexdigest()[:10]
+    return f"{_dashed(category.strip().lower()) or 'update'}-{told[-1] if told else '2026'}-{mark}"[:150].rstrip("-")
 
 
 slug = _vector(slug_of)
 
 
+def _devanagari(token: str) -> str:
+    return re.sub(r"[^\u0900-\u097F]", "", token)
+
+
+def _belongs(left: str, right: str) -> bool:
+    """Whether two tokens are parts of one Devanagari word: by a known beginning or ending, or both being very short."""
+    a, b = _devanagari(left), _devanagari(right)
+    if not a or not b or len(a) > 8 or len(b) > 10 or left[0].isdigit() or a in W.HINDI_WORDS or b in W.HINDI_WORDS:
+        return False
+    return (a in W.HINDI_BEGINNINGS and len(a) <= 5) or b in W.HINDI_ENDINGS or (len(b) <= 2 and len(a) <= 4)
+
+
 def join_glyphs(line: str) -> str:
-    """Devanagari words whose glyphs were set apart: a token of one base glyph or of signs only joins the one before."""
+    """Devanagari words that text extraction has set apart, joined from the left; whole words stay apart."""
     out: list[str] = []
     for token in line.split():
-        lone = all(unicodedata.category(ch).startswith("M") for ch in token) or (len(token) == 1 and "ऀ" <= token <= "ॿ")
-        if out and lone and "ऀ" <= out[-1][-1] <= "ॿ":
+        if out and _belongs(out[-1], token):
             out[-1] += token
         else:
             out.append(token)

@@ -143,7 +143,7 @@ PLACEHOLDERS = (
     "", "not mentioned", "check official notification", "check notification", "as per rules", "not available",
     "उपलब्ध नहीं", "आधिकारिक अधिसूचना देखें", "official notification", "n/a", "na", "none", "null", ".",
 )
-IDENTITY_FIELDS = ("title", "url", "category", "post_type", "department", "year", "is_valid_post")
+IDENTITY_FIELDS = ("title", "url", "category", "post_type", "department", "year", "tags", "keywords", "is_valid_post")
 DETAIL_FIELDS = (
     "vacancy", "qualification", "salary", "age_limit", "application_fee", "selection_process", "exam_date",
     "application_start_date", "last_date", "description", "content", "apply_link", "notification_pdf",
@@ -263,3 +263,177 @@ ERROR_PAGES = (
 )
 CHROME = ("forgot password", "login/register", "login register", "skip to main content")
 NOT_LATEST = ("admit card", "hall ticket", "call letter", "answer key", "result", "syllabus", "scholarship")
+
+# Fixed values of records: search endings of a title, and the columns of dates in order of trial.
+KEYWORD_ENDINGS = ("Recruitment", "Notification", "Apply Online", "Vacancy", "Jobs", "Last Date", "Official Notification")
+SOURCE_DATES = ("notification_date", "source_date", "published_date", "date_published", "posted_date")
+PUBLICATION_DATES = ("publish_date", "published_date", "date_published", "posted_date", "notification_date", "date")
+CLOSED_PATTERN = (
+    r"(?i)\b(?:application|applications|registration)\s+(?:is\s+|are\s+)?(?:closed|over)\b|\b(?:application|registration)\s+closed\b"
+    r"|\bexpired\b|(?<![\p{L}\p{N}_])आवेदन\s*(?:बंद|समाप्त)(?![\p{L}\p{N}_])"
+)
+PAGE_NOISE = (
+    "apply online", "apply now", "recruitment", "recruitments", "recruitment notices", "application forms", "application form",
+    "apply links", "recruitment/admission links", "results", "answer keys", "question bank online exam", "forget password", "login", "home",
+    "vacancy", "vacancies", "vacancy/nia", "vacancy position", "download interview letter", "download hindi notification",
+    "download guidelines for candidates for filling up online application",
+)
+INDEX_NOISE = ("", "support", "student", "results", "more", "more...", "support_agent support", "event student", "event key dates")
+
+# Fields that a merge compares.
+COMPARED_FIELDS = (
+    "title", "url", "category", "department", "vacancy", "qualification", "salary", "age_limit", "application_fee", "selection_process",
+    "exam_date", "application_start_date", "last_date", "description", "apply_link", "notification_pdf", "official_website",
+    "notification_date", "notification_text",
+)
+
+# Fixed values of the candidate test.
+CANDIDATE_BLOCKED = (
+    "result", "results", "answer key", "answer-key", "admit card", "admit-card", "hall ticket", "score card", "scorecard",
+    "merit list", "selected candidates", "selected candidate", "qualified candidates", "qualified candidate",
+    "previous year", "previous years", "question paper", "question papers", "exam schedule", "examination schedule",
+    "exam date", "examination date", "interview schedule", "corrigendum", "extension of last date", "extension of date",
+    "revised schedule", "date extended", "provisional answer", "syllabus", "shortlisted candidates", "shortlisted candidate",
+    "final answer key", "waiting list", "cut off", "cut-off", "score list", "individual score", "call letter",
+    "main examination call letter", "preliminary examination call letter", "provisionally selected", "provisionally shortlisted",
+    "no candidate shortlisted", "list of candidates", "candidate shortlisted", "selected in second wait list", "second wait list",
+    "backlog vacancies (preliminary examination", "vice chancellor", "vice-chancellor", "kulapati", "re-appointed", "reappointed",
+    "second term", "कार्यकाल", "कुलपति", "पुनः नियुक्त", "नियुक्त किया गया", "appointment announced",
+    "press release", "press-release", "gazette", "act,", "act ", "rti officer", "rti officers", "faq", "notice to the candidates",
+    "marks of the candidates", "eligible and ineligible candidates", "refund of fee", "refund of fees", "stands cancelled",
+    "cancellation of", "preference selection",
+)
+APPOINTMENT_NEWS = (
+    "appointment of", "re-appointed", "reappointed", "vice chancellor", "vice-chancellor", "second term", "कुलपति", "पुनः नियुक्त", "नियुक्त किया गया",
+)
+APPOINTMENT_OPEN = ("recruitment", "vacancy", "apply online", "applications are invited", "application invited", "भर्ती", "रिक्ति", "आवेदन आमंत्रित")
+CANDIDATE_TERMS = (
+    "recruitment", "vacancy", "vacancies", "applications are invited", "application invited", "apply online", "online application",
+    "engagement of", "appointment of", "walk-in", "walk in", "भर्ती", "रिक्ति", "आवेदन आमंत्रित", "ऑनलाइन आवेदन", "नियुक्ति", "संविदा",
+    "guest lecturer", "contractual",
+)
+
+# Fixed values of detail fields.
+DETAIL_PLACEHOLDERS = (
+    "", "not mentioned", "not available", "check official notification", "check notification", "official notification", "as per rules",
+    "see official notification", "available", "none", "null", "n/a", "na", "उपलब्ध नहीं", "आधिकारिक अधिसूचना देखें", "आधिकारिक अधिसूचना में देखें",
+)
+DETAIL_FRAGMENTS = (
+    r"^\(?\s*as\s+on\b", r"^\(?\s*as\s+at\b", r"^\(?\s*c\.?\s*at\s+the\s+time\b", r"^\(?\s*at\s+the\s+time\s+of\b", r"^\(?\s*at\s+the\s+time\b",
+    r"^\s*[\W_]*rs\.?\s*\d{1,2}\s*$", r"^\s*(?:a|an|the|of|and|or|i|ii|iii|iv)\s*$", r"^\s*[.:;\-–—]+\s*$",
+)
+LONG_DETAILS = ("qualification", "salary", "age_limit", "application_fee", "selection_process")
+SELECTION_CHATTER = (
+    "के संबंध में जानकारी", "परीक्षा कार्यक्रम", "प्रवेश पत्र", "आयोग की वेबसाइट", "वेबसाइट पर उपलब्ध", "information regarding",
+    "exam programme", "download admit card", "visit the website", "for more information",
+)
+USABLE_NOT = ("not mentioned", "check official notification", "not available", "as per rules", ".", "null", "none", "available")
+EDITOR_PLACEHOLDERS = (
+    "", "not mentioned", "not available", "check notification", "check official notification", "as per rules", "उपलब्ध नहीं",
+    "आधिकारिक अधिसूचना देखें", "n/a", "na", "none", "null", ".",
+)
+READER_PLACEHOLDERS = (
+    "not available", "not mentioned", "not provided", "check official notification", "check notification", "as per rules", "to be announced",
+    "tba", "n/a", "na", "none", "null", "unknown", "-", "--", "—", "–",
+)
+STRUCTURED_PLACEHOLDERS = (
+    "", "not mentioned", "not available", "check official notification", "check notification", "as per rules", "n/a", "na", "none", "null", "-", "=", ".",
+)
+PAGE_PLACEHOLDERS = (
+    "", "-", "—", "n/a", "na", "not available", "not mentioned", "official notification", "check official notification", "see official notification",
+    "आधिकारिक अधिसूचना देखें", "उपलब्ध नहीं", "उपलब्ध नहीं है",
+)
+PLACEHOLDER_SETS = {
+    "merge": PLACEHOLDERS, "gate": GATE_PLACEHOLDERS, "editor": EDITOR_PLACEHOLDERS, "reader": READER_PLACEHOLDERS,
+    "detail": DETAIL_PLACEHOLDERS, "structured": STRUCTURED_PLACEHOLDERS, "page": PAGE_PLACEHOLDERS,
+}
+
+# Fixed values of reader texts: the texts that each module reads, in order, and the labels of the summary.
+SOURCE_TEXTS = {
+    "reader": ("notification_text", "notification_content", "content", "description", "summary", "text", "raw_text", "body", "title"),
+    "structured": ("notification_text_clean", "notification_text", "notification_content", "content", "raw_text", "description", "text", "body", "title"),
+    "page": ("notification_text", "content", "raw_text", "body", "text"),
+}
+SUMMARY_LABELS = {"vacancy": "Total vacancies", "qualification": "Educational qualification", "salary": "Salary/Pay", "last_date": "Last date"}
+READER_NOISE = (
+    "skip to main content", "select your language", "screen reader", "accessibility", "sitemap", "site map", "copyright", "privacy policy",
+    "terms and conditions", "go to index", "table of contents", "contents", "previous page", "next page", "page |", "a- a a+", "a a a",
+    "main content", "click here for", "back to top", "print this page", "share this page",
+)
+# Mojibake sequences and what they stand for, the longest first where one begins another; then what is only removed.
+MOJIBAKE = {
+    "â€“": "–", "â€”": "—", "â€¢": "•", "â€˜": "‘", "â€™": "’", "â€œ": "“", "â€\u009d": "”", "â€": "”",
+    "Â": "", "ï»¿": "", "�": "", "￾": "", "­": "",
+}
+ZERO_WIDTH = "​‌‍"
+# Fixed values of Devanagari spacing: whole words, beginnings and endings that text extraction sets apart.
+HINDI_WORDS = (
+    "में", "के", "का", "की", "को", "से", "पर", "और", "या", "एक", "यह", "वह", "इस", "उस", "ने", "तो", "ही", "भी", "है", "हैं", "था", "थे",
+    "थी", "हो", "तथा", "हेतु", "द्वारा", "लिए", "पद", "पदों", "तक", "दिए", "गए", "जाने", "वाले", "वाली", "वाला", "कर", "केवल", "सभी", "आदि", "सी",
+)
+HINDI_BEGINNINGS = (
+    "बॉ", "टनि", "रि", "इंस्टी", "डा", "लि", "वि", "ज्ञा", "अंति", "ति", "सहा", "तृती", "कैशि", "ऑनला", "पदना", "कार्या", "शैक्षि", "योग्", "आवा",
+    "अधि", "प्रा", "परि", "प्रमा", "विज्ञा", "ट्यू", "एनबी",
+)
+HINDI_ENDINGS = ("टनि", "कल", "सर्च", "ट्यूट", "यरेक्टर", "ए", "ज्ञा", "पन", "म", "थि", "यक", "यर", "इन", "लय", "र्या", "आरआई", "य", "ल", "ना", "न")
+
+# Fixed values of slugs: Hindi words and their English ones, replaced longest first.
+SLUG_WORDS = {
+    "सरकारी": "government", "नौकरी": "job", "नौकरियां": "jobs", "भर्ती": "recruitment", "भर्तियां": "recruitments", "रिक्ति": "vacancy",
+    "रिक्तियां": "vacancies", "अधिसूचना": "notification", "प्रवेश": "admit", "पत्र": "card", "परिणाम": "result", "उत्तर": "answer", "कुंजी": "key",
+    "छात्रवृत्ति": "scholarship", "परीक्षा": "exam", "पाठ्यक्रम": "syllabus", "शिक्षक": "teacher", "पुलिस": "police", "वन": "forest", "विभाग": "department",
+    "केंद्र": "central", "राज्य": "state", "उत्तराखंड": "uttarakhand", "ऑनलाइन": "online", "आवेदन": "application", "अंतिम": "last", "तिथि": "date",
+    "योजना": "scheme", "विज्ञापन": "advertisement", "अभ्यर्थी": "candidate",
+}
+
+# Fixed values of card links and the official lookup.
+CARD_STOPWORDS = (
+    "recruitment", "notification", "advertisement", "advt", "online", "application", "apply", "post", "posts", "vacancy", "vacancies",
+    "2024", "2025", "2026", "2027", "dated", "for", "the", "of", "and", "to", "in", "on", "at", "with", "engagement", "regarding", "through",
+    "click", "here", "link", "details", "detailed", "notice", "latest",
+)
+CARD_ADVERTISEMENT = (
+    "detailed advertisement", "detailed notification", "recruitment notification", "advertisement", "notification", "advt", "विज्ञापन", "अधिसूचना", "डाउनलोड",
+)
+CARD_DOCUMENT = ("view", "download", "document", "notice", "pdf", "loadpdf")
+CARD_OTHER = ("result", "answer key", "admit card", "hall ticket", "call letter", "joining", "scorecard", "syllabus", "guidelines", "question paper")
+CARD_CHROME = ("contact", "privacy", "login", "register", "feedback", "home")
+CARD_PATHS = (
+    "/recruitment", "/recruitments", "/careers", "/career", "/notification", "/advertisement", "/vacancy", "/advt", "/notice", "/document",
+    "/job", "/jobs", "viewpdf", "open_pdf", "loadpdf",
+)
+CARD_STRONG = ("download advertisement", "detailed advertisement", "recruitment notification", "advertisement pdf", "notification pdf")
+CARD_APPLY = ("apply online", "apply now", "registration")
+CARD_WRONG = ("result", "answer key", "admit card", "hall ticket", "call letter", "syllabus", "information handout")
+OFFICIAL_STOPWORDS = (
+    "recruitment", "registration", "from", "post", "the", "and", "of", "for", "in", "direct", "officer", "officers", "2026", "2025", "2027",
+    "dated", "online", "application",
+)
+OFFICIAL_ROLES = {
+    "agm": ("agm", "assistant general manager"), "local bank officer": ("local bank officer", "lbo"), "law officer": ("law officer",),
+    "site engineer": ("site engineer",), "specialist officer": ("specialist officer", "so bip"),
+}
+OFFICIAL_STRONG = ("detailed advertisement", "recruitment advertisement", "advertisement.pdf", "recruitment notification")
+OFFICIAL_WEAK = ("information handout", "call letter", "result", "joining schedule", "scorecard", "scribe", "guidelines")
+OFFICIAL_PATHS = ("advertisement", "recruitment", "notification", "advt")
+
+# Fixed values of the generic scan: whole titles and words that no notice has.
+GENERIC_EXACT = (
+    "view all", "view more", "more", "results", "view results", "support", "student", "event", "academic", "contact", "about", "login", "home",
+    "read more", "click here",
+)
+GENERIC_BAD_WORDS = ("view", "support", "student", "academic", "event", "more")
+
+# Action links of a page by kind, and the titles that tell the type of a rendered page.
+ACTION_LINKS = {
+    "admit_card_url": ("download admit card", "admit card", "hall ticket", "प्रवेश पत्र", "प्रवेश-पत्र"),
+    "result_url": ("view result", "check result", "result", "परिणाम", "रिजल्ट"),
+    "answer_key_url": ("answer key", "answer-key", "उत्तर कुंजी", "उत्तर-कुंजी"),
+    "syllabus_url": ("syllabus", "exam pattern", "पाठ्यक्रम", "परीक्षा पाठ्यक्रम"),
+}
+PAGE_NOTICE = ("notice", "notification", "circular", "सूचना", "अधिसूचना", "परिपत्र", "परीक्षा आयोजन")
+PAGE_HIRING = ("recruitment", "vacancy", "भर्ती", "रिक्ति", "apply online", "आवेदन आमंत्रित")
+SECTION_CAPS = {
+    "AUTO_LATEST_GRID": 24, "AUTO_LATEST_POSTS": 12, "AUTO_UK_JOBS": 15, "AUTO_CENTRAL_JOBS": 15, "AUTO_STATE_JOBS": 15,
+    "AUTO_MARQUEE": 10, "AUTO_BREAKING": 10,
+}

@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import dates
 from ..functions import wordlists as W
 from ..functions.text import clean_url, has_any, squeeze, text
+from . import dedupe
 
 ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>"""
 HIDDEN = r"(?is)<(script|style|header|footer|nav|aside|noscript|form)\b.*?</\1>|<!--.*?-->"
@@ -28,15 +30,14 @@ def inner_text(x: Column) -> Column:
 def anchors(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row for each link of each page: ``pos`` (from 0), ``href`` as written, ``title``, and the page's other columns.
 
-    Scripts, styles and comments are cut out first. Pages without links or HTML give no rows.
+    Scripts, styles and comments are cut out first. Whole anchors are searched once; address and text
+    are read from each. Pages without links or HTML give no rows.
     """
     plain = F.regexp_replace(text(html), r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", "")
-    found = F.arrays_zip(
-        F.regexp_extract_all(plain, F.lit(ANCHOR), 1).alias("href"), F.regexp_extract_all(plain, F.lit(ANCHOR), 2).alias("body")
-    )
     rest = [c for c in pages.columns if c != html]
-    rows = pages.select(*rest, F.posexplode(found).alias("pos", "link"))
-    return rows.select(*rest, "pos", F.col("link.href").alias("href"), inner_text(F.col("link.body")).alias("title"))
+    rows = pages.select(*rest, F.posexplode(F.regexp_extract_all(plain, F.lit(ANCHOR), 0)).alias("pos", "_a"))
+    href, body = (F.regexp_extract("_a", ANCHOR, i) for i in (1, 2))
+    return rows.select(*rest, "pos", href.alias("href"), inner_text(body).alias("title"))
 
 
 def resolve(base: Column, href: Column) -> Column:
@@ -112,14 +113,126 @@ def best_link(links: DataFrame, page: str, score: Column, least: int = 1) -> Dat
     return best.select(page, "b.*")
 
 
-def published(html: Column | str) -> Column:
-    """Publication date text from meta tags or a time element."""
+def best_pdf(links: DataFrame, page: str, least: int = 8) -> DataFrame:
+    """``page, url, score``: each page's likeliest advertisement of ``links(page, pos, title, around, url)``.
+
+    Of equal scores the link with more text around it, then the earlier one.
+    """
+    size = F.length(F.concat_ws(" ", F.lower(text("title")), F.lower(text("around")), F.lower(text("url"))))
+    scored = links.where(text("url") != "").withColumns({"score": pdf_score("title", "around", "url"), "_size": size}).where(F.col("score") >= least)
+    best = scored.groupBy(page).agg(F.max_by(F.struct("url", "score"), F.struct("score", "_size", -F.col("pos"))).alias("b"))
+    return best.select(page, "b.*")
+
+
+def first_link(links: DataFrame, page: str, test: Column) -> DataFrame:
+    """The address of each page's first link that passes the test: ``page, url``."""
+    return links.where(test).groupBy(page).agg(F.min_by("url", "pos").alias("url"))
+
+
+def first_pdf(links: DataFrame, page: str) -> DataFrame:
+    return first_link(links, page, F.lower(text("url")).endswith(".pdf"))
+
+
+def apply_link(links: DataFrame, page: str) -> DataFrame:
+    """The best apply link of each page, the first of equals: ten for its phrases, five for "apply"."""
+    return best_link(links, page, apply_score("title")).select(page, "url")
+
+
+def first_apply_link(links: DataFrame, page: str) -> DataFrame:
+    """The older rule: the first link whose text has an apply word."""
+    return first_link(links, page, has_any(F.lower(text("title")), ("apply", "registration", "online application")))
+
+
+def page_details(pages: DataFrame) -> DataFrame:
+    """``page_id, description`` (300 characters) and the page's first links by kind, empty where there is none.
+
+    A page that is itself a PDF is its own notification and is not read.
+    """
+    pdf = F.lower(text("url")).endswith(".pdf")
+    rows = anchors(pages.where(~pdf).select("page_id", F.col("url").alias("page_url"), "html"))
+    rows = rows.withColumn("url", resolve(F.col("page_url"), F.col("href"))).where("url IS NOT NULL")
+    hay, t = F.lower(F.concat_ws(" ", "title", "url")), F.lower(text("title"))
+    tests = {"notification_pdf": F.lower("url").endswith(".pdf"), "apply_link": has_any(t, ("apply", "registration", "online application"))}
+    tests |= {name: has_any(hay, terms) for name, terms in W.ACTION_LINKS.items()}
+    found = rows.groupBy("page_id").agg(*(F.min_by(F.when(test, F.col("url")), F.when(test, F.col("pos"))).alias(name) for name, test in tests.items()))
+    told = F.when(pdf, "Official recruitment notification is available in PDF.").otherwise(F.left(page_text("html"), F.lit(300)))
+    out = pages.select("page_id", told.alias("description"), F.when(pdf, F.col("url")).alias("_own")).join(found, "page_id", "left")
+    links = {name: F.coalesce(F.col("_own") if name == "notification_pdf" else F.lit(None), F.col(name), F.lit("")) for name in tests}
+    return out.select("page_id", "description", *(c.alias(name) for name, c in links.items()))
+
+
+META = r"(?is)<meta\b[^>]*>"
+META_KEY = r"(?is)(?:property|name|itemprop)\s*=\s*[\"'][^\"']*(?:article:published_time|datepublished|publish[-_]?date)[^\"']*[\"']"
+
+
+def published(html: Column | str, title: Column | str = "") -> Column:
+    """Publication date as written: a labelled advertisement date of title and text, a time element, a meta tag; else empty.
+
+    The attributes of a meta tag may stand in either order.
+    """
     h = text(html)
+    said = F.concat_ws(" ", F.lit(title) if isinstance(title, str) and not title else text(title), page_text(html))
+    metas = F.filter(F.regexp_extract_all(h, F.lit(META), 0), lambda m: m.rlike(META_KEY) & m.rlike(r"(?is)content\s*=\s*[\"'][^\"']+[\"']"))
     tries = (
-        r"""(?is)<meta\b[^>]*(?:property|name|itemprop)\s*=\s*["'](?:article:published_time|datePublished|publish[-_]?date|date)["'][^>]*content\s*=\s*["']([^"']+)["']""",
-        r"""(?is)<time\b[^>]*datetime\s*=\s*["']([^"']+)["']""",
+        F.regexp_extract(said, dates.ADVERTISED, 1),
+        F.left(F.regexp_extract(h, r"""(?is)<time\b[^>]*datetime\s*=\s*["']([^"']*\d{4}[^"']*)["']""", 1), F.lit(30)),
+        F.regexp_extract(F.coalesce(F.get(metas, F.lit(0)), F.lit("")), r"""(?is)content\s*=\s*["']([^"']+)["']""", 1),
     )
-    return F.coalesce(*(F.nullif(F.trim(F.regexp_extract(h, p, 1)), F.lit("")) for p in tries), F.lit(""))
+    return F.coalesce(*(F.nullif(F.trim(x), F.lit("")) for x in tries), F.lit(""))
+
+
+def domain(url: Column | str) -> Column:
+    return F.regexp_replace(F.lower(F.regexp_extract(text(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)", 1)), r"^www\.", "")
+
+
+def card_tokens(title: Column | str) -> Column:
+    """Words of a title that tell which notice a link belongs to: three letters or more, no common word."""
+    words = F.regexp_extract_all(F.lower(text(title)), F.lit("[a-z0-9]{3,}|[\u0900-\u097F]{3,}"), 0)
+    return F.filter(words, lambda w: ~w.isin(*W.CARD_STOPWORDS))
+
+
+def card_score(title: Column | str, label: Column | str, context: Column | str, url: Column | str, root: Column | str) -> Column:
+    """How likely a link of a card leads to the notice of the title."""
+    u = F.lower(text(url))
+    blob = F.lower(F.concat_ws(" ", text(label), text(context), text(url)))
+    hits = F.size(F.filter(card_tokens(title), lambda w: F.contains(blob, w)))
+    add = lambda test, n: F.when(test, n).otherwise(0)
+    return (
+        8 * F.least(hits, F.lit(6)) + 4 * F.least(hits, F.lit(8)) + add(domain(url) == domain(root), 8) + add(F.split_part(u, F.lit("#"), F.lit(1)).endswith(".pdf"), 45)
+        + add(has_any(blob, W.CARD_ADVERTISEMENT), 24) + add(has_any(blob, W.CARD_DOCUMENT), 8) + add(has_any(blob, W.CARD_OTHER), -30) + add(has_any(blob, W.CARD_CHROME), -40)
+        + add(has_any(u, W.CARD_PATHS), 18) + add(has_any(blob, W.CARD_STRONG), 22) + add(has_any(blob, W.CARD_APPLY), 5) + add(has_any(blob, W.CARD_WRONG), -35)
+    )
+
+
+def card_links(rows: DataFrame, most: int = 24) -> DataFrame:
+    """``ord, url, label, score, rank``: each notice's ``most`` likeliest links of ``rows(ord, title, label, context, url, root)``.
+
+    A link counts once whatever its fragment, by its best score, then its longer address; scores under 8 go.
+    """
+    scored = rows.where((text("url") != "") & ~F.lower(text("url")).rlike("^(?:javascript:|mailto:|tel:|#)"))
+    scored = scored.withColumn("score", card_score("title", "label", "context", "url", "root")).where("score >= 8")
+    best = F.max_by(F.struct("url", "label", "score"), F.struct("score", F.length("url"), "url"))
+    kept = scored.groupBy("ord", F.split_part("url", F.lit("#"), F.lit(1)).alias("_bare")).agg(best.alias("b")).select("ord", "b.*")
+    return dedupe.top_per_group(kept, "ord", [F.desc("score"), F.desc(F.length("url")), F.col("url")], most)
+
+
+def verified_pdfs(links: DataFrame, start: DataFrame, depth: int = 3, pages: int = 8) -> DataFrame:
+    """``src, pdf, hops``: of each start the nearest PDF, then the likeliest; ``links(src, dst, score)``, ``start(src)``.
+
+    A start follows at most ``pages`` pages a hop, those of its best links, ``depth`` hops deep.
+    """
+    edges = links.groupBy(F.col("src").alias("at"), "dst").agg(F.max("score").alias("score"))
+    frontier = start.select("src", F.col("src").alias("at")).distinct()
+    seen, found = frontier, None
+    is_pdf = F.lower(F.split_part("dst", F.lit("#"), F.lit(1))).rlike(r"\.pdf($|\?)")
+    for hop in range(1, depth + 1):
+        met = frontier.join(edges, "at").groupBy("src", "dst").agg(F.max("score").alias("score"))
+        pdfs = met.where(is_pdf).groupBy("src").agg(F.max_by("dst", F.struct("score", "dst")).alias("pdf"), F.lit(hop).alias("hops"))
+        found = pdfs if found is None else found.unionByName(pdfs)
+        ahead = met.where(~is_pdf).select("src", F.col("dst").alias("at"), "score").join(seen, ["src", "at"], "left_anti")
+        frontier = dedupe.top_per_group(ahead, "src", [F.desc("score"), F.col("at")], pages).select("src", "at")
+        seen = seen.unionByName(frontier)
+    return found.groupBy("src").agg(F.min_by("pdf", "hops").alias("pdf"), F.min("hops").alias("hops"))
 
 
 def reachable(links: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:

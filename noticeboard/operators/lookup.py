@@ -7,12 +7,14 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import has_any, squeeze, text
+from ..functions import records
+from ..functions import wordlists as W
+from ..functions.records import field
+from ..functions.text import has_any, reader_title, squeeze, strip, text
+from .links import is_advertisement
 
 #: Rows of a lookup table up to which it is broadcast.
 BROADCAST_ROWS = 100_000
-# Words that tell nothing about which notice a link belongs to.
-STOPWORDS = ("the", "and", "for", "of", "to", "in", "on", "post", "posts", "recruitment", "notification", "notice", "advertisement", "online", "apply", "application")
 
 
 def lookup(df: DataFrame, table: DataFrame, key: str, value: str, default: str = "") -> DataFrame:
@@ -41,38 +43,60 @@ def localise(x: Column | str, pairs: Mapping[str, str]) -> Column:
 
 
 def title_tokens(title: Column | str) -> Column:
-    """Distinct words of four letters or more that tell something."""
-    words = F.regexp_extract_all(F.lower(text(title)), F.lit(r"[\p{L}\p{N}]{4,}"), 0)
-    return F.array_except(F.array_distinct(words), F.array(*map(F.lit, STOPWORDS)))
+    """Words of three letters or digits and more that tell something; a repeated word counts again."""
+    words = F.regexp_extract_all(F.lower(squeeze(title)), F.lit("[a-z0-9]+"), 0)
+    return F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*W.OFFICIAL_STOPWORDS))
 
 
-def official_pdf(notices: DataFrame, links: DataFrame, least: int = 8) -> DataFrame:
-    """``ord, pdf, score``: of each notice the best link of its organisation's page.
+def official_score(title: Column | str, label: Column | str, around: Column | str, url: Column | str) -> Column:
+    """How likely a link of an organisation's page is the advertisement of the title."""
+    t, u = F.lower(squeeze(title)), F.lower(text(url))
+    blob = F.concat_ws(" ", F.lower(squeeze(label)), F.lower(squeeze(around)), u)
+    add = lambda test, n: F.when(test, n).otherwise(0)
+    out = add(F.split_part(u, F.lit("#"), F.lit(1)).endswith(".pdf"), 12) + add(u.contains("loadpdf"), 8) + add(is_advertisement(blob), 20)
+    out = out + add(has_any(blob, W.OFFICIAL_STRONG), 14) + add(has_any(blob, W.OFFICIAL_WEAK), -30) + add(has_any(u, W.OFFICIAL_PATHS), 8)
+    for role, names in W.OFFICIAL_ROLES.items():
+        out = out + add(t.contains(role) & has_any(blob, names), 25)
+    return out + 3 * F.size(F.filter(title_tokens(title), lambda w: F.contains(blob, w)))
 
-    ``notices(ord, title, organisation)``, ``links(organisation, title, url)``. A link scores three for each
-    title word that it has, ten for a PDF and five for an advertisement. Both sides are first cut
-    down to (organisation, word), so only links that share a word meet a notice.
+
+def official_pdf(notices: DataFrame, links: DataFrame, least: int = 15) -> DataFrame:
+    """``ord, pdf, score``: each notice's best link on the pages of the organisations that its title names.
+
+    ``notices(ord, title)``, ``links(organisation, title, around, url)``. A title meets an organisation by the
+    first word of its name, an equi-join, and must contain all of it. Of equal scores the link
+    with more text around it wins, then the larger address.
     """
-    base = F.when(F.lower("url").rlike(r"\.pdf($|[?#])"), 10).otherwise(0) + F.when(has_any(F.lower("title"), ("advertisement", "advt", "notification")), 5).otherwise(0)
-    offered = links.select("organisation", "url", base.alias("base"), F.explode(title_tokens("title")).alias("word")).distinct()
-    asked = notices.select("ord", "organisation", F.explode(title_tokens("title")).alias("word"))
-    scored = asked.join(offered, ["organisation", "word"]).groupBy("ord", "url").agg((F.max("base") + 3 * F.count("*")).alias("score"))
-    best = scored.where(F.col("score") >= least).groupBy("ord").agg(F.max_by(F.struct("url", "score"), F.struct("score", "url")).alias("b"))
+    first = lambda x: F.regexp_extract(F.lower(x), r"[\p{L}\p{N}]+", 0)
+    names = links.select("organisation").distinct().select("organisation", first(F.col("organisation")).alias("_word"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(squeeze("title")), F.lit(r"[\p{L}\p{N}]+"), 0))
+    asked = notices.select("ord", F.col("title").alias("_title"), F.explode(words).alias("_word")).join(names, "_word")
+    asked = asked.where(F.contains(F.lower(squeeze("_title")), F.lower("organisation"))).select("ord", "_title", "organisation")
+    rows = asked.join(links.where((text("url") != "") & ~F.lower(text("url")).startswith("javascript:")), "organisation")
+    size = F.length(F.concat_ws(" ", squeeze("title"), squeeze("around"), text("url")))
+    scored = rows.withColumns({"score": official_score("_title", "title", "around", "url"), "_size": size}).where(F.col("score") >= least)
+    best = scored.groupBy("ord").agg(F.max_by(F.struct("url", "score"), F.struct("score", "_size", "url")).alias("b"))
     return best.select("ord", F.col("b.url").alias("pdf"), F.col("b.score").cast("int").alias("score"))
 
 
 def reader_view(df: DataFrame) -> DataFrame:
-    """Storage form: one summary in place of the texts, 5,000 characters of source, links only where they add something."""
-    pdf = F.lower(text("notification_pdf"))
+    """Storage form: the reader summary in place of the texts, 5,000 characters of source, links only where they add something."""
+    have = df.columns
+    pdf = F.lower(F.regexp_replace(strip(field(have, "notification_pdf")), r"\?.*$", ""))
+    bare = lambda k: F.rtrim(strip(field(have, k)), F.lit("/"))
+    summary = records.reader_summary(have)
+    given = F.nullif(field(have, "source_description"), F.lit(""))
+    title = reader_title(field(have, "title"))
     return df.withColumns(
         {
-            "source_description": F.left(squeeze("description"), F.lit(5000)),
-            "description": squeeze("summary"),
-            "content": squeeze("summary"),
-            "notification_pdf": F.when(pdf.rlike(r"\.pdf($|[?#])"), F.col("notification_pdf")).otherwise(""),
-            "apply_link": F.when(text("apply_link") == text("url"), "").otherwise(text("apply_link")),
+            "source_description": F.coalesce(given, F.left(field(have, "description"), F.lit(5000))),
+            "title": F.when(title != "", title).otherwise(field(have, "title")),
+            "reader_summary": summary, "description": summary, "summary": summary, "content": summary,
+            "notification_pdf": F.when(pdf.endswith(".pdf"), field(have, "notification_pdf")).otherwise(""),
+            "apply_link": F.when(bare("apply_link") == bare("url"), "").otherwise(field(have, "apply_link")),
+            "content_cleaned": F.lit(True),
         }
-    )
+    )
 
 
 def execution_report(notices: DataFrame, failed: DataFrame, started: str) -> DataFrame:

@@ -8,9 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import classify, records
 from ..functions import routes as R
-from ..functions.text import signal_pattern, squeeze, strip, text
-
+from ..functions import wordlists as W
+from ..functions.text import has_any, signal_pattern, squeeze, strip, text
+from . import dedupe, keys, lifecycle, projections
 
 PLAIN = re.compile("[a-z0-9]+")
 
@@ -186,3 +188,44 @@ def home_section(category: Column | str) -> Column:
         .when(k.contains("answer"), "answer")
         .otherwise("latest")
     )
+
+
+def home_sections(df: DataFrame, as_of: str | None = None) -> DataFrame:
+    """``section`` and the columns of ``df``: each notice in the four sections of latest updates and one of the three of jobs.
+
+    With ``as_of`` the strict rule holds: the job sections take recruitments whose last date has not passed,
+    placed by title, department and source.
+    """
+    have = df.columns
+    get = lambda k: F.lower(text(k)) if k in have else F.lit("")
+    if as_of is None:
+        narrow = F.concat_ws(" ", get("title"), get("description"))
+        group = F.lower(classify.home_category(text("category"), F.concat_ws(" ", narrow, get("url"), get("source")), narrow))
+        uk = has_any(group, ("uttarakhand", "uk"))
+        central = has_any(group, ("central", "upsc", "ssc")) | has_any(get("department"), ("bank", "railway", "defence", "government"))
+        jobs = F.lit(True)
+    else:
+        body = F.concat_ws(" ", *(get(k) for k in ("title", "department", "organization", "source", "url", "category")))
+        uk = has_any(body, ("uttarakhand", "उत्तराखंड", "ukpsc", "uksssc"))
+        central = has_any(body, ("central", "upsc", "ssc", "ibps", "sbi", "rbi", "bank", "railway", "defence", "government of india"))
+        jobs = lifecycle.active_recruitment(have, as_of)
+    place = F.when(uk, "AUTO_UK_JOBS").when(central, "AUTO_CENTRAL_JOBS").otherwise("AUTO_STATE_JOBS")
+    latest = [F.lit(k) for k in ("AUTO_LATEST_GRID", "AUTO_LATEST_POSTS", "AUTO_MARQUEE", "AUTO_BREAKING")]
+    return df.withColumn("section", F.explode(F.array_compact(F.array(*latest, F.when(jobs, place)))))
+
+
+def homepage(df: DataFrame, order: list[Column], as_of: str | None = None) -> DataFrame:
+    """The homepage's sections: the first notice of each page address, placed, and capped by section; ``section, rank`` and all columns."""
+    rows = df.where(strip("title") != "").withColumn("_link", projections.file_name(df))
+    rows = dedupe.first_per_key(rows, "_link").select(df.columns)
+    return dedupe.capped_sections(home_sections(rows, as_of), "section", W.SECTION_CAPS, order)
+
+
+def categories(df: DataFrame, order: list[Column], files: DataFrame | None = None, most: int = 50) -> DataFrame:
+    """The category pages: no noise, pages that exist, the first of each title slug, routed, and ``most`` a page by ``order``."""
+    rows = df.where(~classify.category_noise("title", records.words_of(df.columns, ("description", "content", "raw_text"))))
+    if files is not None:
+        rows = rows.withColumn("name", projections.file_name(df)).join(files.select("name").distinct(), "name", "left_semi")
+    rows = dedupe.first_per_key(rows, keys.page_slug("title")).select(df.columns)
+    routed = route(rows).withColumn("page", F.explode("pages")).drop("pages")
+    return dedupe.top_per_group(routed, "page", order, most)

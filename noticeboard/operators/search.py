@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,3 +167,37 @@ def contains_all(field: Column | str, words: list[str]) -> Column:
     for w in words:
         out = out & has_any(clean(field), [w])
     return out
+
+
+def best_match(items: DataFrame, query: str) -> DataFrame:
+    """The first hit of the smart search, marked as featured; no row without a hit."""
+    return smart_search(items, query).limit(1).withColumn("featured", F.lit(True))
+
+
+def search_summary(items: DataFrame, query: str) -> DataFrame:
+    """One row: ``query, count, featured, did_you_mean``; a report, so of hits up to the search's limit."""
+    hits = smart_search(items, query).select("ord", "title", "score").withColumn("k", F.lit(1))
+    first = F.min_by("title", F.struct(-F.col("score"), "ord"))
+    told = hits.groupBy("k").agg(F.count("*").alias("count"), first.alias("featured"))
+    near = did_you_mean(items, query).limit(1).select(F.lit(1).alias("k"), F.col("title").alias("did_you_mean"))
+    one = items.sparkSession.range(1).select(F.lit(1).alias("k"), F.lit(query).alias("query"))
+    rows = one.join(told, "k", "left").join(near, "k", "left")
+    return rows.select("query", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("featured", F.lit("")).alias("featured"), F.coalesce("did_you_mean", F.lit("")).alias("did_you_mean"))
+
+
+class ResultCache:
+    """Results of queries for ``ttl`` seconds, by the query without outer spaces. A result is a capped list of hits."""
+
+    def __init__(self, ttl: float = 300.0, clock: Callable[[], float] = time.monotonic):
+        self.ttl, self.clock = ttl, clock
+        self.kept: dict[str, tuple[float, DataFrame]] = {}
+
+    def search(self, items: DataFrame, query: str) -> DataFrame:
+        """The kept result, or that of the smart search, kept from now on; a blank query has no hits."""
+        asked, now = query.strip(), self.clock()
+        if asked in self.kept and now - self.kept[asked][0] < self.ttl:
+            return self.kept[asked][1]
+        hits = smart_search(items, asked) if asked else items.limit(0)
+        rows = hits.collect()
+        self.kept[asked] = now, items.sparkSession.createDataFrame(rows, hits.schema)
+        return self.kept[asked][1]

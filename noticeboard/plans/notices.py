@@ -98,3 +98,10 @@ def signals(column: str, terms) -> str:
 
 def clean_sql(x: str) -> str:
     return f"regexp_replace(lower(trim({x})), '\\s+', ' ', 'g')"
+
+
+def escaped(x: str) -> str:
+    """SQL of a text with HTML's five signs escaped."""
+    for old, new in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#39;")):
+        x = f"replace({x}, '{old}', '{new}')"
+    return x

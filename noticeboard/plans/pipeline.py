@@ -1,37 +1,45 @@
-"""The publisher run as one lazy plan: pages and a live table to live, archive and search tables."""
+"""The publisher run: pages and a live table to live, archive and search tables, merged once."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import classify, dates
-from ..operators import dedupe, keys, lifecycle, links, merge, route
-
-#: Columns of a notice that a merge compares.
-COMPARED = ("title", "url", "category", "department", "last_date", "description")
+from ..functions import classify, records
+from ..functions import wordlists as W
+from ..operators import dedupe, keys, lifecycle, links, merge, orders, route, summary
+from ..schema import conform
+from ..storage import materialise
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """``pages(page_id, url, html)`` to classified notices, the first of each title and address."""
+    """``pages(page_id, url, html)`` to classified notices, the first of each title and address; ``ord`` is the place on the pages."""
     rows = links.anchors(pages.select("page_id", F.col("url").alias("page_url"), "html"))
     rows = rows.withColumn("url", links.resolve(F.col("page_url"), F.col("href"))).where("url IS NOT NULL AND title <> ''")
     rows = rows.withColumn("category", classify.classify_post("title", "url")).where("category IS NOT NULL")
     rows = rows.withColumn("ord", F.struct("page_id", "pos"))
     first = dedupe.first_per_key(rows, keys.title_url("title", "url"))
-    return first.select(
-        keys.job_id("title", "url").alias("job_id"), "title", "url", "category",
-        classify.department(F.lit(""), F.concat_ws(" ", "title", "url"), F.lit("")).alias("department"),
-        dates.year("title").alias("year"), F.lit("").alias("last_date"), F.lit("").alias("description"),
-    )
+    place = F.col("page_id").cast("bigint") * 100_000 + F.col("pos")
+    return records.optimise(conform(first.select("title", "url", "category", F.lit("").alias("department"), place.alias("ord"))))
+
+
+def prepare(fresh: DataFrame, as_of: str) -> DataFrame:
+    """A batch as the merge takes it: optimised, the best row of each id by priority, complete and not expired."""
+    rows = records.optimise(conform(fresh)).where("is_valid_post")
+    return records.validate(dedupe.best_per_key(rows, "job_id"), as_of)
 
 
 def publish(live: DataFrame, fresh: DataFrame, as_of: str) -> dict[str, DataFrame]:
-    """Merge a batch and split the result: ``live``, ``hidden``, ``archive`` and the routed ``pages``."""
-    merged = merge.upsert(live, fresh, "job_id", COMPARED).drop("change")
-    state = lifecycle.with_status(merged, as_of)
+    """Merge a batch and split the result: ``live``, ``hidden``, ``archive``, the routed ``pages``, ``new`` rows and ``counts``.
+
+    The live table is judged anew first. A job_id has one row in the result, so publishing a batch again
+    changes nothing. The merged table is written once; all results read it.
+    """
+    known, batch = records.revalidate(conform(live)), prepare(fresh, as_of)
+    merged = materialise(merge.upsert(known, batch, "job_id", W.COMPARED_FIELDS))
+    state = lifecycle.with_status(merged.drop("change"), as_of)
     row = {k: F.col(k) for k in state.columns}
     kept, hidden, archive = lifecycle.split(state, F.col("is_expired"), classify.is_publishable(row))
-    routed = route.route(kept).select("job_id", "title", F.explode_outer("pages").alias("page"))
-    pages = dedupe.top_per_group(routed, "page", [F.desc("title"), F.col("job_id")], 50)
-    return {"live": kept, "hidden": hidden, "archive": archive, "pages": pages}
+    pages = route.categories(kept, orders.sort_columns(kept.columns, "category")).select("page", "job_id", "title", "rank")
+    new = merged.where("change <> 'kept'")
+    return {"live": kept, "hidden": hidden, "archive": archive, "pages": pages, "new": new, "counts": summary.counts(merged)}

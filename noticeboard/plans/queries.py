@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import classify, dates, extract, text, udfs
+from ..functions import classify, dates, extract, records, text, udfs
 from ..functions import routes as R
 from ..functions import wordlists as W
 from ..operators import dedupe, keys, lifecycle, links, merge, projections, route, search, summary
@@ -399,16 +399,8 @@ def union_distinct(spark, sf_dir):
     return names[0].unionByName(names[1]).unionByName(names[2]).distinct()
 
 
-@query("q_sort_latest", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderdate DESC, o_orderkey) AS INT) AS place FROM orders ORDER BY place LIMIT 24")
+@query("q_sort_latest", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, row_number() OVER (ORDER BY o_totalprice DESC, o_orderdate DESC, o_orderkey) AS place FROM orders")
 def sort_latest(spark, sf_dir):
-    """The first 24 orders by price, date and key, with their places."""
-    order = [F.desc("o_totalprice"), F.desc("o_orderdate"), F.col("o_orderkey")]
-    top = dedupe.rank_decay(table(spark, sf_dir, "orders"), order, 24)
-    return top.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("rank").alias("place"))
-
-
-@query("q_sort_latest_all", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, row_number() OVER (ORDER BY o_totalprice DESC, o_orderdate DESC, o_orderkey) AS place FROM orders")
-def sort_latest_all(spark, sf_dir):
     """The place of every order by price, date and key."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
     ranked = dedupe.rank_decay(orders, [F.desc("o_totalprice"), F.desc("o_orderdate"), F.col("o_orderkey")])
@@ -436,14 +428,9 @@ def section_caps(spark, sf_dir):
     return dedupe.capped_sections(rows, "o_orderpriority", CAPS, [F.desc("o_orderdate"), F.col("o_orderkey")]).select("o_orderpriority", "o_orderkey", "rank")
 
 
-@query("q_rank_decay", "SELECT p_partkey, CAST(r AS INT) AS rank, CAST(greatest(100 - 2 * (r - 1), 1) AS INT) AS score FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) WHERE r <= 100")
+@query("q_rank_decay", "SELECT p_partkey, r AS rank, greatest(100 - 2 * (r - 1), 1) AS score FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r FROM part)")
 def rank_decay(spark, sf_dir):
-    top = dedupe.rank_decay(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), [F.desc("p_retailprice"), F.col("p_partkey")], 100)
-    return top.select("p_partkey", "rank", F.col("score").cast("int").alias("score"))
-
-
-@query("q_rank_decay_all", "SELECT p_partkey, r AS rank, greatest(100 - 2 * (r - 1), 1) AS score FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r FROM part)")
-def rank_decay_all(spark, sf_dir):
+    """Rank and falling score of every part by price."""
     ranked = dedupe.rank_decay(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), [F.desc("p_retailprice"), F.col("p_partkey")])
     return ranked.select("p_partkey", "rank", "score")
 
@@ -659,7 +646,9 @@ def smart_search(spark, sf_dir):
     return search.smart_search(N.notices(spark, sf_dir), "railwey teacherjob").select("ord", "title", "score")
 
 
-@query("q_slugs")
+@query("q_slugs", f"""
+SELECT ord, rtrim(left(rtrim(left(trim(regexp_replace(lower(replace(title, '&', ' and ')), '[^a-z0-9]+', '-', 'g'), '-'), 130), '-') || '-' || right(md5(regexp_replace({N.clean_sql('title')}, '[^a-z0-9 ]', '', 'g') || '|' || regexp_replace({N.clean_sql('url')}, '[^a-z0-9 ]', '', 'g')), 10), 150), '-') AS slug
+FROM ({N.SQL})""")
 def slugs(spark, sf_dir):
     rows = N.notices(spark, sf_dir)
     return rows.select("ord", udfs.slug(F.col("title"), keys.job_id("title", "url")).alias("slug"))
@@ -672,13 +661,11 @@ def simple_slugs(spark, sf_dir):
 
 @query("q_tags_keywords", f"""
 SELECT ord, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(title || ' ' || category || ' ' || source || ' ' || regexp_extract(title, '(20\\d{{2}})', 1), ' '), lambda x: regexp_replace(lower(x), '[^a-z0-9 ]', '', 'g')), lambda x: length(x) >= 3))), ',') AS tags,
-  title || '|' || title || ' Recruitment|' || title || ' Notification' AS keywords FROM ({N.SQL})""")
+  title || '|' || title || ' Recruitment|' || title || ' Notification|' || title || ' Apply Online|' || title || ' Vacancy|' || title || ' Jobs|' || title || ' Last Date|' || title || ' Official Notification' AS keywords FROM ({N.SQL})""")
 def tags_keywords(spark, sf_dir):
     """Sorted distinct tags, and keywords in order."""
-    words = F.split(F.concat_ws(" ", "title", "category", "source", dates.year("title")), " ")
-    tags = F.array_sort(F.array_distinct(F.filter(F.transform(words, text.key_text), lambda w: F.length(w) >= 3)))
-    forms = F.array_distinct(F.array("title", F.concat("title", F.lit(" Recruitment")), F.concat("title", F.lit(" Notification"))))
-    return N.notices(spark, sf_dir).select("ord", F.array_join(tags, ",").alias("tags"), F.array_join(forms, "|").alias("keywords"))
+    rows = N.notices(spark, sf_dir)
+    return rows.select("ord", F.array_join(records.tags(rows.columns), ",").alias("tags"), F.array_join(records.keywords("title"), "|").alias("keywords"))
 
 
 @query("q_top_searches", "SELECT event_type AS query, count(*) AS n, min(event_id) AS first FROM events GROUP BY event_type ORDER BY n DESC, first LIMIT 10")
@@ -711,8 +698,9 @@ def _adapter_sql() -> str:
         t, blob = N.clean_sql("title"), f"({N.clean_sql('title')} || ' ' || lower(url))"
         test = f"length({t}) >= {max(least, 1)} AND {N.any_of(blob if name == 'generic' else t, must)} AND NOT {N.any_of(blob if name == 'generic' else t, never)}"
         if name == "generic":
-            test += f" AND len(string_split({t}, ' ')) > 2 AND NOT regexp_matches(lower(url), '\\.pdf($|[?#])')"
-        label = N.quoted(next(iter(sites.values()), "Not Mentioned"))
+            test += f" AND len(string_split({t}, ' ')) > 2 AND NOT regexp_matches(lower(url), '\\.pdf$|^javascript|^mailto:')"
+            test += f" AND NOT regexp_matches({t}, 'view|support|student|academic|event|more')"
+        label = N.quoted(next(iter(sites.values()), "Government"))
         parts.append(f"SELECT min(ord) AS ord, {label} AS department, lower(title) AS title FROM n WHERE ord % {len(ADAPTER_OF)} = {ADAPTER_OF.index(name)} AND {test} GROUP BY lower(title), lower(url)")
     return f"WITH n AS ({N.SQL}) " + " UNION ALL ".join(parts)
 
@@ -762,7 +750,9 @@ def search_items(spark, sf_dir):
     return projections.search_items(N.notices(spark, sf_dir)).withColumn("keywords", F.array_join("keywords", " "))
 
 
-@query("q_page_cards")
+@query("q_page_cards", f"""
+SELECT page, sha1(h) AS digest, CAST(length(h) AS INT) AS size FROM (SELECT page, string_agg('<article class="card"><h3><a href="' || {N.escaped('url')} || '">' || {N.escaped('title')} || '</a></h3><p>' || {N.escaped('left(description, 420)')}
+  || '</p><div>Posted:  | Last Date: </div></article>', chr(10) ORDER BY rank) AS h FROM ({{TOP50}}) JOIN ({N.SQL}) USING (ord) GROUP BY page)""".replace("{TOP50}", SQL["q_category_top50"]))
 def page_cards(spark, sf_dir):
     """HTML cards of the top fifty of each page."""
     rows = route.route(N.notices(spark, sf_dir)).select(F.explode_outer("pages").alias("page"), "ord", "title", "url", "description", "size")
@@ -776,3 +766,6 @@ SELECT ord, '{{"@context":"https://schema.org","@type":"JobPosting","title":"' |
 def structured_data(spark, sf_dir):
     none = F.lit("")
     return N.notices(spark, sf_dir).select("ord", projections.structured_data(F.col("title"), F.col("url"), F.col("source"), none, none).alias("json"))
+
+
+from . import golden  # noqa: E402, F401  registers its queries

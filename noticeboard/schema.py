@@ -11,7 +11,7 @@ TEXT = (
     "job_id title url source department organization state category post_type year vacancy qualification salary age_limit "
     "application_fee selection_process exam_date application_start_date last_date notification_date publish_date scraped_at "
     "apply_link notification_pdf official_website admit_card_url result_url answer_key_url syllabus_url description content "
-    "summary notification_text status ai_model"
+    "summary notification_text status ai_model official_notification_pdf posted_date html_file"
 ).split()
 NOTICE = T.StructType(
     [T.StructField(k, T.StringType()) for k in TEXT]

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify, dates
+from ..functions import wordlists as W
 from ..functions.text import clean, has_any, squeeze, text
 from ..operators.dedupe import first_per_key
-from . import adapter
 
 # For each adapter what a title must and must not contain, its departments by site
 # (the first where a link has another), and the least title length.
@@ -44,46 +44,86 @@ RULES = {
         {"psc.uk.gov.in": "UKPSC", "sssc.uk.gov.in": "UKSSSC"}, 0,
     ),
     "generic": (
-        ("recruitment", "vacancy", "notification", "advertisement", "advt", "apply", "result", "merit list", "selection list", "score card", "answer key", "admit card", "hall ticket", "call letter", "exam", "syllabus", "scholarship", "interview", "walk in", "document verification"),
-        ("about", "contact", "privacy", "policy", "feedback", "gallery", "photo", "video", "chairman", "member", "committee", "login", "register", "help", "faq", "tender", "accessibility", "site map", "notification board", "notifications notices", "work recruitments", "copyright", "translate", "{{", "}}"),
+        ("recruitment", "vacancy", "notification", "advertisement", "advt", "apply", "apply online", "online application", "result", "merit list", "selection list", "score card", "answer key", "admit card", "hall ticket", "call letter", "exam", "syllabus", "scholarship", "interview", "walk in", "document verification"),
+        ("about", "contact", "privacy", "policy", "feedback", "gallery", "photo", "video", "chairman", "member", "committee", "login", "register", "help", "faq", "tender", "accessibility", "site map", "notification board", "notifications notices", "work recruitments", "watch this video", "image gallery", "photo gallery", "copyright", "translate", "{{", "}}"),
         {}, 6,
     ),
 }
 
 
 def wanted(name: str, title: Column | str, url: Column | str) -> Column:
-    """Whether a site's rule takes a link; the generic rule reads the address too and takes no PDF."""
+    """Whether a site's rule takes a link.
+
+    The generic rule reads the address too, and takes no PDF, no pseudo-address, no title of two words or
+    less and none that is or has a word of navigation.
+    """
     must, never, _, least = RULES[name]
-    t = clean(title)
+    t, u = clean(title), F.lower(text(url))
     if name == "generic":
-        blob = F.concat_ws(" ", t, F.lower(text(url)))
+        blob = F.concat_ws(" ", t, u)
         words = F.size(F.split(t, " ")) > 2
-        return (F.length(t) >= least) & words & has_any(blob, must) & ~has_any(blob, never) & ~F.lower(text(url)).rlike(r"\.pdf($|[?#])")
+        chrome = t.isin(*W.GENERIC_EXACT) | has_any(t, W.GENERIC_BAD_WORDS)
+        odd = u.rlike(r"^(?:javascript|mailto:|#)|\.pdf$") | (u == "")
+        return (F.length(t) >= least) & words & has_any(blob, must) & ~has_any(blob, never) & ~chrome & ~odd
     return (t != "") & (F.length(t) >= least) & has_any(t, must) & ~has_any(t, never)
 
 
-def notices_of(name: str, links: DataFrame) -> DataFrame:
-    """``ord, title, url, department, category, notification_pdf`` of the links that the rule takes.
+#: The part of a page whose links the generic scan reads: the first of these that the page has.
+REGIONS = (
+    r"(?is)<article\b[^>]*>(.*?)</article>", r"(?is)<main\b[^>]*>(.*?)</main>", r"""(?is)<div\b[^>]*class\s*=\s*["'](?:[^"']*\s)?content(?:\s[^"']*)?["'][^>]*>(.*)</div>""",
+    r"""(?is)<div\b[^>]*class\s*=\s*["'](?:[^"']*\s)?container(?:\s[^"']*)?["'][^>]*>(.*)</div>""", r"(?is)<body\b[^>]*>(.*)</body>",
+)
 
-    ``links(ord, page_url, title, url)``; the first of each title and address stays. A UK link to
-    a document is its own notification.
-    """
-    sites = RULES[name][2]
+
+def main_region(html: Column | str) -> Column:
+    """The page's main part, for :func:`links.anchors`; empty without a body."""
+    h = text(html)
+    return F.coalesce(*(F.nullif(F.regexp_extract(h, p, 1), F.lit("")) for p in REGIONS), F.lit(""))
+
+
+def by_rule(name: Column, make) -> Column:
+    """One CASE over the adapter's name: ``make(rule)`` for each of the rules."""
+    out = F.when(F.lit(False), make("generic"))
+    for rule in RULES:
+        out = out.when(name == rule, make(rule))
+    return out
+
+
+def department(rule: str) -> Column:
+    """The department of a link's site, by host; the rule's first where a link has another."""
+    sites = RULES[rule][2]
+    if rule == "generic":
+        return F.coalesce(F.nullif(text("department"), F.lit("")), F.lit("Government"))
     host = F.regexp_extract(text("page_url"), r"^[a-z]+://([^/?#]+)", 1)
-    label = F.lit(next(iter(sites.values()), "Not Mentioned"))
-    for site, department in sites.items():
-        label = F.when(host == site, department).otherwise(label)
-    pdf = F.lower("url").rlike(r"\.pdf$|/document/") if name == "uk" else F.lit(False)
-    rows = links.where(wanted(name, "title", "url")).select(
-        "ord", squeeze("title").alias("title"), "url", label.alias("department"),
-        (classify.generic_category("title") if name == "generic" else F.lit("Latest Jobs")).alias("category"),
+    label = F.lit(next(iter(sites.values())))
+    for site, value in sites.items():
+        label = F.when(host == site, value).otherwise(label)
+    return label
+
+
+def scan_rules(links: DataFrame) -> DataFrame:
+    """``adapter, ord, title, url, department, category, notification_pdf`` of the links that their adapter's rule takes.
+
+    ``links(adapter, ord, page_url, title, url)``, with the source's ``department`` where it is known, are read
+    once, whatever the number of adapters. The first of each title and address of an adapter stays. A UK link to a
+    document is its own notification.
+    """
+    if "department" not in links.columns:
+        links = links.withColumn("department", F.lit(""))
+    rule = F.col("adapter")
+    pdf = (rule == "uk") & F.lower("url").rlike(r"\.pdf$|/document/")
+    rows = links.where(by_rule(rule, lambda r: wanted(r, "title", "url"))).select(
+        "adapter", "ord", squeeze("title").alias("title"), "url", by_rule(rule, department).alias("department"),
+        F.when(rule == "generic", classify.generic_category("title")).otherwise("Latest Jobs").alias("category"),
         F.when(pdf, F.col("url")).otherwise("").alias("notification_pdf"),
     )
-    return first_per_key(rows, F.lower("title"), F.lower("url"))
+    return first_per_key(rows, "adapter", F.lower("title"), F.lower("url"))
 
 
-for _name in RULES:
-    adapter(_name)(lambda links, name=_name: notices_of(name, links))
+def notices_of(name: str, links: DataFrame) -> DataFrame:
+    """:func:`scan_rules` of one adapter over all links."""
+    return scan_rules(links.withColumn("adapter", F.lit(name))).drop("adapter")
+
 
 NUMBER = r"(?i)advertisement\s*no\s*[:.]?\s*([A-Z0-9][A-Z0-9/\-]{3,60})"
 DAY = r"(\d{1,2}[./-]\d{1,2}[./-]\d{2,4})"
@@ -107,8 +147,16 @@ def cards(pages: DataFrame, block: str = "div") -> DataFrame:
     return kept.select("page_id", "advertisement_no", "title", dates.adapter("start").alias("start"), dates.adapter("last").alias("last"))
 
 
-def best_text(columns: list[Column], quality: list[Column], least: int = 120) -> Column:
-    """The candidate text of best quality among those long enough: the first of equals, else empty."""
+def best_text(columns: list[Column], quality: list[Column], least: int = 120, good: float = 0.72) -> Column:
+    """The text of best quality of those long enough, the first of equals, else empty.
+
+    A text that is not good, or whose words are short beyond a quarter of them, gives way to the
+    last column, where recognised characters stand.
+    """
     ranked = [F.struct(q.alias("q"), F.lit(-i).alias("o"), t.alias("t")) for i, (t, q) in enumerate(zip(columns, quality))]
     top = F.array_max(F.filter(F.array(*ranked), lambda x: F.length(x["t"]) >= least))
-    return F.coalesce(top["t"], F.lit(""))
+    words = F.split(squeeze(top["t"]), " ")
+    short = F.size(F.filter(words, lambda w: F.length(w) <= 2)) > 0.25 * F.size(words)
+    poor = (top["q"] < good) | short
+    last = F.when(F.length(columns[-1]) >= least, columns[-1])
+    return F.coalesce(F.when(poor, last), top["t"], F.lit(""))

@@ -2,14 +2,17 @@
 
 import datetime
 import difflib
+import hashlib
 import random
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from noticeboard import schema, sources
 from noticeboard.functions import classify, dates, extract, text, udfs
-from noticeboard.operators import dedupe, keys, lifecycle, links, merge, route, search, summary
+from noticeboard.operators import dedupe, keys, lifecycle, links, merge, projections, route, search, summary
 from noticeboard.plans import pipeline
 
 GOV = "https://example.gov.in/recruitment/notice.pdf"
@@ -99,11 +102,15 @@ def test_udfs(spark):
     assert got == [difflib.SequenceMatcher(None, norm(a), norm(b)).ratio() for a, b in pairs]
     assert all(x.s <= x.u + 1e-9 for x in df.select(udfs.similarity("a", "b").alias("s"), udfs.ratio_bound(text.clean("a"), text.clean("b")).alias("u")).collect())
     assert udfs.slug_of("Café & Co {{x}} 2026", "ABC-1234567890xyz") == "cafe-and-co-2026-4567890xyz"
-    assert udfs.slug_of("भर्ती", "").startswith("post-")
-    assert len(udfs.slug_text("word " * 60)) <= 130
+    assert udfs.slug_of("भर्ती", "") == "recruitment-" + hashlib.sha1("भर्ती".encode()).hexdigest()[:8]
+    assert udfs.slug_of("भर्तियां परीक्षा 2026", "x1") == "recruitments-exam-2026-x1" and udfs.slug_of("", "") == "update"
+    assert udfs.slug_of("あ 2025", "") == "2025-" + hashlib.sha1("あ 2025".encode()).hexdigest()[:8]
+    assert udfs.slug_of("あ", "Ab-9", "Latest Jobs", "2027") == "latest-jobs-2027-ab9"
+    assert len(udfs.slug_of("word " * 60, "1234567890")) == 130 - 1 + 11
     assert udfs.json_object_of('```json\n{"a": [1, 2,], "b": "}"}\n```') == '{"a": [1, 2], "b": "}"}'
     assert udfs.json_object_of("no object") is None and udfs.json_object_of("{broken") is None
-    assert udfs.join_glyphs("भ र ् ती abc d") == "भर्" + " ती abc d" or udfs.join_glyphs("abc d") == "abc d"
+    assert udfs.join_glyphs("विज्ञा पन संख्या में abc d") == "विज्ञापन संख्या में abc d"
+    assert udfs.join_glyphs("सहा यक पद के लिए आवेदन") == "सहायक पद के लिए आवेदन" and udfs.join_glyphs("9म न") == "9म न"
 
 
 def test_links(spark):
@@ -279,6 +286,8 @@ def test_adapters(spark):
     assert [(c.advertisement_no, c.title, str(c.start), str(c.last)) for c in cards] == [("CRPD/2026/1", "Clerk Recruitment", "2026-08-01", "2026-08-31")]
     best = adapters.best_text([F.lit("a" * 130), F.lit("b" * 200), F.lit("c")], [F.lit(0.5), F.lit(0.5), F.lit(0.9)])
     assert spark.range(1).select(best).first()[0] == "a" * 130
+    recognised = adapters.best_text([F.lit("a b c d " * 40), F.lit("word " * 60)], [F.lit(0.9), F.lit(0.1)])  # good, but of short words
+    assert spark.range(1).select(recognised).first()[0] == "word " * 60
 
 
 def test_editor_rules(spark):
@@ -336,13 +345,115 @@ def test_lookups(spark):
     assert sorted((r.k or "", r.v) for r in lookup.lookup(df, names, "k", "v", "-").collect()) == [("", "-"), ("a", "A"), ("z", "-")]
     assert column(spark, ["a", "q", None], lambda x: lookup.literal_lookup(x, {"a": "1"}, "?")) == ["1", "?", "?"]
     assert column(spark, ["Last Date and date, update"], lambda x: lookup.localise(x, {"date": "D", "last date": "LD"})) == ["LD and D, update"]
-    notices = spark.createDataFrame([(1, "Junior Clerk Recruitment", "x"), (2, "Other thing", "y")], "ord long, title string, organisation string")
-    links = spark.createDataFrame([("x", "Clerk advertisement junior", "u1"), ("x", "clerk", "u2.pdf"), ("y", "clerk junior", "u3.pdf")], "organisation string, title string, url string")
-    assert [tuple(r) for r in lookup.official_pdf(notices, links).collect()] == [(1, "u2.pdf", 13)]
-    row = spark.createDataFrame([("d" * 6000, "s", "c", "a.html", "u", "u")], "description string, summary string, content string, notification_pdf string, apply_link string, url string")
+    notices = spark.createDataFrame([(1, "Recruitment of Law Officer by BOB 2026"), (2, "Law Officer of PNB")], "ord long, title string")
+    offered = [("bob", "Law Officer advertisement", "https://x.in/advt1.pdf"), ("bob", "Result of law officer", "https://x.in/r.pdf"), ("bob", "Contact", "https://x.in/c")]
+    offered = spark.createDataFrame([(o, t, "", u) for o, t, u in offered], "organisation string, title string, around string, url string")
+    assert [tuple(r) for r in lookup.official_pdf(notices, offered).collect()] == [(1, "https://x.in/advt1.pdf", 68)]
+    row = spark.createDataFrame([("Clerk [Last Date: 1/2/2026]", "d" * 6000, "c", "a.html", "https://u/", "https://u", "12")], "title string, description string, content string, notification_pdf string, apply_link string, url string, vacancy string")
     got = lookup.reader_view(row).first()
-    assert (len(got.source_description), got.description, got.notification_pdf, got.apply_link) == (5000, "s", "", "")
+    assert (got.title, got.description, got.content) == ("Clerk", "Clerk. Total vacancies: 12", "Clerk. Total vacancies: 12")
+    assert (len(got.source_description), got.notification_pdf, got.apply_link) == (5000, "", "")
     report = lookup.execution_report(notices, df.limit(1), "2026-01-01").first()
     assert tuple(report) == ("success", 2, 1, "2026-01-01")
     src = spark.range(5).withColumnRenamed("id", "ord")
     assert [[r.ord for r in lookup.rotation(src, b, 2).collect()] for b in (0, 2, 3)] == [[0, 1], [4], [0, 1]]
+
+
+def test_publishing_again_changes_nothing(spark):
+    rows = [(1, "Junior Officer Recruitment 2026, Delhi", "https://example.gov.in/recruitment/1"), (2, "Junior Officer Recruitment 2026! Delhi", "https://example.gov.in/recruitment/1")]
+    fresh = spark.createDataFrame(rows, "ord long, title string, url string")
+    once = pipeline.publish(fresh.limit(0), fresh, "2026-01-01")
+    assert [r.title for r in once["live"].collect()] == [rows[0][1]]
+    again = pipeline.publish(once["live"], fresh, "2026-01-01")
+    assert again["live"].collect() == once["live"].collect() and again["new"].count() == 0
+    changed = fresh.withColumns({"vacancy": F.lit("12"), "apply_link": F.lit("https://a.in/apply")})
+    third = pipeline.publish(again["live"], changed, "2026-01-01")
+    assert [(r.vacancy, r.apply_link) for r in third["live"].collect()] == [("12", "https://a.in/apply")]
+    gone = pipeline.publish(third["live"], changed.withColumn("last_date", F.lit("31-12-2025")), "2026-01-01")
+    assert gone["live"].count() == 1  # an expired row is dropped before the merge
+
+
+def test_sources_in_order_and_status(spark, tmp_path):
+    (tmp_path / "b.json").write_text('[{"name": "x", "enabled": false}]')
+    (tmp_path / "c.json").write_text('[{"name": "y"}]')
+    paths = [str(tmp_path / f"{k}.json") for k in "abc"]
+    assert [r.name for r in sources.first_sources(spark, paths).collect()] == ["y"]
+    assert sources.first_sources(spark, paths[:1]).count() == 0
+    pages = spark.createDataFrame([("u", "<p>", 200), ("u", "<p>", 404), ("a.PDF?x", "<p>", 200), ("u", "", 200)], "url string, html string, status int")
+    assert sources.readable(pages).count() == 1
+    names = lambda *x: spark.createDataFrame([(n,) for n in x], "name string")
+    got = {r.name: (r.links, r.notices, r.status) for r in sources.scan_status(names("a", "b", "c"), names("a", "a", "b"), names("a")).collect()}
+    assert got == {"a": (2, 1, "ok"), "b": (1, 0, "empty"), "c": (0, 0, "failed")}
+    (tmp_path / "x.html").write_text("12345")
+    assert [(r.name, r.size) for r in sources.listing(spark, str(tmp_path)).collect()] == [("x.html", 5)]
+    sources.write_index(spark.createDataFrame([("t",)], "title string"), str(tmp_path / "index"))
+    assert spark.read.json(str(tmp_path / "index" / "json")).count() == 1 and "searchData" in spark.read.text(str(tmp_path / "index" / "js")).first()[0]
+    sources.write_archive(spark.createDataFrame([(1, "A", "x"), (2, "a", "y")], "ord long, title string, description string"), str(tmp_path / "archive"))
+    assert [r.description for r in spark.read.parquet(str(tmp_path / "archive")).collect()] == ["x"]
+
+
+def test_plug_in_adapters_and_main_region(spark):
+    from noticeboard.sources import adapters
+
+    @sources.adapter("own")
+    def own(links):
+        return links.select("ord", "title", "url", F.lit("D").alias("department"), F.lit("C").alias("category"), F.lit("").alias("notification_pdf"))
+
+    try:
+        df = spark.createDataFrame([(1, "any", "u", "", "own"), (2, "Officer recruitment notification 2026", "https://x.in/1", "", None)], "ord long, title string, url string, page_url string, adapter string")
+        assert {r.ord: r.department for r in sources.scan(df).collect()} == {1: "D", 2: "Government"}
+    finally:
+        del sources.ADAPTERS["own"]
+    page = "<body><nav><a href='/n'>x</a></nav><main><a href='/m'>y</a></main></body>"
+    assert column(spark, [page, "<div class='big content'>z</div>", "none"], adapters.main_region) == ["<a href='/m'>y</a>", "z", ""]
+
+
+def test_page_details_and_verified_pdfs(spark):
+    html = "<body>Text <a href='/a.pdf'>Notice</a><a href='/apply'>Apply</a><a href='/r'>Result</a><a href='/b.pdf'>Other</a></body>"
+    pages = spark.createDataFrame([(1, "https://x.in/", html), (2, "https://x.in/n.PDF", ""), (3, "https://x.in/e", "")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in links.page_details(pages).collect()}
+    assert (got[1].notification_pdf, got[1].apply_link, got[1].result_url, got[1].syllabus_url) == ("https://x.in/a.pdf", "https://x.in/apply", "https://x.in/r", "")
+    assert got[2].notification_pdf == "https://x.in/n.PDF" and got[2].description.startswith("Official") and got[3].description == ""
+    edges = spark.createDataFrame([("s", "a", 5), ("s", "b", 9), ("a", "x.pdf", 1), ("b", "y.pdf", 3), ("b", "z.pdf", 2), ("y.pdf", "q.pdf", 9)], "src string, dst string, score int")
+    start = spark.createDataFrame([("s",)], "src string")
+    assert [tuple(r) for r in links.verified_pdfs(edges, start).collect()] == [("s", "y.pdf", 2)]
+    assert [tuple(r) for r in links.verified_pdfs(edges.where("dst <> 'b'"), start, pages=1).collect()] == [("s", "x.pdf", 2)]
+
+
+def test_post_pages_and_search_reports(spark):
+    df = spark.createDataFrame(
+        [(1, "Junior Officer Recruitment 2026", "j1", "12 posts", "as on 1.1.2026", "https://a.in", "javascript:x", "05-01-2026"), (2, "Login", "j2", "", "", "", "", "")],
+        "ord long, title string, job_id string, vacancy string, salary string, apply_link string, result_url string, last_date string",
+    )
+    pages = projections.post_page(df, "2026-06-01").collect()
+    assert [(p.ord, p.name) for p in pages] == [(1, "junior-officer-recruitment-2026-j1.html")]
+    assert "<td>12 posts</td>" in pages[0].html and "Salary" not in pages[0].html and "Result" not in pages[0].html and "Application Closed" in pages[0].html
+    card = df.select(projections.archive_card(df.columns).alias("c")).first()[0]
+    assert "Last Date: 05-01-2026" in card and "उपलब्ध नहीं" in card
+    items = spark.createDataFrame([(1, "Clerk exam", "Jobs", "", "", "", "u1"), (2, "Teacher exam", "Jobs", "", "", "", "u2")], "ord long, title string, category string, department string, state string, description string, url string")
+    assert [(r.title, r.featured) for r in search.best_match(items, "clerk exam").select("title", "featured").collect()] == [("Clerk exam", True)]
+    told = search.search_summary(items, "clerk exam").first()
+    assert (told.query, told.featured, told.did_you_mean) == ("clerk exam", "Clerk exam", "Clerk exam") and told["count"] >= 1
+    now = [0.0]
+    cache = search.ResultCache(10, clock=lambda: now[0])
+    first = cache.search(items, " clerk ")
+    assert cache.search(items, "clerk") is first
+    now[0] = 11.0
+    assert cache.search(items, "clerk") is not first and cache.search(items, " ").count() == 0
+
+
+def test_clean_lines_equal_a_plain_version(spark):
+    import os
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the driver's tables are not here")
+    rows = spark.read.parquet(path).select("text", text.clean_lines("text").alias("lines")).collect()
+    for r in rows:
+        want = []
+        for line in (r.text or "").split("\n"):
+            line = re.sub(r"[ \t\n\x0b\f\r]+", " ", re.sub(r"^[\s•●▪*>-]+", "", line, flags=re.A)).strip(" ")
+            solid = sum(c.isalnum() or unicodedata.category(c).startswith(("L", "N")) for c in line)
+            if line and not re.fullmatch(r"page \d+( of \d+)?", line.lower(), flags=re.A) and solid >= 0.35 * len(line):
+                want.append(line)
+        assert r.lines == [x for i, x in enumerate(want) if i == 0 or x != want[i - 1]]
