@@ -29,8 +29,8 @@ class NearDedup:
     ``bands`` bands of ``rows`` hashes make a pair at the threshold s candidates except with
     probability (1 - s ** rows) ** bands; a candidate is dropped early only if the posterior
     probability that it reaches the threshold is below ``miss``. What hubs
-    leave apart is compared in blocks of ``block`` signatures, with ``fine`` further hashes of a
-    byte each.
+    leave apart is compared in blocks of ``block`` signatures, with one bit of each of ``fine``
+    further hashes.
     """
 
     words: int = 5
@@ -40,7 +40,7 @@ class NearDedup:
     batch: int = 16
     miss: float = 1e-7
     block: int = 256
-    fine: int = 2048
+    fine: int = 4096
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -143,12 +143,18 @@ def surviving(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, batch:
 
 
 def fine_signatures(reps: DataFrame, docs: DataFrame, conf: NearDedup) -> DataFrame:
-    """``rep, fine``: the low bytes of further hashes of the documents ``reps(rep)``."""
+    """``rep, fine``: a scrambled bit of each of further hashes of the documents ``reps(rep)``.
+
+    A bit of the hash itself would be one of the shingle's, and not be drawn anew by each permutation.
+    """
 
     def make():
+        def bits(text: bytes) -> bytes:
+            least = signature(shingle_hashes(text, conf.words), conf.fine, 17).astype(np.uint64)
+            return np.packbits((mix64(least) >> U64(40)).astype(np.uint8) & 1).tobytes()
+
         def work(batch):
-            fine = [(signature(shingle_hashes(t, conf.words), conf.fine, 17) & 0xFF).astype(np.uint8).tobytes() for t in bytes_of(batch)]
-            return {"rep": batch.column("rep"), "fine": fine}
+            return {"rep": batch.column("rep"), "fine": [bits(t) for t in bytes_of(batch)]}
 
         return work
 
@@ -234,14 +240,14 @@ def _hub_pairs(buckets: DataFrame, heavy: DataFrame | None) -> DataFrame:
 def _blocks(torn: DataFrame, heavy: DataFrame | None, reps: DataFrame, docs: DataFrame, conf: NearDedup) -> DataFrame:
     """``key, block, members``: a bucket's largest component, and the rest of its members, in blocks.
 
-    Blocks of the largest component have odd numbers. A member knows the bucket's ``band`` and, as bits of
+    Blocks of the largest component have odd numbers; a bucket that fits in one block is one. A member knows the bucket's ``band`` and, as bits of
     ``met``, the bands of all its buckets that are compared.
     """
     sizes = torn.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
     largest = F.col("component") == F.col("main")
     parts = F.ceil(F.when(largest, F.col("most")).otherwise(F.col("all") - F.col("most")) / conf.block)
-    block = F.pmod(F.xxhash64("rep"), parts) * 2 + largest.cast("int")
+    block = F.when(F.col("all") <= conf.block, F.lit(0)).otherwise(F.pmod(F.xxhash64("rep"), parts) * 2 + largest.cast("int")).cast("bigint")
     named = spread_join(torn, main, "key", heavy).select("key", "rep", "component", "band", block.alias("block"))
     fine = materialise(fine_signatures(torn.select("rep").distinct(), docs, conf))
     met = torn.groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1L, band)")).alias("met"))
@@ -257,17 +263,20 @@ def _block_survivors(met: DataFrame, blocks: DataFrame, conf: NearDedup, skip: i
     rows. A pair must be of two components and not be ruled out by the signatures; it is given by the
     first of its common buckets only. ``left`` tells how many more there are.
     """
-    own = met.where("block = other").join(blocks, ["key", "block"]).withColumn("others", F.array().cast(blocks.schema["members"].dataType))
+    own = blocks.where("block % 2 = 0")  # in the first round each of them meets itself
+    if skip:
+        own = own.join(met.where("block = other").select("key", "block"), ["key", "block"], "left_semi")
+    own = own.withColumns({"other": F.col("block"), "others": F.array().cast(blocks.schema["members"].dataType)})
     two = met.where("block <> other").join(blocks, ["key", "block"])
     two = two.join(blocks.select("key", F.col("block").alias("other"), F.col("members").alias("others")), ["key", "other"])
     rows = own.unionByName(two)
     threshold = conf.percent / 100
-    by_byte = threshold + (1 - threshold) / 256  # two different hashes share their low byte so often
+    by_bit = threshold + (1 - threshold) / 2  # two different hashes share a bit so often
 
     def columns(members: list[dict]):
         rep, component, n = (np.array([m[k] for m in members], np.int64) for k in ("rep", "component", "n_shingles"))
         table = lambda k, kind: np.frombuffer(b"".join(m[k] for m in members), kind).reshape(len(members), -1)
-        return rep, component, n, table("sig", "<u4"), table("fine", np.uint8)
+        return rep, component, n, table("sig", "<u4"), np.unpackbits(table("fine", np.uint8), axis=1)
 
     def compare(members: list[dict], others: list[dict]) -> np.ndarray | None:
         """Rows of a, b, x, y, left; without ``others`` the members are compared with each other."""
@@ -280,7 +289,7 @@ def _block_survivors(met: DataFrame, blocks: DataFrame, conf: NearDedup, skip: i
         i, j = np.nonzero(may)
         alive = surviving(a, b, i, j, conf.batch, threshold, conf.miss)
         i, j = i[alive], j[alive]
-        alive = surviving(fine_a, fine_b, i, j, 256, by_byte, conf.miss)
+        alive = surviving(fine_a, fine_b, i, j, 256, by_bit, conf.miss)
         i, j = i[alive], j[alive]
         if not len(i):
             return None
