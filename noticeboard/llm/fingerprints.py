@@ -76,7 +76,8 @@ class Fingerprinter:
 
     Subset k at level L holds the lexicon terms whose k-th random value starts with L zero bits;
     at the level of a text, log2 of its terms, a subset holds about one of them. The fingerprint
-    has a hash of the sorted terms of each subset at that level and the ones beside it, so
+    has a hash of the sorted terms of each subset at that level and the ones beside it. The subsets are
+    drawn once for the corpus, at several rates; a text only chooses which rates it shows, so
     that edits that leave a subset's terms alone leave its hash alone. A text without terms in
     the band is shown by all its terms; one without any term has an empty fingerprint.
     """
