@@ -130,6 +130,7 @@ def deadline(columns: list[str], read=anchored) -> Column:
 
 def labelled_deadline(x: Column | str) -> Column:
     """A day-first date right behind an explicit deadline label."""
+    # fixed values: deadline labels
     label = r"(?:last\s*date|last\s*date\s*to\s*apply|application\s*(?:last\s*)?date|deadline|closing\s*date|apply\s*(?:online\s*)?(?:till|by|before)|अंतिम\s*तिथि|अंतिम\s*तारीख)"
     return anywhere(F.regexp_extract(F.lower(text(x)), label + r"\s*[:\-]?\s*(\d{1,2}[-/.]\d{1,2}[-/.]\d{4})", 1))
 

@@ -552,9 +552,16 @@ def candidate_rank(spark, sf_dir):
     return N.notices(spark, sf_dir).select("ord", lifecycle.rank_score("title", pdf, F.lit(""), F.lit("")).cast("int").alias("score"))
 
 
-@query("q_extract_details")
+@query("q_extract_details", """
+SELECT o_orderkey, CAST(o_orderkey % 30 + 20 AS VARCHAR) AS vacancy, 'Bachelor degree in science.' AS qualification, 'Rs ' || (o_orderkey * 10 + 1000) || ' - 90000' AS salary,
+  '18 to ' || (o_orderkey % 30 + 20) || ' years' AS age_limit, 'Rs 100' AS application_fee, 'Written test' AS selection_process, strftime(o_orderdate, '%d-%m-%Y') AS last_date,
+  '' AS application_start_date, '' AS exam_date FROM orders""")
 def extract_details(spark, sf_dir):
-    """Labelled facts from synthetic notice bodies built from orders."""
+    """Labelled facts from synthetic notice bodies built from orders.
+
+    The vacancy is the last plain number within 180 characters of the total, here the age: a number
+    before a full stop is not plain.
+    """
     k = F.col("o_orderkey")
     body = F.concat(
         F.lit("Total posts: "), (k % 900 + 1).cast("string"), F.lit(". Educational qualification: Bachelor degree in science. Pay scale: Rs "), (k * 10 + 1000).cast("string"),
