@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +96,14 @@ def given(docs: DataFrame, *names: str) -> list[F.Column]:
 
 
 _claims: dict[str, Callable[[], None]] = {}
+_last: list[str] = [""]
+
+
+def give_back() -> None:
+    """Return a worker's unused memory to the system: workers live on and serve other stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def claim(owner: str, clear: Callable[[], None] | None = None) -> None:
@@ -103,6 +114,10 @@ def claim(owner: str, clear: Callable[[], None] | None = None) -> None:
     """
     for other in [k for k in _claims if k != owner]:
         _claims.pop(other)()
+    if _last[0] != owner:
+        _last[0] = owner
+        gc.collect()
+        give_back()
     if clear:
         _claims[owner] = clear
 
@@ -124,6 +139,8 @@ def map_batches(
             out = work(batch)
             if out is not None:
                 yield to_batch(out, target)
+            del batch, out
+        give_back()
 
     return df.mapInArrow(run, schema)
 
