@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import _arrow_schema, claim, documents, texts_of, to_batch
-from .tokens import forget, json_encoder
+from .tokens import CACHE_PIECES, CHUNK_CHARS, forget, json_encoder
 
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
@@ -110,13 +110,16 @@ def pack_documents(
     window_tokens: int = 2048 * 1024,
     linear: float = 1.0,
     quadratic: float = 1.0 / 2048,
+    remembered: int = CACHE_PIECES,
+    chunk_chars: int = CHUNK_CHARS,
 ) -> DataFrame:
     """Pack every document's ids, closed by ``end_id``, into sequences of at most ``capacity`` tokens.
 
     Each task packs the documents it reads, in windows of ``window_tokens``: no shuffle, memory
     of one window, and a task run again makes the same rows. A document longer than a sequence
     is cut; a window's last pieces are cut where that closes a gap, so that only the last
-    sequences of a task have padding (less than ``capacity`` tokens in all).
+    sequences of a task have padding (less than ``capacity`` tokens in all). A worker remembers the
+    ids of about ``remembered`` pieces and encodes ``chunk_chars`` characters at once.
 
     One row for each piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     sequence_cost`` (the estimate for its whole sequence). Null and empty texts are a document of
@@ -127,7 +130,7 @@ def pack_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(__name__, forget)
-        encoder = json_encoder(tokenizer_file)
+        encoder = json_encoder(tokenizer_file, remembered, chunk_chars)
         packer = _Packer(TaskContext.get().partitionId(), capacity, window_tokens, linear, quadratic)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:

@@ -33,11 +33,12 @@ def pieces(text: str) -> list[str]:
 class PieceEncoder:
     """ids of whole texts as little-endian uint32 bytes, from an encoder of any text.
 
-    ``encode`` maps a text to its ids; ``lengths[id]`` is the number of bytes of an id.
+    ``encode`` maps a text to its ids; ``lengths[id]`` is the number of bytes of an id. About ``most``
+    pieces are remembered, and ``chunk`` characters treated at once: they set memory and time, not ids.
     """
 
-    def __init__(self, encode: Callable[[str], np.ndarray], lengths: np.ndarray):
-        self.encode, self.lengths, self.cache, self.first = encode, lengths, {}, {}
+    def __init__(self, encode: Callable[[str], np.ndarray], lengths: np.ndarray, most: int = CACHE_PIECES, chunk: int = CHUNK_CHARS):
+        self.encode, self.lengths, self.most, self.chunk, self.cache, self.first = encode, lengths, most, chunk, {}, {}
 
     def _learn(self, missing: list[str]) -> None:
         """Cache new pieces; a plain word with signs behind it is its word and its signs, as the pattern parts them."""
@@ -70,7 +71,7 @@ class PieceEncoder:
         for text in texts:
             chunk.append(text)
             size += len(text)
-            if size >= CHUNK_CHARS:
+            if size >= self.chunk:
                 yield from self._chunk(chunk)
                 chunk, size = [], 0
         yield from self._chunk(chunk)
@@ -82,7 +83,7 @@ class PieceEncoder:
             c[0] = ""
         need = set().union(*cut)
         need.discard("")
-        if len(self.cache) > CACHE_PIECES:
+        if len(self.cache) > self.most:
             self.cache = {p: self.cache[p] for p in need if p in self.cache}
         self.cache[""] = b""
         self._learn([p for p in need if p not in self.cache])
@@ -94,7 +95,7 @@ class PieceEncoder:
         if not head:
             return b""
         if (ids := self.first.get(head)) is None:
-            if len(self.first) > CACHE_PIECES // 8:
+            if len(self.first) > self.most // 8:
                 self.first = {}
             ids = np.asarray(self.encode(head), dtype="<u4").tobytes()
             if len(head) < 64:
@@ -102,7 +103,7 @@ class PieceEncoder:
         return ids
 
 
-_KEPT: dict[tuple[str, str], object] = {}
+_KEPT: dict[tuple, object] = {}
 
 
 def forget() -> None:
@@ -110,9 +111,9 @@ def forget() -> None:
     _KEPT.clear()
 
 
-def json_encoder(path: str) -> PieceEncoder:
+def json_encoder(path: str, most: int = CACHE_PIECES, chunk: int = CHUNK_CHARS) -> PieceEncoder:
     """The tokenizers library's file; strings of special tokens are ordinary text. One per worker."""
-    if ("json", path) not in _KEPT:
+    if ("json", path, most, chunk) not in _KEPT:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -123,8 +124,8 @@ def json_encoder(path: str) -> PieceEncoder:
         for token, i in vocab.items():
             lengths[i] = len(token)  # one character of the byte alphabet for each byte
         encode = lambda text: np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        _KEPT["json", path] = PieceEncoder(encode, lengths)
-    return _KEPT["json", path]
+        _KEPT["json", path, most, chunk] = PieceEncoder(encode, lengths, most, chunk)
+    return _KEPT["json", path, most, chunk]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -80,13 +80,15 @@ def test_piece_encoder_equals_the_library(spark):
     assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode_all(texts)] == [encoding.encode_ordinary(x) for x in texts]
 
 
-def test_small_piece_cache_changes_nothing(spark, monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_PIECES", 3)
-    monkeypatch.setattr(tokens, "CHUNK_CHARS", 40)
+def test_small_piece_cache_changes_nothing(spark):
     encoding, kept = tokens.rank_encoding(RANKS, P.PATTERN)
-    encoder = tokens.PieceEncoder(kept.encode, kept.lengths)
+    encoder = tokens.PieceEncoder(kept.encode, kept.lengths, most=3, chunk=40)
     texts = [" ".join(words(12, s, 30)) for s in range(40)]
     assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode_all(texts)] == [encoding.encode_ordinary(x) for x in texts]
+    assert len(encoder.cache) < len({p for x in texts for p in x.split()})
+    docs = table(spark, texts + ODD).coalesce(1)
+    whole, small = packing.pack_documents(docs, JSON), packing.pack_documents(docs, JSON, remembered=3, chunk_chars=40)
+    assert sorted(whole.collect()) == sorted(small.collect())
 
 
 def test_packing_loses_no_token(spark):
