@@ -81,11 +81,12 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokenise and pack what is left into sequences of 2048 tokens.
 
-    A null or empty text is its end token alone; each repeated row is packed.
+    A null or empty text is its end token alone; each repeated row is packed. Workers serve the
+    other stages too, so they remember fewer pieces than when packing alone.
     """
     import public_tokenizers as P
 
-    return pack_documents(docs, P.path("byte_bpe_50k.json"))
+    return pack_documents(docs, P.path("byte_bpe_50k.json"), remembered=600_000, chunk_chars=2_000_000)
 
 
 STAGES = [
