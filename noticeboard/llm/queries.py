@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from . import bpe, fingerprints, lines, media, near_dedup, packing, quality, secrets, substring_dedup, toxicity
+from . import bpe, divergence, fingerprints, lines, media, near_dedup, packing, pipeline, quality, secrets, substring_dedup, toxicity, transducer, whitening
 
 
 def queries() -> dict:
@@ -19,7 +17,10 @@ def queries() -> dict:
         "op8_i_match": fingerprints.op8_i_match,
         "op9_line_dedup": lines.op9_line_dedup,
         "op10_media_columns": media.op10_media_columns,
-        "pipeline": corpus_pipeline.run,
+        "op11_source_divergence": divergence.op11_source_divergence,
+        "op12_whitening": whitening.op12_whitening,
+        "op13_streaming_bpe": transducer.op13_streaming_bpe,
+        "pipeline": pipeline.run,
     }
 
 
@@ -29,5 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_substring_dedup": substring_dedup.OP5_SQL,
         "op7_secret_scan": secrets.OP7_SQL,
         "op9_line_dedup": lines.OP9_SQL,
+        "op11_source_divergence": divergence.OP11_SQL,
     }
-    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return found | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})

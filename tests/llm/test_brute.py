@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from test_llm import JSON, RANKS, SCHEMA, P, brute_spans, components, graded, shingles, table, words
 
-import corpus_pipeline
+from noticeboard.llm import pipeline as corpus_pipeline
 from noticeboard import storage
 from noticeboard.llm import bpe, fingerprints, lines, media, near_dedup, packing, quality, secrets, substring_dedup, toxicity
 from noticeboard.llm.common import dealt, heavy_keys, held_out, spread_join

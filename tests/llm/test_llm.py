@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
+from noticeboard.llm import pipeline as corpus_pipeline
 from noticeboard.llm import bpe, fingerprints, lines, media, near_dedup, packing, quality, secrets, substring_dedup, tokens, toxicity
 from noticeboard.llm.common import held_out, materialise
 from noticeboard.llm.components import connected_components
