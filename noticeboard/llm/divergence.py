@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import _arrow_schema, bytes_of, claim, documents, give_back, materialise, release, scratch
 
 #: Bytes of text in a block. A block's vocabulary, its automaton and its counts are bounded by it.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
 #: Rows of a table up to which it is broadcast; beyond that, joins shuffle and AQE splits skewed parts.
 BROADCAST_ROWS = 1 << 16
 #: Pairs of postings expanded at once, and sums that a task holds before it gives them out.
@@ -220,16 +220,17 @@ def source_divergence(docs: DataFrame, least_docs: int = 3, top_terms: int = 200
     with scratch() as keep:
         stage = materialise(staged(rows))
         texts, terms = stage.where("payload IS NOT NULL"), stage.where("term IS NOT NULL")
-        kept = materialise(terms.groupBy("lang", "term").agg(F.sum("n_docs").alias("n")).where(F.col("n") >= least_docs).select("lang", "term"))
-        vocabulary = terms.select("block", "lang", "term").join(kept, ["lang", "term"]).select("block", "lang", "term")
+        same = Window.partitionBy("lang", "term")  # a row a block, so few rows a term; it spills
+        known = terms.select("block", "lang", "term", F.sum("n_docs").over(same).alias("n"), (F.col("block") == F.min("block").over(same)).alias("first"))
+        vocabulary = materialise(known.where(F.col("n") >= least_docs).drop("n"))
         counted = recount(texts.select("block", "lang", "source", "payload", "n_bytes"), vocabulary)
         postings = materialise(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
         members = texts.select("lang", "source").distinct()
-        sizes = kept.groupBy("lang").agg(F.count("*").alias("v"))
+        sizes = vocabulary.where("first").groupBy("lang").agg(F.count("*").alias("v"))
         totals = postings.groupBy("lang", "source").agg(F.sum("n").alias("total"))
         groups = members.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").na.fill(0, ["total", "v"])
         groups = materialise(groups.withColumn("base", F.when(F.col("v") > 0, probability("0", "total", "v"))))
-        release(stage)
+        release(stage, vocabulary)
         of = sized(groups)
         posted = postings.join(of, ["lang", "source"]).withColumn("p", probability("n", "total", "v"))
         held = F.collect_list(F.struct("source", "p", "base")).alias("held")
@@ -240,6 +241,9 @@ def source_divergence(docs: DataFrame, least_docs: int = 3, top_terms: int = 200
         each = each.select("lang", F.col("term").alias("item"), "q", F.inline("held")).where("p > q")
         best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
         top = each.select("lang", "source", F.lit("term").alias("part"), "item", F.expr(gap("p", "q")).alias("value"))
+        top = top.withColumn("_part", F.pmod(F.xxhash64("item"), F.lit(PARTS)))  # first of a group's parts, so that a large group is not one task's
+        some = Window.partitionBy("lang", "source", "_part").orderBy(F.desc("value"), "item")
+        top = top.withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= top_terms).drop("_part")
         top = top.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_terms)
 
         wide = F.col("value").cast("decimal(38,0)")
