@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, dates, extract, records, text, udfs
 from ..functions import routes as R
 from ..functions import wordlists as W
-from ..operators import dedupe, keys, lifecycle, links, merge, projections, route, search, summary
+from ..operators import dedupe, dictionary, keys, lifecycle, links, merge, projections, route, search, summary
 from ..sources import adapters, scan, sitemap, table
 from . import notices as N
 
@@ -572,6 +572,20 @@ def extract_details(spark, sf_dir):
     return rows.select("o_orderkey", *(c.alias(n) for n, c in extract.details("body").items()))
 
 
+@query("q_dictionary_hits", """
+WITH keys AS (SELECT w AS key, min(item_id) AS item FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS w FROM benchmark) GROUP BY 1),
+hits AS (SELECT doc_id, w, item FROM (SELECT doc_id, unnest(regexp_extract_all(lower(regexp_replace(text, '[^ -~]', 'é', 'g')), '[a-z0-9_é]+')) AS w FROM documents) JOIN keys ON w = key)
+SELECT d.doc_id, CAST(count(h.w) AS INT) AS hits, CAST(count(DISTINCT h.w) AS INT) AS keys, min(CAST(h.item AS VARCHAR)) AS least FROM documents d LEFT JOIN hits h USING (doc_id) GROUP BY 1""")
+def dictionary_hits(spark, sf_dir):
+    """Every document against a dictionary of some thousand words: those of the benchmark, each with its first item."""
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("key")
+    words = table(spark, sf_dir, "benchmark").select("item_id", word).groupBy("key").agg(F.min("item_id").alias("value"))
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.regexp_replace("text", "[^ -~]", "é"))
+    found = dictionary.annotate(docs, "text", words)
+    least = F.array_min(F.transform("found", lambda x: x["value"]))
+    return found.select("doc_id", F.size("found").alias("hits"), F.size(F.array_distinct(F.transform("found", lambda x: x["key"]))).alias("keys"), least.alias("least"))
+
+
 # Search.
 
 ITEMS_SQL = "SELECT p_partkey AS ord, p_name AS title, p_type AS category, p_brand AS department, '' AS state, p_name || ' ' || p_type AS description, 'https://parts.example/' || (p_partkey % 1500) AS url FROM part"
