@@ -318,11 +318,17 @@ DETAIL_PLACEHOLDERS = (
     "", "not mentioned", "not available", "check official notification", "check notification", "official notification", "as per rules",
     "see official notification", "available", "none", "null", "n/a", "na", "उपलब्ध नहीं", "आधिकारिक अधिसूचना देखें", "आधिकारिक अधिसूचना में देखें",
 )
-DETAIL_FRAGMENTS = (
-    r"^\(?\s*as\s+on\b", r"^\(?\s*as\s+at\b", r"^\(?\s*c\.?\s*at\s+the\s+time\b", r"^\(?\s*at\s+the\s+time\s+of\b", r"^\(?\s*at\s+the\s+time\b",
-    r"^\s*[\W_]*rs\.?\s*\d{1,2}\s*$", r"^\s*(?:a|an|the|of|and|or|i|ii|iii|iv)\s*$", r"^\s*[.:;\-–—]+\s*$",
-)
-LONG_DETAILS = ("qualification", "salary", "age_limit", "application_fee", "selection_process")
+# Beginnings of values that were cut out of a sentence; words that say nothing alone.
+FRAGMENT_STARTS = ("as on", "as at", "c at the time", "c. at the time", "at the time of", "at the time")
+LONE_WORDS = ("a", "an", "the", "of", "and", "or", "i", "ii", "iii", "iv")
+TIMELINE_WORDS = ("as on", "registration opens", "important timeline")
+INSTRUCTION_WORDS = ("registration opens", "registration closes", "important timeline", "apply online now", "create an account")
+FREE_WORDS = ("free", "no fee", "nofee", "nil", "निशुल्क", "निःशुल्क", "शुल्क नहीं", "शुल्कनहीं")
+LINK_MARKS, SOCIAL_SITES = ("http://", "https://", "www."), ("facebook", "twitter", "instagram")
+DETAIL_CURRENCIES = ("₹", "rs", "inr")
+MONTH_STARTS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+SENT_ELSEWHERE = ("check official notification", "आधिकारिक अधिसूचना देखें")
+SCAN_FRAGMENTS, SCAN_MARKS, USUAL_SIGNS = ("ment Done", "Jiw", "Tfs", "Tfr"), "\\^`~", r".,:;!?()/%₹+\-&–—'\"\[\]"
 SELECTION_CHATTER = (
     "के संबंध में जानकारी", "परीक्षा कार्यक्रम", "प्रवेश पत्र", "आयोग की वेबसाइट", "वेबसाइट पर उपलब्ध", "information regarding",
     "exam programme", "download admit card", "visit the website", "for more information",
@@ -437,3 +443,13 @@ SECTION_CAPS = {
     "AUTO_LATEST_GRID": 24, "AUTO_LATEST_POSTS": 12, "AUTO_UK_JOBS": 15, "AUTO_CENTRAL_JOBS": 15, "AUTO_STATE_JOBS": 15,
     "AUTO_MARQUEE": 10, "AUTO_BREAKING": 10,
 }
+# Fixed values of readers' titles and lines: calls to click at a title's end, words before a deadline in brackets, what a line of navigation says.
+CLICK_WORDS, CLICK_OBJECTS, CLICK_VERBS = ("क्लिक", "click"), ("करें", "कर", "here", "to"), ("करें", "view", "apply", "download", "open")
+HERE_VERBS = ("apply", "view", "download", "read", "open")
+NOUNS_BEFORE_FOR = ("पाठ्यक्रम", "आवेदन", "ऑनलाइन", "विज्ञापन", "अधिसूचना", "सूचना", "परिणाम", "प्रवेश पत्र")
+SQUARE_DEADLINES, ROUND_DEADLINES = ("last date", "lastdate", "अंतिम तिथि", "अंतिम तारीख"), ("last date", "lastdate", "अंतिम तिथि")
+OPENING_WORDS, OPENING_LINKS = ("registration", "application"), ("from", "started from")
+PAGE_WORDS, PAGE_OF = ("page", "पृष्ठ"), ("of", "/", "में से")
+NAVIGATION_LINES = ("login", "register", "sign in", "home", "contact", "about", "privacy policy", "sitemap", "site map")
+INDEX_MARKS = ("go to index", "contents", "index")
+BULLETS, DECORATION = "•●▪◦‣►▸➤◆◇■□", "~`^_=+|<>#@%"
