@@ -39,11 +39,11 @@ case_query("q_values", C.VALUES, "Three value cleaners.")(
     lambda have: {"reader": text.reader_value("x"), "detail": records.clean_detail("x"), "structured": text.structured_value("x")}
 )
 case_query("q_detail_valid", C.DETAILS, "Which detail fields a value can stand in.")(lambda have: {k: records.is_detail("x", k) for k in C.DETAILS.outputs.split()})
-case_query("q_detail_sanitise", C.Cases("x", "kept", [(r[0], " ".join(r[0].split()) if r[3] else "-") for r in C.DETAILS.rows]), "A salary, or the fallback.")(
+case_query("q_detail_sanitise", C.Cases("x", "kept", [(r[0], " ".join(r[0].split()) if r[3] else "-") for r in C.DETAILS.rows], C.DETAILS.fill), "A salary, or the fallback.")(
     lambda have: {"kept": records.sanitise("x", "salary", "-")}
 )
 case_query("q_detail_usable", C.USABLE, "The adapters' test of extracted values.")(lambda have: {k: records.is_usable("x", k) for k in C.USABLE.outputs.split()})
-case_query("q_detail_better", C.Cases("x", "now other", [(r[0], r[0] if r[1] else "old", "old") for r in C.USABLE.rows]), "A vacancy of a document replaces a recruitment's.")(
+case_query("q_detail_better", C.Cases("x", "now other", [(r[0], r[0] if r[1] else "old", "old") for r in C.USABLE.rows], C.USABLE.fill), "A vacancy of a document replaces a recruitment's.")(
     lambda have: {"now": records.better(F.lit("old"), "x", "vacancy", F.lit("Recruitment")), "other": records.better(F.lit("old"), "x", "vacancy", F.lit("result"))}
 )
 case_query("q_corrupt", C.CORRUPT, "Values spoilt by character recognition.")(lambda have: {"corrupt": records.is_corrupt("x")})

@@ -20,7 +20,7 @@ def test_lines(spark):
 
 
 def test_document_lines_drop_furniture_and_repeats(spark):
-    body = "Header\r\nHeader\n---- ==== 7\nPage 1 of 2\n(a) First point\n\nok\nHeader\nव िभाग में\n.. 1 .. 2 .. ..\n5"
+    body = "Header\r\nHeader\n---- ==== 7\nPage 1 of 2\n(a) First point\n\nok\nHeader\nविभाग में\n.. 1 .. 2 .. ..\n5"
     assert told(spark, [body, None, ""], lambda x: F.array_join(reading.document_lines(x), "~")) == ["Header~7~First point~ok~Header~विभाग में~5", "", ""]
     assert told(spark, ["word " * 4000, None], reading.document_text) == [("word " * 4000)[:9000].strip(), ""]
 
