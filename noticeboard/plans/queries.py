@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, dates, extract, records, text, udfs
 from ..functions import routes as R
 from ..functions import wordlists as W
-from ..operators import dedupe, dictionary, keys, lifecycle, links, merge, projections, route, search, summary
+from ..operators import dedupe, dictionary, keys, lifecycle, links, merge, projections, route, search, similarity, summary
 from ..sources import adapters, scan, sitemap, table
 from . import notices as N
 
@@ -662,6 +662,26 @@ def related(spark, sf_dir):
     return search.related(_items(spark, sf_dir), SEARCH)
 
 
+def _headlines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Beginnings of documents as titles, and those of every hundredth document as queries, mistyped."""
+    head = F.regexp_replace(F.left(F.regexp_replace("text", r"\s+", " "), F.lit(48)), "[^a-zA-Z0-9 ]", "")
+    titles = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), head.alias("title"))
+    wrong = F.concat(F.substring("title", 2, 20), F.lit("x"), F.expr("substring(title, 23)"))
+    return titles.where("ord % 100 = 0").select(F.col("ord").alias("qid"), wrong.alias("query")), titles
+
+
+@query("q_did_you_mean_all")
+def did_you_mean_all(spark, sf_dir):
+    """The most similar of all headlines for each mistyped one; held against difflib over all pairs in the tests."""
+    return similarity.best_titles(*_headlines(spark, sf_dir)).select("qid", "query", "title", "ord", "ratio")
+
+
+@query("q_related_all")
+def related_all(spark, sf_dir):
+    """The first ten related headlines of each."""
+    return similarity.related_titles(*_headlines(spark, sf_dir), least=0.6).select("qid", "title", "ord", "ratio", "rank")
+
+
 @query("q_smart_search")
 def smart_search(spark, sf_dir):
     return search.smart_search(N.notices(spark, sf_dir), "railwey teacherjob").select("ord", "title", "score")
