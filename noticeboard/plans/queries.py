@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import classify, dates, extract, records, text, udfs
 from ..functions import routes as R
 from ..functions import wordlists as W
-from ..operators import dedupe, dictionary, keys, lifecycle, links, merge, projections, route, search, similarity, summary
+from ..operators import dedupe, dictionary, keys, lifecycle, links, merge, postings, projections, route, search, similarity, summary
 from ..sources import adapters, scan, sitemap, table
+from ..storage import shared_dir
 from . import notices as N
 
 QUERIES: dict = {}
@@ -637,6 +638,14 @@ def search_v2(spark, sf_dir):
     return search.search(_items(spark, sf_dir), SEARCH, version=2).select("ord", "title", "score")
 
 
+@query("q_search_stored", f"SELECT ord, title, CAST(score AS INT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY score DESC, ord) AS r FROM (SELECT *, {_score3_sql('anvil rod')} AS score FROM ({ITEMS_SQL})) WHERE score > 0) WHERE r = 1 ORDER BY score DESC, ord LIMIT 30")
+def search_stored(spark, sf_dir):
+    """The third scorer over a stored index of all items, built first."""
+    path = shared_dir(spark)
+    postings.build(_items(spark, sf_dir), path)
+    return postings.find(spark, path, "anvil rod").select("ord", "title", "score")
+
+
 @query("q_search_facets", f"SELECT ord, title FROM ({ITEMS_SQL}) WHERE contains(lower(category), 'prom') AND contains(lower(department), '1')")
 def search_facets(spark, sf_dir):
     return search.facet(search.facet(_items(spark, sf_dir), "category", "Prom"), "department", "1").select("ord", "title")
