@@ -23,6 +23,8 @@ SAFE_CUT = re.compile(r" (?=\S)")
 CACHE_PIECES, CHUNK_CHARS = 1_500_000, 4_000_000
 #: ASCII signs that the pattern parts from letters in front of them, and the end of the Latin letters.
 SIGNS, LATIN = ".,;:!?|", "\u0250"
+#: A word of Latin letters, not too long for a table of words, and the signs behind it.
+WORD = re.compile(f"([{''.join(re.escape(chr(i)) for i in range(ord(LATIN)) if chr(i).isalpha())}]{{1,48}})([{re.escape(SIGNS)}]*)")
 
 
 def pieces(text: str) -> list[str]:
@@ -30,6 +32,81 @@ def pieces(text: str) -> list[str]:
     return SAFE_CUT.split(text) if UNSAFE.search(text) else text.split(" ")
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The character that stands for each byte: itself if it is printable, else one behind U+0100, in order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+class WordMerger:
+    """Merges many words at once: words of one length are rows of a table, and each step merges in every row the pair of lowest rank.
+
+    Rows that have no pair left are done; all others have lost one token, so the table stays without gaps. Ranks are found
+    in a hash table of open addresses, for all rows together.
+    """
+
+    NONE, BITS, FACTOR = np.int64(1 << 40), 18, np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, pairs: list[tuple[int, int, int]], byte: list[int]):
+        """``pairs``: (left id, right id, new id) in rank order; ``byte``: id of each byte."""
+        self.bits = max(self.BITS, (4 * len(pairs)).bit_length())
+        self.byte, self.made = np.array(byte, np.int64), np.array([m for _, _, m in pairs], np.int64)
+        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self.NONE)
+        for rank, (a, b, _) in enumerate(pairs):
+            key = a << 32 | b
+            at = int(self._place(np.array([key]))[0])
+            while self.keys[at] not in (-1, key):
+                at = (at + 1) & (1 << self.bits) - 1
+            if self.keys[at] == -1:  # the earlier of equal pairs stays
+                self.keys[at], self.ranks[at] = key, rank
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * self.FACTOR >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << 32 | right
+        at = self._place(keys)
+        out = np.where(self.keys[at] == keys, self.ranks[at], self.NONE)
+        open_ = ((self.keys[at] != keys) & (self.keys[at] != -1)).nonzero()
+        while len(open_[0]):
+            at[open_] = (at[open_] + 1) & (1 << self.bits) - 1
+            told = self.keys[at[open_]]
+            out[open_] = np.where(told == keys[open_], self.ranks[at[open_]], out[open_])
+            go_on = (told != keys[open_]) & (told != -1)
+            open_ = tuple(x[go_on] for x in open_)
+        return out
+
+    def merge(self, words: list[bytes]) -> Iterator[tuple[list[int], bytes, int]]:
+        """(places of words, their ids one behind the other, bytes of ids a word), all words once."""
+        by_size: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by_size.setdefault(len(w), []).append(i)
+        for size, places in by_size.items():
+            at = np.array(places)
+            ids = self.byte[np.frombuffer(b"".join([words[i] for i in places]), np.uint8)].reshape(-1, size)
+            ranks = self.rank(ids[:, :-1], ids[:, 1:])
+            while len(at):
+                width = ids.shape[1]
+                best = ranks.argmin(axis=1) if width > 1 else np.zeros(len(at), np.int64)
+                lowest = ranks[np.arange(len(at)), best] if width > 1 else np.full(len(at), self.NONE)
+                done = lowest == self.NONE
+                if done.any():
+                    yield at[done].tolist(), ids[done].astype("<u4").tobytes(), 4 * width
+                    go_on = ~done
+                    at, ids, ranks, best, lowest = at[go_on], ids[go_on], ranks[go_on], best[go_on], lowest[go_on]
+                    if not len(at):
+                        break
+                rows, column = np.arange(len(at)), np.arange(width - 1)
+                ids = np.take_along_axis(ids, column + (column > best[:, None]), axis=1)
+                ids[rows, best] = self.made[lowest]
+                ranks = np.take_along_axis(ranks, column[:-1] + (column[:-1] >= best[:, None]), axis=1)
+                for shift in (-1, 0):  # the pairs left and right of the new token
+                    k = best + shift
+                    on = (k >= 0) & (k < width - 2)
+                    ranks[rows[on], k[on]] = self.rank(ids[rows[on], k[on]], ids[rows[on], k[on] + 1])
+
+
 class PieceEncoder:
     """ids of whole texts as little-endian uint32 bytes, from an encoder of any text.
 
@@ -37,23 +114,31 @@ class PieceEncoder:
     pieces are remembered, and ``chunk`` characters treated at once: they set memory and time, not ids.
     """
 
-    def __init__(self, encode: Callable[[str], np.ndarray], lengths: np.ndarray, most: int = CACHE_PIECES, chunk: int = CHUNK_CHARS):
-        self.encode, self.lengths, self.most, self.chunk, self.cache, self.first = encode, lengths, most, chunk, {}, {}
+    def __init__(self, encode: Callable[[str], np.ndarray], lengths: np.ndarray, most: int = CACHE_PIECES, chunk: int = CHUNK_CHARS, words: WordMerger | None = None):
+        self.encode, self.lengths, self.most, self.chunk, self.words, self.cache, self.first = encode, lengths, most, chunk, words, {}, {}
 
     def _learn(self, missing: list[str]) -> None:
         """Cache new pieces; a plain word with signs behind it is its word and its signs, as the pattern parts them."""
-        new, joined = {}, []
+        cache, told = self.cache, WORD.fullmatch
+        words, others, joined = {}, [], []
         for piece in missing:
-            word = piece.rstrip(SIGNS)
-            if word != piece and word.isalpha() and max(word) < LATIN:
-                joined.append((piece, word))
-                if word in self.cache:
-                    continue
-                piece = word
-            new[piece] = None
-        self._encode_new(list(new))
-        for piece, word in joined:
-            self.cache[piece] = self.cache[word] + self._head(piece[len(word) :])
+            if not (m := told(piece)):
+                others.append(piece)
+            elif m[2]:
+                joined.append((piece, m[1], m[2]))
+                if m[1] not in cache:
+                    words[m[1]] = None
+            else:
+                words[piece] = None
+        if self.words:  # a plain word is one match of the pattern, with the space before it
+            plain = list(words)
+            for places, raw, size in self.words.merge([b" " + p.encode() for p in plain]):
+                cache.update(zip([plain[i] for i in places], [raw[k : k + size] for k in range(0, len(raw), size)]))
+        else:
+            others += words
+        self._encode_new(others)
+        heads = {signs: self._head(signs) for signs in {s for _, _, s in joined}}
+        cache.update([(piece, cache[word] + heads[signs]) for piece, word, signs in joined])
 
     def _encode_new(self, missing: list[str]) -> None:
         if not missing:
@@ -119,12 +204,14 @@ def json_encoder(path: str, most: int = CACHE_PIECES, chunk: int = CHUNK_CHARS)
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            model = json.load(f)["model"]
+        vocab, rules = model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        words = WordMerger([(vocab[a], vocab[b], vocab[a + b]) for a, b in rules], [vocab[c] for c, _ in sorted(byte_alphabet().items(), key=lambda x: x[1])])
         lengths = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             lengths[i] = len(token)  # one character of the byte alphabet for each byte
         encode = lambda text: np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        _KEPT["json", path, most, chunk] = PieceEncoder(encode, lengths, most, chunk)
+        _KEPT["json", path, most, chunk] = PieceEncoder(encode, lengths, most, chunk, words)
     return _KEPT["json", path, most, chunk]
 
 

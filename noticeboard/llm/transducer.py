@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import claim, documents, map_batches, texts_of
-from .tokens import LATIN, SIGNS, pieces
+from .tokens import LATIN, SIGNS, byte_alphabet, pieces
 
 #: Characters read at once, and characters without a safe boundary from which a match is streamed by itself.
 BLOCK, LONG = 1 << 16, 1 << 12
@@ -31,13 +31,6 @@ NONE = 1 << 40
 COMMON = "԰"
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The character that stands for each byte: itself if it is printable, else one behind U+0100, in order."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
 def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
     """Bytes behind a token after which no continuation of the text can change it.
 

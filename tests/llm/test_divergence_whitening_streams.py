@@ -264,3 +264,16 @@ def test_small_memory_of_segments_changes_nothing(library):
     text = " ".join(words(400, 2)) + math.pi.hex()
     assert encoded(small, text, 50) == library.encode(text, add_special_tokens=False).ids
     assert len(small.segments) <= 3
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_words_merged_together_equal_words_merged_alone(bpe, seed):
+    from noticeboard.llm.tokens import WordMerger
+
+    r = random.Random(seed)
+    pairs = [(*p, bpe.made[rank]) for p, rank in sorted(bpe.rank.items(), key=lambda x: x[1])]
+    made = [bytes(r.choice(b"etaoin shrdlu\xc3\xa9") for _ in range(r.randrange(1, 30))) for _ in range(400)] + [b"aaaaaaaa", b"a", b"the"]
+    got = {}
+    for places, raw, size in WordMerger(pairs, bpe.byte).merge(made):
+        got |= {i: np.frombuffer(raw[k * size : (k + 1) * size], "<u4").tolist() for k, i in enumerate(places)}
+    assert [got[i] for i in range(len(made))] == [bpe.merge(w) for w in made]
