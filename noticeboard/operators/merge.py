@@ -84,9 +84,11 @@ def new_or_changed(old: DataFrame, new: DataFrame, key: str, compared: Sequence[
 
 
 def new_only(batch: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Rows whose key no known row has; of the batch's own repeats the first by ``ord``, where it has that column."""
+    """Rows whose key no known row has; of the batch's own repeats the first by ``ord``, or without that column the least row."""
     rows = batch.join(known.select(key).distinct(), key, "left_anti").select(batch.columns)
-    return dedupe.first_per_key(rows, key) if "ord" in batch.columns else rows
+    if "ord" in batch.columns:
+        return dedupe.first_per_key(rows, key)
+    return rows.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct(*rows.columns)).alias("_row")).select("_row.*")
 
 
 def union_known(live: DataFrame, archive: DataFrame) -> DataFrame:

@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import classify, dates, extract, records, text, udfs
+from ..functions import classify, dates, extract, reading, records, text, udfs
 from ..functions import routes as R
 from ..functions import wordlists as W
-from ..operators import dedupe, dictionary, keys, lifecycle, links, merge, postings, projections, route, search, similarity, summary
+from ..operators import blocks, dedupe, dictionary, keys, lifecycle, links, merge, postings, projections, route, search, similarity, store, summary
 from ..sources import adapters, scan, sitemap, table
 from ..storage import shared_dir
 from . import notices as N
@@ -573,6 +573,72 @@ def extract_details(spark, sf_dir):
     return rows.select("o_orderkey", *(c.alias(n) for n, c in extract.details("body").items()))
 
 
+@query("q_trusted_details", SQL["q_extract_details"].replace("'18 to ' || (o_orderkey % 30 + 20) || ' years' AS age_limit", "CASE WHEN o_orderkey % 2 = 0 THEN '21 years' ELSE '18 to ' || (o_orderkey % 30 + 20) || ' years' END AS age_limit"))
+def trusted_details(spark, sf_dir):
+    """Stored details stay where they can stand in their field, the others are read from the body: one scan of it."""
+    k = F.col("o_orderkey")
+    body = F.concat(
+        F.lit("Total posts: "), (k % 900 + 1).cast("string"), F.lit(". Educational qualification: Bachelor degree in science. Pay scale: Rs "), (k * 10 + 1000).cast("string"),
+        F.lit(" - 90000. Age limit: 18 to "), (k % 30 + 20).cast("string"), F.lit(" years. Application fee: Rs 100. Selection process: Written test. Last date to apply "),
+        F.date_format("o_orderdate", "dd-MM-yyyy"), F.lit("."),
+    )
+    stored = F.when(k % 2 == 0, "21 years").when(k % 3 == 0, "Not Mentioned").otherwise("years")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", body.alias("body"), stored.alias("age_limit"), F.lit("as on date").alias("vacancy"))
+    return extract.with_details(rows, "body", trusted=records.is_detail).select("o_orderkey", *extract.READERS)
+
+
+@query("q_document_lines")
+def document_lines(spark, sf_dir):
+    """The clean lines of every whole document: held against a plain version in the tests."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", reading.document_lines("text").alias("lines"))
+    return lines.select("doc_id", F.size("lines").alias("n_lines"), F.sha2(F.array_join("lines", "\n"), 256).alias("digest"))
+
+
+@query("q_link_contexts")
+def link_contexts(spark, sf_dir):
+    """Every link of every page with the text of the smallest block around it; held against a parser's tree in the tests."""
+    return blocks.link_contexts(table(spark, sf_dir, "pages"))
+
+
+@query("q_crawl")
+def crawl(spark, sf_dir):
+    """From each customer a bounded search over links that orders make; held against a plain queue in the tests."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    to = F.when(F.col("o_orderkey") % 13 == 0, F.concat(F.lit("f"), "o_orderkey", F.lit(".pdf"))).otherwise(F.concat(F.lit("c"), F.col("o_orderkey") % 149))
+    edges = o.select(F.concat(F.lit("c"), "o_custkey").alias("src"), to.alias("dst"), (F.col("o_orderkey") % 50).alias("score"))
+    return blocks.crawl(edges, table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("src")))
+
+
+@query("q_store_runs", "SELECT 'c' || c_custkey AS job_id, CASE WHEN c_custkey % 50 = 0 THEN c_name || ' new' ELSE c_name END AS title FROM customer")
+def store_runs(spark, sf_dir):
+    """Two runs into a copy-on-write store: all customers, then all again with every fiftieth changed."""
+    kept = store.Store(shared_dir(spark), "job_id")
+    rows = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("c"), "c_custkey").alias("job_id"), F.col("c_name").alias("title"), F.lit("").alias("publish_date"), F.lit(True).alias("is_valid_post"), F.col("c_custkey").alias("ord")
+    )
+    put = lambda old, new: merge.upsert(old, new, "job_id", ("title",))
+    kept.run(rows, put)
+    kept.run(rows.withColumn("title", F.when(F.col("ord") % 50 == 0, F.concat("title", F.lit(" new"))).otherwise(F.col("title"))), put)
+    return kept.read(spark).select("job_id", "title")
+
+
+HOME_JOBS = "CASE WHEN p_size % 3 = 0 THEN 'AUTO_UK_JOBS' WHEN p_size % 3 = 1 THEN 'AUTO_CENTRAL_JOBS' ELSE 'AUTO_STATE_JOBS' END"
+
+
+@query("q_homepage", f"""
+WITH caps AS (SELECT unnest({list(W.SECTION_CAPS)}) AS section, unnest({list(W.SECTION_CAPS.values())}) AS cap),
+placed AS (SELECT p_partkey AS ord, unnest(['AUTO_LATEST_GRID', 'AUTO_LATEST_POSTS', 'AUTO_MARQUEE', 'AUTO_BREAKING', {HOME_JOBS}]) AS section FROM part)
+SELECT section, ord, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY ord DESC) AS rank FROM placed) JOIN caps USING (section) WHERE rank <= cap""")
+def homepage(spark, sf_dir):
+    """The homepage's sections with their caps, newest first."""
+    part = table(spark, sf_dir, "part")
+    size = F.col("p_size") % 3
+    kind = F.when(size == 0, "Uttarakhand Jobs").when(size == 1, "SSC").otherwise("Recruitment")
+    title = F.concat_ws(" ", "p_name", F.lit("post"), F.col("p_partkey").cast("string"))
+    rows = part.select(F.col("p_partkey").alias("ord"), title.alias("title"), kind.alias("category"), F.lit("Police").alias("department"))
+    return route.homepage(rows, [F.desc("ord")]).select("section", "ord", F.col("rank").cast("int").alias("rank"))
+
+
 @query("q_dictionary_hits", """
 WITH keys AS (SELECT w AS key, min(item_id) AS item FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS w FROM benchmark) GROUP BY 1),
 hits AS (SELECT doc_id, w, item FROM (SELECT doc_id, unnest(regexp_extract_all(lower(regexp_replace(text, '[^ -~]', 'é', 'g')), '[a-z0-9_é]+')) AS w FROM documents) JOIN keys ON w = key)
