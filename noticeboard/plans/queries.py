@@ -13,7 +13,7 @@ from ..functions import classify, dates, extract, reading, records, text, udfs
 from ..functions import routes as R
 from ..functions import wordlists as W
 from ..operators import blocks, dedupe, dictionary, keys, lifecycle, links, merge, postings, projections, route, search, similarity, store, summary
-from ..sources import adapters, scan, sitemap, table
+from ..sources import adapters, connectors, scan, sitemap, table
 from ..storage import shared_dir
 from . import notices as N
 
@@ -622,6 +622,30 @@ def store_runs(spark, sf_dir):
     return kept.read(spark).select("job_id", "title")
 
 
+@query("q_source_scan", """
+SELECT 'pages' AS source, count(*) AS pages, CAST(sum(length(coalesce(html, ''))) AS BIGINT) AS chars, 'ok' AS status FROM pages HAVING count(*) > 0
+UNION ALL SELECT 'documents', 0, 0, 'failed' FROM documents HAVING count(*) > 0 UNION ALL SELECT 'absent', 0, 0, 'failed'""")
+def source_scan(spark, sf_dir):
+    """All pages through the data source of sources, beside a table without pages and a path that is not there."""
+    named = [(k, f"{sf_dir}/{k}.parquet") for k in ("pages", "documents", "absent")]
+    found = connectors.scan_outcome(connectors.source_pages(spark, named))
+    return found.select("source", "pages", "chars", "status")
+
+
+@query("q_page_sink", """
+SELECT 'page-' || page_id || '.html' AS name, sha256(CASE WHEN contains(url, '7') THEN html || '<!-- again -->' ELSE html END) AS digest,
+  CAST(count(*) FILTER (contains(url, '7')) OVER () AS BIGINT) AS written FROM (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages)""")
+def page_sink(spark, sf_dir):
+    """All pages written to a folder, then all once more with some changed: what stands there, and how many the second run wrote."""
+    path, html = shared_dir(spark), text.text("html")
+    rows = table(spark, sf_dir, "pages").withColumn("page", F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".html")))
+    connectors.write_changed(rows.select("page", html.alias("html")), path)
+    again = F.when(text.text("url").contains("7"), F.concat(html, F.lit("<!-- again -->"))).otherwise(html)
+    done = connectors.write_changed(rows.select("page", again.alias("html")), path)
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("digest"), F.lit(done["written"]).cast("bigint").alias("written"))
+
+
 HOME_JOBS = "CASE WHEN p_size % 3 = 0 THEN 'AUTO_UK_JOBS' WHEN p_size % 3 = 1 THEN 'AUTO_CENTRAL_JOBS' ELSE 'AUTO_STATE_JOBS' END"
 
 
