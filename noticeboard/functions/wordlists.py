@@ -443,6 +443,10 @@ SECTION_CAPS = {
     "AUTO_LATEST_GRID": 24, "AUTO_LATEST_POSTS": 12, "AUTO_UK_JOBS": 15, "AUTO_CENTRAL_JOBS": 15, "AUTO_STATE_JOBS": 15,
     "AUTO_MARQUEE": 10, "AUTO_BREAKING": 10,
 }
+# Fixed values of the older homepage: how many notices it takes, its sections' caps, and what a category says of central jobs.
+LEGACY_MOST = 30
+LEGACY_CAPS = {"latest_cards": 10, "latest_posts": 30, "uk_jobs": 10, "central_jobs": 10, "state_jobs": 10}
+LEGACY_CENTRAL = ("central", "upsc", "ssc", "railway", "bank")
 # Fixed values of readers' titles and lines: calls to click at a title's end, words before a deadline in brackets, what a line of navigation says.
 CLICK_WORDS, CLICK_OBJECTS, CLICK_VERBS = ("क्लिक", "click"), ("करें", "कर", "here", "to"), ("करें", "view", "apply", "download", "open")
 HERE_VERBS = ("apply", "view", "download", "read", "open")

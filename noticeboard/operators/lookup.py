@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import platform
 from collections.abc import Mapping
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,6 +109,24 @@ def execution_report(notices: DataFrame, failed: DataFrame, started: str) -> Dat
     return ok.withColumn("k", F.lit(1)).join(bad.withColumn("k", F.lit(1)), "k").select(status.alias("status"), "jobs", "failed_sources", F.lit(started).alias("started"))
 
 
+def health_report(notices: DataFrame, begun: float, now: float) -> DataFrame:
+    """One row on a run: when it ended (UTC), its notices, Python's version and system, and seconds since ``begun``; times in seconds since 1970."""
+    when = datetime.fromtimestamp(now, timezone.utc).replace(tzinfo=None).isoformat()
+    told = {"generated_at": when, "python_version": platform.python_version(), "platform": platform.system(), "runtime_seconds": round(now - begun, 2)}
+    return notices.agg(F.count("*").alias("total_jobs")).withColumns({k: F.lit(v) for k, v in told.items()})
+
+
+def failed_sources(sources: DataFrame, pages: DataFrame) -> DataFrame:
+    """``name, url, errors, error``: sources that gave no page, with the number of their errors and the least of them.
+
+    ``sources(name, url)``, ``pages(source, error)`` as the scan of sources gives them; a source without any row has none of these but has failed too.
+    """
+    good = F.count_if(F.col("error").isNull())
+    seen = pages.groupBy(F.col("source").alias("name")).agg(good.alias("_good"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.min("error").alias("error"))
+    rows = sources.select("name", "url").distinct().join(seen, "name", "left").where(F.coalesce("_good", F.lit(0)) == 0)
+    return rows.select("name", "url", F.coalesce("errors", F.lit(0)).alias("errors"), text("error").alias("error"))
+
+
 def rotation(sources: DataFrame, batch: int, size: int) -> DataFrame:
     """The sources of a run: batches of ``size`` in order of ``ord``, from 0, again from the start after the last."""
     n = sources.count()

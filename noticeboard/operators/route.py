@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, records
@@ -221,6 +221,24 @@ def homepage(df: DataFrame, order: list[Column], as_of: str | None = None) -> Da
     return dedupe.capped_sections(home_sections(rows, as_of), "section", W.SECTION_CAPS, order)
 
 
+def legacy_homepage(df: DataFrame, order: list[Column], files: DataFrame | None = None) -> DataFrame:
+    """The older homepage: ``section, rank`` and all columns of the first 30 notices by ``order``, which must have no ties.
+
+    Each notice is in both sections of latest updates and in the one of three of jobs that its category names. ``files(name)`` lists the pages there are:
+    a notice without one takes a place among the 30, but is shown nowhere. Of a page's notices the first stays, and each section has its cap.
+    """
+    have = df.columns
+    first = df.orderBy(*order).limit(W.LEGACY_MOST).withColumn("_link", projections.file_name(df))
+    first = first.withColumn("_at", F.row_number().over(Window.orderBy(*order)))  # of 30 rows
+    if files is not None:
+        first = first.join(files.select(F.col("name").alias("_link")).distinct(), "_link", "left_semi")
+    kind = F.lower(text("category"))
+    jobs = F.when(kind.contains("uttarakhand"), "uk_jobs").when(has_any(kind, W.LEGACY_CENTRAL), "central_jobs").otherwise("state_jobs")
+    rows = first.withColumn("section", F.explode(F.array(F.lit("latest_cards"), F.lit("latest_posts"), jobs)))
+    rows = dedupe.first_per_key(rows, "section", "_link", ord="_at")
+    return dedupe.capped_sections(rows, "section", W.LEGACY_CAPS, [F.col("_at")]).select("section", "rank", *have)
+
+
 def categories(df: DataFrame, order: list[Column], files: DataFrame | None = None, most: int = 50) -> DataFrame:
     """The category pages: no noise, pages that exist, the first of each title slug, routed, and ``most`` a page by ``order``."""
     rows = df.where(~classify.category_noise("title", records.words_of(df.columns, ("description", "content", "raw_text"))))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, records
 from ..functions import wordlists as W
 from ..operators import dedupe, keys, lifecycle, links, merge, orders, route, summary
-from ..schema import conform
+from ..operators.store import Store
+from ..schema import NOTICE, conform
 from ..storage import materialise
 
 
@@ -29,6 +30,29 @@ def prepare(fresh: DataFrame, as_of: str) -> DataFrame:
     return records.validate(dedupe.best_per_key(rows, "job_id"), as_of)
 
 
+def publish_into(live: Store, fresh: DataFrame, as_of: str) -> dict[str, int]:
+    """Merge a batch into a stored live table: ``version, touched, rewritten`` buckets; only buckets in which a row changed are written.
+
+    The rows of the buckets that the batch meets are judged anew before the merge, the others when they are read, by :func:`published`.
+    Publishing a batch again writes nothing. The store's key is ``job_id``.
+    """
+    return live.run(prepare(fresh, as_of), lambda old, new: merge.upsert(records.revalidate(conform(old)), new, "job_id", W.COMPARED_FIELDS))
+
+
+def published(live: Store, spark: SparkSession, as_of: str) -> dict[str, DataFrame]:
+    """``live, hidden, archive`` and the routed ``pages`` of a stored live table as of a day; expiry is judged when it is read, so no day rewrites rows."""
+    rows = live.read(spark)
+    return _outputs(records.revalidate(conform(spark.createDataFrame([], NOTICE) if rows is None else rows)), as_of)
+
+
+def _outputs(merged: DataFrame, as_of: str) -> dict[str, DataFrame]:
+    state = lifecycle.with_status(merged, as_of)
+    row = {k: F.col(k) for k in state.columns}
+    kept, hidden, archive = lifecycle.split(state, F.col("is_expired"), classify.is_publishable(row))
+    pages = route.categories(kept, orders.sort_columns(kept.columns, "category")).select("page", "job_id", "title", "rank")
+    return {"live": kept, "hidden": hidden, "archive": archive, "pages": pages}
+
+
 def publish(live: DataFrame, fresh: DataFrame, as_of: str) -> dict[str, DataFrame]:
     """Merge a batch and split the result: ``live``, ``hidden``, ``archive``, the routed ``pages``, ``new`` rows and ``counts``.
 
@@ -37,9 +61,5 @@ def publish(live: DataFrame, fresh: DataFrame, as_of: str) -> dict[str, DataFram
     """
     known, batch = records.revalidate(conform(live)), prepare(fresh, as_of)
     merged = materialise(merge.upsert(known, batch, "job_id", W.COMPARED_FIELDS))
-    state = lifecycle.with_status(merged.drop("change"), as_of)
-    row = {k: F.col(k) for k in state.columns}
-    kept, hidden, archive = lifecycle.split(state, F.col("is_expired"), classify.is_publishable(row))
-    pages = route.categories(kept, orders.sort_columns(kept.columns, "category")).select("page", "job_id", "title", "rank")
     new = merged.where("change <> 'kept'")
-    return {"live": kept, "hidden": hidden, "archive": archive, "pages": pages, "new": new, "counts": summary.counts(merged)}
+    return _outputs(merged.drop("change"), as_of) | {"new": new, "counts": summary.counts(merged)}

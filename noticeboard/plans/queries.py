@@ -663,6 +663,39 @@ def homepage(spark, sf_dir):
     return route.homepage(rows, [F.desc("ord")]).select("section", "ord", F.col("rank").cast("int").alias("rank"))
 
 
+@query("q_homepage_legacy", """
+WITH first AS (SELECT p_partkey AS ord, p_size AS page, CASE p_size % 4 WHEN 0 THEN 'uk_jobs' WHEN 3 THEN 'state_jobs' ELSE 'central_jobs' END AS job,
+  row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS place FROM part QUALIFY place <= 30),
+placed AS (SELECT *, unnest(['latest_cards', 'latest_posts', job]) AS section FROM first WHERE page IN (SELECT n_nationkey FROM nation)),
+kept AS (SELECT section, arg_min(ord, place) AS ord, min(place) AS place FROM placed GROUP BY section, page)
+SELECT section, ord, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY place) AS r FROM kept)
+WHERE r <= CASE section WHEN 'latest_posts' THEN 30 ELSE 10 END""")
+def homepage_legacy(spark, sf_dir):
+    """The older homepage of parts by price; the pages there are go by nations' numbers, so some parts share a page and some have none."""
+    size = F.col("p_size")
+    kind = F.when(size % 4 == 0, "Uttarakhand Jobs").when(size % 4 == 1, "Railway Jobs").when(size % 4 == 2, "SSC").otherwise("Other State Jobs")
+    html = lambda n: F.concat(F.lit("p"), n.cast("string"), F.lit(".html"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("title"), kind.alias("category"), html(size).alias("html_file"), "p_retailprice")
+    files = table(spark, sf_dir, "nation").select(html(F.col("n_nationkey")).alias("name"))
+    return route.legacy_homepage(rows, [F.desc("p_retailprice"), F.col("ord")], files).select("section", "ord", F.col("rank").cast("int").alias("rank"))
+
+
+@query("q_entry_pages", """
+WITH s AS (SELECT s_suppkey AS id, CASE s_nationkey % 4 WHEN 0 THEN 'UKPSC' WHEN 1 THEN 'uksssc' ELSE s_name END AS name, CASE WHEN s_nationkey % 4 < 3 THEN 'uk' ELSE '' END AS adapter FROM supplier),
+p AS (SELECT unnest([0, 1]) AS k, unnest(['UKPSC', 'UKSSSC']) AS department, unnest(['https://psc.uk.gov.in/candidate-corner/recruitment', 'https://sssc.uk.gov.in/recruitment-notification/']) AS page_url)
+SELECT name, adapter, page_url, department, count(*) AS sources FROM (
+  SELECT name, adapter, page_url, department FROM s, p WHERE adapter = 'uk' AND (upper(name) = department OR upper(name) NOT IN ('UKPSC', 'UKSSSC'))
+  UNION ALL SELECT name, 'generic', 'https://example.in/' || id, 'Board' FROM s WHERE adapter = '') GROUP BY ALL""")
+def entry_pages(spark, sf_dir):
+    """Where the scans of suppliers as sources begin, and for how many each time."""
+    kind = F.col("s_nationkey") % 4
+    rows = table(spark, sf_dir, "supplier").select(
+        F.when(kind == 0, "UKPSC").when(kind == 1, "uksssc").otherwise(F.col("s_name")).alias("name"), F.concat(F.lit("https://example.in/"), F.col("s_suppkey").cast("string")).alias("url"),
+        F.when(kind < 3, "uk").otherwise("").alias("adapter"), F.lit("Board").alias("department"),
+    )
+    return adapters.entry_pages(rows).groupBy("name", "adapter", "page_url", "department").agg(F.count("*").alias("sources"))
+
+
 @query("q_dictionary_hits", """
 WITH keys AS (SELECT w AS key, min(item_id) AS item FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS w FROM benchmark) GROUP BY 1),
 hits AS (SELECT doc_id, w, item FROM (SELECT doc_id, unnest(regexp_extract_all(lower(regexp_replace(text, '[^ -~]', 'é', 'g')), '[a-z0-9_é]+')) AS w FROM documents) JOIN keys ON w = key)

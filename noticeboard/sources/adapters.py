@@ -89,11 +89,48 @@ def by_rule(name: Column, make) -> Column:
     return out
 
 
+# Sources whose adapter reads pages of its own, whatever their address: by name, then department and page.
+ENTRY_PAGES = {
+    "uk": {
+        "ukpsc": ("UKPSC", "https://psc.uk.gov.in/candidate-corner/recruitment"),
+        "uksssc": ("UKSSSC", "https://sssc.uk.gov.in/recruitment-notification/"),
+    },
+}
+
+
+def entry_pages(sources: DataFrame) -> DataFrame:
+    """``name, adapter, page_url, department`` of the pages where a scan of ``sources(name, url, adapter)`` begins.
+
+    A source of an adapter with pages of its own is routed by its name, in any case: to the page of that name, or to all of them, in
+    order, if none has it. Any other source begins at its address. Rows without an adapter are generic; a given ``department`` stays.
+    """
+    kind, given = F.coalesce(F.nullif(text("adapter"), F.lit("")), F.lit("generic")), text("department") if "department" in sources.columns else F.lit("")
+    at = lambda page, label: F.struct(page.alias("page_url"), label.alias("department"))
+    starts = F.when(F.lit(False), F.array(at(text("url"), given)))
+    for rule, pages in ENTRY_PAGES.items():
+        fixed = {name: at(F.lit(page), F.lit(label)) for name, (label, page) in pages.items()}
+        for name, start in fixed.items():
+            starts = starts.when((kind == rule) & (F.lower(text("name")) == name), F.array(start))
+        starts = starts.when(kind == rule, F.array(*fixed.values()))
+    rows = sources.select("name", kind.alias("adapter"), F.explode(starts.otherwise(F.array(at(text("url"), given)))).alias("_at"))
+    return rows.select("name", "adapter", "_at.*")
+
+
 def department(rule: str) -> Column:
-    """The department of a link's site, by host; the rule's first where a link has another."""
+    """The department of a link's site, by host; the rule's first where a link has another.
+
+    Where an adapter has pages of its own, the department that :func:`entry_pages` gave a link goes first.
+    """
     sites = RULES[rule][2]
+    if rule in ENTRY_PAGES:
+        label = by_host(sites)
+        return F.when(text("department").isin(*(d for d, _ in ENTRY_PAGES[rule].values())), F.col("department")).otherwise(label)
     if rule == "generic":
         return F.coalesce(F.nullif(text("department"), F.lit("")), F.lit("Government"))
+    return by_host(sites)
+
+
+def by_host(sites: dict[str, str]) -> Column:
     host = F.regexp_extract(text("page_url"), r"^[a-z]+://([^/?#]+)", 1)
     label = F.lit(next(iter(sites.values())))
     for site, value in sites.items():
