@@ -71,7 +71,9 @@ def upsert(old: DataFrame, new: DataFrame, key: str, compared: Sequence[str]) ->
     for k in compared:
         differs = differs | (text(F.col(f"o.{k}")) != text(combined(k)))
     added, absent = F.col(f"o.{key}").isNull(), F.col(f"n.{key}").isNull()
-    state = F.when(added, "added").when(absent | ~differs, "kept").otherwise("updated")
+    # told once a row in a projection of its own, as all columns read it
+    both = both.withColumn("_change", F.when(added, "added").when(absent | ~differs, "kept").otherwise("updated"))
+    state = F.col("_change")
     pick = lambda k: F.when(state == "added", F.col(f"n.{k}")).when(state == "kept", F.col(f"o.{k}")).otherwise(combined(k))
     return both.select(*(pick(k).alias(k) for k in old.columns), state.alias("change"))
 
