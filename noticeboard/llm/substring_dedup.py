@@ -358,7 +358,9 @@ def index_batch(index: FingerprintIndex, docs: DataFrame) -> tuple[DataFrame, Da
     release(wide)
     fresh = texts.where("known_id IS NULL OR first_id < known_id")
     found = index.add(fresh.select(F.explode("fps").alias("fp"), F.col("first_id").alias("owner")), fresh.select("text_hash", "first_id"))
-    return rows, texts.select("text_hash", F.least("first_id", "known_id").alias("first_id"), "n"), found
+    told = materialise(texts.select("text_hash", F.least("first_id", "known_id").alias("first_id"), "n"))
+    release(texts)  # with all fps, which the run has now
+    return rows, told, found
 
 
 def removals(docs: DataFrame, rows: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
@@ -400,13 +402,14 @@ def dedup_batch(index: FingerprintIndex, docs: DataFrame, history: DataFrame | N
         return keep(removals(docs if history is None else docs.unionByName(_plain(history)), rows, texts, found))
 
 
-def dedup_substrings(docs: DataFrame, batches: int = 2) -> DataFrame:
+def dedup_substrings(docs: DataFrame, batches: int = 3, fan_out: int = 2) -> DataFrame:
     """Remove every word that a window covers whose words also start in a document of smaller id.
 
     Documents come in ``batches`` of ascending ids, as they would day by day; each is matched with
-    the index of all before it. A text whose words equal an earlier text's is decided by that
-    alone and is not indexed again. Windows are judged on the input. The index is dropped at the
-    end; :func:`dedup_batch` works on one that stays.
+    the index of all before it, and between batches ``fan_out`` runs of a level become one: by default
+    the third batch meets the first two as one compacted run. A text whose words equal an earlier text's
+    is decided by that alone and is not indexed again. Windows are judged on the input. The index is dropped
+    at the end, without a last compaction; :func:`dedup_batch` works on one that stays.
 
     One row a document: ``doc_id, n_words, n_removed, kept_sha256`` (kept words joined by one
     space). Null and empty texts have no words; texts under a window lose none. Rows with a null
@@ -416,10 +419,12 @@ def dedup_substrings(docs: DataFrame, batches: int = 2) -> DataFrame:
     spark, docs = docs.sparkSession, _plain(docs)
     with scratch() as keep:
         ends = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
-        index, parts = FingerprintIndex(spark, shared_dir(spark)), []
+        index, parts = FingerprintIndex(spark, shared_dir(spark), fan_out=fan_out), []
         for lo, hi in zip([None, *ends], [*ends, None]):
             batch = docs if lo is None else docs.where(F.col("doc_id") > lo)
             batch = batch if hi is None else batch.where((F.col("doc_id") <= hi) | (F.col("doc_id").isNull() & F.lit(lo is None)))
+            if parts:
+                index.compact()
             parts.append(index_batch(index, batch))
         rows, texts, found = parts[0]
         for more_rows, more_texts, more_found in parts[1:]:
