@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import apart, documents, materialise
+from .common import apart, copied, documents, heavy_counted, materialise
 
-#: Lines in all lists up to which they are broadcast, and the parts of a host beyond that.
-BROADCAST_LINES, SALTS = 1 << 20, 64
+#: Lines in all lists up to which they are broadcast: 8 MB of hashes.
+BROADCAST_LINES = 1 << 20
 
 
 def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, least_pages: int) -> DataFrame:
@@ -31,6 +31,16 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, least_page
     )
 
 
+def by_place(rows: DataFrame, heavy: DataFrame | None) -> DataFrame:
+    """``rows`` with ``_part``: 0, or for a heavy host one of its parts, by the row's place, so that copies of one text part too."""
+    if heavy is None:
+        return rows.withColumn("_part", F.lit(0))
+    placed = rows.withColumn("_at", F.monotonically_increasing_id())
+    placed = placed.join(F.broadcast(heavy), F.xxhash64("_host") == F.col("_heavy"), "left")
+    part = F.coalesce(F.pmod("_at", F.col("_parts")), F.lit(0)).cast("int")
+    return placed.withColumn("_part", part).select(*rows.columns, "_part")
+
+
 def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1, least_pages: int = 5) -> DataFrame:
     """``pages`` without lines that over ``ratio`` of the pages of their host contain.
 
@@ -38,21 +48,22 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     compared without outer spaces. All rows and columns stay, with ``lines_dropped`` more (a
     column of that name is kept as ``lines_dropped_in``); repeated rows are pages of their own. A page may be left with an empty text. Null texts stay null and drop nothing, yet count as
     pages; null hosts are one unnamed host. The lists of all hosts are counted and broadcast if
-    they are short (8 bytes a line); else a host's pages are dealt to ``SALTS`` copies of its list.
+    they are short (8 bytes a line); else pages are joined to their host's list, and those of a host with more than one in
+    1024 pages are dealt to as many copies of its list as it has 1024ths. Each page's lines meet the list once, as
+    hashed sets; a line is then looked up among the page's own hits.
     """
     pages = apart(pages, "lines_dropped")
     common = materialise(boilerplate(pages, host, text, ratio, least_pages))
-    rows = pages.select(F.struct(*pages.columns).alias("_page"), F.coalesce(F.col(host), F.lit("")).alias("_h"))
-    same = F.col("_h") == F.col("_host")
+    rows = pages.select(F.struct(*pages.columns).alias("_page"), F.coalesce(F.col(host), F.lit("")).alias("_host"))
     if (common.agg(F.sum(F.size("_lines"))).first()[0] or 0) <= BROADCAST_LINES:
-        joined = rows.join(F.broadcast(common), same, "left")
+        joined = rows.join(F.broadcast(common), "_host", "left")
     else:
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        salt = F.pmod(F.xxhash64(F.col("_page")[text]), F.lit(SALTS)).cast("int")
-        joined = rows.withColumn("_salt", salt).join(common.withColumn("_to", salts), same & (F.col("_salt") == F.col("_to")), "left")
+        heavy = heavy_counted(rows.groupBy("_host").agg(F.count("*").alias("_n")), "_host", "_n")
+        joined = by_place(rows, heavy).join(copied(common, "_host", heavy), ["_host", "_part"], "left")
     lines = F.split(F.col("_page")[text], "\n")
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_lines"), F.xxhash64(F.trim(x))), F.lit(False)))
-    joined = joined.withColumn("_kept", F.when(F.col("_lines").isNull(), lines).otherwise(kept))
+    joined = joined.withColumn("_hits", F.array_intersect(F.transform(lines, lambda x: F.xxhash64(F.trim(x))), "_lines"))
+    kept = F.filter(lines, lambda x: ~F.array_contains("_hits", F.xxhash64(F.trim(x))))
+    joined = joined.withColumn("_kept", F.when(F.size("_hits") > 0, kept).otherwise(lines))
     dropped = F.coalesce(F.size(lines) - F.size("_kept"), F.lit(0)).alias("lines_dropped")
     return joined.select(*((F.array_join("_kept", "\n") if c == text else F.col("_page")[c]).alias(c) for c in pages.columns), dropped)
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticeboard.llm import pipeline as corpus_pipeline
-from noticeboard.llm import bpe, fingerprints, lines, media, near_dedup, packing, quality, secrets, substring_dedup, tokens, toxicity
+from noticeboard.llm import bpe, common, fingerprints, lines, media, near_dedup, packing, quality, secrets, substring_dedup, tokens, toxicity
 from noticeboard.llm.common import held_out, materialise
 from noticeboard.llm.components import connected_components
 
@@ -232,8 +232,10 @@ def brute_substrings(texts):
     return out
 
 
-@pytest.mark.parametrize("batches", [1, 2, 3])
-def test_substring_dedup_equals_brute_force(spark, batches):
+@pytest.mark.parametrize("batches", [1, 2, 3, 5])
+def test_substring_dedup_equals_brute_force(spark, batches, monkeypatch):
+    met, add = [], substring_dedup.FingerprintIndex.add
+    monkeypatch.setattr(substring_dedup.FingerprintIndex, "add", lambda self, *x: met.append([r.level for r in self.runs]) or add(self, *x))
     r = random.Random(batches)
     passages = [words(n, 50 + n, 5000) for n in (49, 50, 51, 60, 120)]
     texts = [None, "", "short text"]
@@ -245,6 +247,7 @@ def test_substring_dedup_equals_brute_force(spark, batches):
     texts += [texts[10], texts[10] + "  ", " ".join(["same"] * 130), " ".join(["same"] * 90)]
     got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.dedup_substrings(table(spark, texts), batches).collect()}
     assert got == brute_substrings(texts)
+    assert met == [[], [0], [1], [1, 0], [2]][:batches]  # the runs that each batch met
 
 
 def test_index_matches_old_and_new_and_compacts(spark, tmp_path):
@@ -352,13 +355,16 @@ def test_private_keys_are_told_by_their_bodies(spark):
     assert text[20] == "cut\n[secret]\nNo key here." and text[21] == "k = '[secret]' # mine"
 
 
-def test_line_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("limit", [lines.BROADCAST_LINES, -1])
+def test_line_dedup_equals_brute_force(spark, limit, monkeypatch):
+    monkeypatch.setattr(lines, "BROADCAST_LINES", limit)
+    monkeypatch.setattr(common, "LEAST_ROWS", 4)  # beyond the limit each host is dealt to five parts
     r = random.Random(1)
-    common = ["menu", "footer line", " spaced "]
+    often = ["menu", "footer line", " spaced "]
     rows = []
     for i in range(60):
         host = f"h{i % 3}"
-        mine = [r.choice(common) for _ in range(r.randrange(3))] + [f"line {i} {j}" for j in range(3)] + [""]
+        mine = [r.choice(often) for _ in range(r.randrange(3))] + [f"line {i} {j}" for j in range(3)] + [""]
         r.shuffle(mine)
         rows.append((i, "\n".join(mine), "en", host, 0))
     docs = spark.createDataFrame(rows, SCHEMA)
