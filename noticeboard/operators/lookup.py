@@ -65,19 +65,32 @@ def official_score(title: Column | str, label: Column | str, around: Column | st
 def official_pdf(notices: DataFrame, links: DataFrame, least: int = 15) -> DataFrame:
     """``ord, pdf, score``: each notice's best link on the pages of the organisations that its title names.
 
-    ``notices(ord, title)``, ``links(organisation, title, around, url)``. A title meets an organisation by the
-    first word of its name, an equi-join, and must contain all of it. Of equal scores the link
+    ``notices(ord, title)``, ``links(organisation, title, around, url)``. A title meets an organisation if it has the first
+    word of its name and contains all of it: of a title's pieces, those that are as long as a name with one of its words first, and have that word
+    where such a name has it, are joined with the names, so only true meetings leave the join. Of equal scores the link
     with more text around it wins, then the larger address.
     """
-    first = lambda x: F.regexp_extract(F.lower(x), r"[\p{L}\p{N}]+", 0)
-    names = links.select("organisation").distinct().select("organisation", first(F.col("organisation")).alias("_word"))
+    low = F.lower("organisation")
+    first = F.regexp_extract(low, r"[\p{L}\p{N}]+", 0)
+    names = links.select("organisation", low.alias("_name"), first.alias("_word")).where("_word <> ''").distinct()
+    shape = F.struct(F.length("_name").alias("n"), F.instr("_name", F.col("_word")).alias("at"))
+    shapes = names.groupBy("_word").agg(F.collect_set(shape).alias("_shapes"))
     words = F.array_distinct(F.regexp_extract_all(F.lower(squeeze("title")), F.lit(r"[\p{L}\p{N}]+"), 0))
-    asked = notices.select("ord", F.col("title").alias("_title"), F.explode(words).alias("_word")).join(names, "_word")
-    asked = asked.where(F.contains(F.lower(squeeze("_title")), F.lower("organisation"))).select("ord", "_title", "organisation")
+    asked = notices.select("ord", F.col("title").alias("_title"), F.lower(squeeze("title")).alias("_low"), F.explode(words).alias("_word")).join(shapes, "_word")
+
+    def pieces(s: Column) -> Column:
+        """The title's pieces of a shape: none where the name is longer than the title."""
+        starts = F.when(F.length("_low") >= s["n"], F.sequence(F.lit(1), F.length("_low") - s["n"] + 1)).otherwise(F.array().cast("array<int>"))
+        fits = F.filter(starts, lambda i: F.substr("_low", i + s["at"] - 1, F.length("_word")) == F.col("_word"))
+        return F.transform(fits, lambda i: F.substr("_low", i, s["n"]))
+
+    met = asked.select("ord", "_title", "_word", F.explode(F.array_distinct(F.flatten(F.transform("_shapes", pieces)))).alias("_name"))
+    asked = met.join(names, ["_name", "_word"]).select("ord", "_title", "organisation")
     rows = asked.join(links.where((text("url") != "") & ~F.lower(text("url")).startswith("javascript:")), "organisation")
     size = F.length(F.concat_ws(" ", squeeze("title"), squeeze("around"), text("url")))
-    scored = rows.withColumns({"score": official_score("_title", "title", "around", "url"), "_size": size}).where(F.col("score") >= least)
-    best = scored.groupBy("ord").agg(F.max_by(F.struct("url", "score"), F.struct("score", "_size", "url")).alias("b"))
+    scored = rows.select("ord", "url", official_score("_title", "title", "around", "url").alias("score"), size.alias("_size"))
+    enough = F.col("score") >= least  # in the aggregate: a filter would tell the score once more
+    best = scored.groupBy("ord").agg(F.max_by(F.struct("url", "score"), F.when(enough, F.struct("score", "_size", "url"))).alias("b")).where("b IS NOT NULL")
     return best.select("ord", F.col("b.url").alias("pdf"), F.col("b.score").cast("int").alias("score"))
 
 
