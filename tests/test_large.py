@@ -4,7 +4,7 @@ import contextlib
 import io
 import re
 
-from noticeboard.operators import lookup
+from noticeboard.operators import links, lookup
 
 
 def plan(df) -> str:
@@ -28,3 +28,10 @@ def test_official_pdf_joins_whole_names(spark):
     told = {r["ord"]: r["pdf"] for r in out.collect()}
     assert told == {i: f"https://x.in/{max(ks)}.pdf" for i, ks in met.items() if ks}
     assert re.search(r"Join Inner, \(.*_name#", plan(out)), "titles and names meet by the whole name, not by a word that all may share"
+
+
+def test_card_links_tell_a_score_once(spark):
+    rows = spark.createDataFrame([(1, "Law Officer", "advertisement", "", "https://x.in/a.pdf#p", "https://x.in/"), (1, "Law Officer", None, None, "HTTPS://x.in/b", None), (2, "x", "y", "", "mailto:a", "")], "ord int, title string, label string, context string, url string, root string")
+    out = links.card_links(rows)
+    assert [(r["url"], r["score"], r["rank"]) for r in out.collect()] == [("https://x.in/a.pdf#p", 85, 1)]
+    assert plan(out).count("answer key") == 2, "two lists of terms hold it, each searched once a row"
