@@ -4,7 +4,9 @@ import contextlib
 import io
 import re
 
-from noticeboard.operators import links, lookup
+from pyspark.sql import functions as F
+
+from noticeboard.operators import links, lookup, similarity
 
 
 def plan(df) -> str:
@@ -35,3 +37,20 @@ def test_card_links_tell_a_score_once(spark):
     out = links.card_links(rows)
     assert [(r["url"], r["score"], r["rank"]) for r in out.collect()] == [("https://x.in/a.pdf#p", 85, 1)]
     assert plan(out).count("answer key") == 2, "two lists of terms hold it, each searched once a row"
+
+
+def test_headlines_read_the_start_alone(spark, tmp_path):
+    from noticeboard.plans import queries
+
+    texts = ["", None, "a" * 200, " \n\t" * 300 + "b c", "x \n y  " * 40, "π🙂 " * 60, "w" * 47 + "   \n z", "w" * 48 + " z", "short"]
+    spark.createDataFrame([(i * 100, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    _, titles = queries._headlines(spark, str(tmp_path))
+    whole = lambda t: re.sub("[^a-zA-Z0-9 ]", "", re.sub(r"[ \t\n\x0b\f\r]+", " ", t)[:48])
+    assert {r["ord"]: r["title"] for r in titles.collect()} == {i * 100: None if t is None else whole(t) for i, t in enumerate(texts)}
+
+
+def test_parts_are_not_put_together(spark):
+    titles = spark.createDataFrame([(i, f"title {i:04d} {'x' * (i % 40)}") for i in range(400)], "ord long, title string")
+    asked = titles.select(F.col("ord").alias("qid"), F.col("title").alias("query")).where("ord % 40 = 0")
+    plan = similarity.similar_titles(asked, titles, 0.6)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [bucket#") == 1 and plan.count("RepartitionByExpression [b#") == 1
