@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -14,16 +16,22 @@ from .udfs import join_glyphs, nfkc
 
 #: Of the characters of a line, the least share of letters and digits, and the most characters of a text.
 DENSITY, MOST = 0.35, 9000
+#: Lines that a worker holds as Python's at once.
+AT_ONCE = 1000
 #: The dashes that a search takes for a hyphen.
 DASHES = "–—"
 
 
 @cache
 def _glyph_lines():
-    def join(column: pd.Series) -> pd.Series:
-        return column.map(lambda lines: None if lines is None else [join_glyphs(x) for x in lines])
-
-    return F.pandas_udf(join, ArrayType(StringType()))
+    def join(texts: pa.Array) -> pa.Array:
+        """Lines are Python's for a thousand at a time, whatever the batch: an array of all lines of a batch takes many times its bytes."""
+        lines, sizes = texts.flatten(), pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False)
+        done = [pa.array([x if x is None else join_glyphs(x) for x in lines.slice(at, AT_ONCE).to_pylist()], pa.string()) for at in range(0, len(lines), AT_ONCE)]
+        starts = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+        return pa.ListArray.from_arrays(starts, pa.concat_arrays(done) if done else pa.array([], pa.string()), mask=texts.is_null())
+
+    return F.arrow_udf(join, ArrayType(StringType()))
 
 
 def without_repeats(lines: Column) -> Column:

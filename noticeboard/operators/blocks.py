@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -22,6 +22,8 @@ DOCUMENT_WORDS, APPLY_WORDS = ("advertisement",), ("apply online", "apply now",
 TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
 #: An element counts as a card's block up to this many characters of text, within so many ancestors.
 MOST, LEVELS = 4500, 8
+#: Pages whose elements a worker holds as Python's at once.
+AT_ONCE = 50
 
 
 def intervals(html: str) -> list[dict]:
@@ -64,8 +66,15 @@ def intervals(html: str) -> list[dict]:
 
 @cache
 def _intervals():
+    kind = pa.list_(pa.struct([("tag", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
+
+    def told(pages: pa.Array) -> pa.Array:
+        """Elements are Python's for a few pages at a time, whatever the batch."""
+        done = [pa.array([intervals(h or "") for h in pages.slice(at, AT_ONCE).to_pylist()], kind) for at in range(0, len(pages), AT_ONCE)]
+        return pa.concat_arrays(done) if done else pa.array([], kind)
+
     kinds = StructType([StructField("tag", StringType()), StructField("start", IntegerType()), StructField("stop", IntegerType())])
-    return F.pandas_udf(lambda pages: pages.map(lambda h: intervals(h or "")), ArrayType(kinds))
+    return F.arrow_udf(told, ArrayType(kinds))
 
 
 def elements(html: Column | str) -> Column:
