@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import table
+from ..sources import dealt, table
 
 KINDS = {"bool": "BOOLEAN", "int": "INTEGER", "string": "VARCHAR"}
 #: What a part gives to texts: by Spark and by SQL.
@@ -73,7 +73,8 @@ class Cases:
         names = self.inputs.split()
         which = (F.col("p_partkey") % len(self.rows) + 1).cast("int")
         pick = lambda i, n: F.element_at(F.array(*(self._column(n, r[i]) for r in self.rows)), which)
-        return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), *(pick(i, n).alias(n) for i, n in enumerate(names)))
+        part = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey")
+        return part.select(F.col("p_partkey").alias("ord"), *(pick(i, n).alias(n) for i, n in enumerate(names)))
 
     @property
     def sql(self) -> str:

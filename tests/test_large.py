@@ -54,3 +54,21 @@ def test_parts_are_not_put_together(spark):
     asked = titles.select(F.col("ord").alias("qid"), F.col("title").alias("query")).where("ord % 40 = 0")
     plan = similarity.similar_titles(asked, titles, 0.6)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression [bucket#") == 1 and plan.count("RepartitionByExpression [b#") == 1
+
+
+def tasks_with_rows(df) -> int:
+    return df.select(F.spark_partition_id().alias("task")).distinct().count()
+
+
+def parts(spark, tmp_path, n: int) -> str:
+    """A folder with ``part`` in one file of one row group."""
+    rows = spark.range(n).select(F.col("id").alias("p_partkey"), F.lit("small ring").alias("p_name"), F.lit("PROMO").alias("p_type"), F.lit("Brand#1").alias("p_brand"), F.col("id").cast("int").alias("p_size"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    return str(tmp_path)
+
+
+def test_cases_of_one_row_group_are_dealt(spark, tmp_path):
+    from noticeboard.plans import cases
+
+    rows = cases.TITLES.frame(spark, parts(spark, tmp_path, 400))
+    assert tasks_with_rows(rows) > 4 and rows.select("ord").distinct().count() == rows.count() == 400
