@@ -17,20 +17,30 @@ from . import wordlists as W
 from .text import c, clean
 
 
-def _vector(fn, kind: str = "string"):
-    """A column function from a row function of strings; nulls come in as empty strings."""
+def _vector(fn, kind: str = "string", once: bool = False):
+    """A column function from a row function of strings; nulls come in as empty strings. Equal inputs in a batch are told once."""
+
+    def told(*columns: pd.Series) -> pd.Series:
+        known: dict[tuple, object] = {}
+        out = []
+        for row in zip(*columns):
+            if row not in known:
+                known[row] = fn(*(x or "" for x in row))
+            out.append(known[row])
+        return pd.Series(out, dtype=object if kind == "string" else None)
 
     def apply(*columns) -> Column:
         def one(a: pd.Series) -> pd.Series:
-            return pd.Series([fn(x or "") for x in a], dtype=object if kind == "string" else None)
+            return told(a)
 
         def two(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([fn(x or "", y or "") for x, y in zip(a, b)], dtype=object if kind == "string" else None)
+            return told(a, b)
 
         def many(a: pd.Series, b: pd.Series, d: pd.Series, e: pd.Series) -> pd.Series:
-            return pd.Series([fn(*(x or "" for x in row)) for row in zip(a, b, d, e)], dtype=object if kind == "string" else None)
+            return told(a, b, d, e)
 
-        return F.pandas_udf({1: one, 2: two, 4: many}[len(columns)], kind)(*map(c, columns))
+        made = F.pandas_udf({1: one, 2: two, 4: many}[len(columns)], kind)
+        return (made.asNondeterministic() if once else made)(*map(c, columns))
 
     return apply
 
@@ -40,13 +50,31 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-_similar = _vector(ratio, "double")
+_similar = _vector(ratio, "double", once=True)
 
 
 def similarity(a: Column | str, b: Column | str) -> Column:
+    """Told once: without the mark the optimiser copies it into a filter on the result, below the column itself."""
     return _similar(clean(a), clean(b))
 
 
+def similarities(queries: list[str], text: Column) -> Column:
+    """The similarity of each of some cleaned queries to a cleaned text, in their order; a text is read once for all of them."""
+
+    def all_of(texts: pd.Series) -> pd.Series:
+        known: dict[str, list[float]] = {}
+        matcher = SequenceMatcher(None)
+        for t in texts.fillna("").unique():
+            matcher.set_seq2(t)
+            known[t] = []
+            for q in queries:
+                matcher.set_seq1(q)
+                known[t].append(matcher.ratio())
+        return texts.fillna("").map(known)
+
+    return F.pandas_udf(all_of, "array<double>").asNondeterministic()(text)
+
+
 def ratio_bound(a: Column, b: Column) -> Column:
     """No pair is more similar than its lengths allow: a filter to apply before :func:`similarity`."""
     total = F.length(a) + F.length(b)

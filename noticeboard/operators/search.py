@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, has_any, squeeze, text, tokens
-from ..functions.udfs import ratio_bound, similarity
+from ..functions.udfs import ratio_bound, similarities, similarity
 from ..functions.wordlists import SPELLING, SYNONYMS
 from .dedupe import first_per_key
 
@@ -122,10 +122,12 @@ def smart_search(items: DataFrame, query: str, limit: int = 20) -> DataFrame:
     An item is its slug, or its address where it has none. Expansions under two characters are left out.
     """
     tries = [q for q in expand(query) if len(q) >= 2]
-    scores = [score(items, q, 1) for q in tries]
+    made = {f"_{k}": v for k, v in _fields(items).items() if k in V1}
+    rows = items.withColumns(made).withColumn("_near", similarities(tries, F.col("_title")))  # cleaned once for all tries
+    scores = [_points({k[1:]: F.col(k) for k in made}, F.lit(q), V1) + F.floor(F.col("_near")[i] * 40).cast("int") for i, q in enumerate(tries)]
     best = F.greatest(*scores) if len(scores) > 1 else (scores[0] if scores else F.lit(0))
     key = F.coalesce(F.nullif(text("slug"), F.lit("")), text("url")) if "slug" in items.columns else text("url")
-    hits = items.withColumn("score", best).where(F.col("score") > 0).withColumn("_o", F.struct(-F.col("score"), "ord"))
+    hits = rows.withColumn("score", best).drop(*made, "_near").where(F.col("score") > 0).withColumn("_o", F.struct(-F.col("score"), "ord"))
     return first_per_key(hits, key, ord="_o").drop("_o").orderBy(F.desc("score"), "ord").limit(limit)
 
 

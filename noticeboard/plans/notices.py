@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import table
+from ..sources import dealt, table
 
 #: (title with # for the name, url, source, raw category, description)
 TEMPLATES = (
@@ -47,7 +47,7 @@ def quoted(s: str) -> str:
 
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One notice a part: ``ord`` and the template's columns."""
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.col("p_size").alias("size"))
+    part = dealt(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.col("p_size").alias("size")), "ord")
     which = (F.col("ord") % COUNT + 1).cast("int")
 
     def pick(i: int) -> Column:

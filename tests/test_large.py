@@ -72,3 +72,23 @@ def test_cases_of_one_row_group_are_dealt(spark, tmp_path):
 
     rows = cases.TITLES.frame(spark, parts(spark, tmp_path, 400))
     assert tasks_with_rows(rows) > 4 and rows.select("ord").distinct().count() == rows.count() == 400
+
+
+def test_smart_search_reads_a_title_once(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    from noticeboard.operators import search
+    from noticeboard.plans import notices
+
+    assert tasks_with_rows(notices.notices(spark, parts(spark, tmp_path, 400))) > 4
+    titles = ["Railway RRB  Technician", "rail", "RRB", "teacher of  rail", None, "", "x", "RRB", "ctet"]
+    items = spark.createDataFrame([(i, t, f"https://x.in/{i}", "Rail") for i, t in enumerate(titles)], "ord long, title string, url string, category string")
+    hits = search.smart_search(items, "railwey teacherjob")
+    assert len(re.findall(r"all_of\(|<lambda>\(|two\(", plan(hits).split("ArrowEvalPython")[1])) == 1 and plan(hits).count("ArrowEvalPython") == 1
+
+    def best(title):
+        t = " ".join((title or "").split()).lower()
+        return max((100 if t == q else 80 if t.startswith(q) else 60 if q in t else 0) + 30 * (q in "rail") + int(SequenceMatcher(None, q, t).ratio() * 40) for q in search.expand("railwey teacherjob"))
+
+    want = sorted(((-best(t), i) for i, t in enumerate(titles) if best(t) > 0))
+    assert [(-r.score, r.ord) for r in hits.select("ord", "score").collect()] == want
