@@ -48,7 +48,7 @@ def build(items: DataFrame, path: str, layout: Layout = Layout()) -> None:
     without an ``ord`` are left out; fields that are missing or null are empty.
     """
     rows = items.where("ord IS NOT NULL").withColumn("block", F.floor(F.col("ord") / layout.block).cast("bigint"))
-    rows.write.partitionBy("block").mode("overwrite").parquet(f"{path}/items")
+    rows.repartition("block").write.partitionBy("block").mode("overwrite").parquet(f"{path}/items")
     fields = search._fields(items)
     told = rows.select("ord", "block", F.explode(_grams(F.array(*(fields[f] for f in FIELDS)), layout.size)).alias("gram"))
     lists = told.groupBy("gram", "block").agg(F.array_sort(F.collect_set("ord")).alias("ords")).withColumn("bucket", _bucket(F.col("gram"), layout))

@@ -92,3 +92,16 @@ def test_smart_search_reads_a_title_once(spark, tmp_path):
 
     want = sorted(((-best(t), i) for i, t in enumerate(titles) if best(t) > 0))
     assert [(-r.score, r.ord) for r in hits.select("ord", "score").collect()] == want
+
+
+def test_items_are_dealt_and_a_block_is_one_file(spark, tmp_path):
+    import glob
+
+    from noticeboard.operators import postings
+    from noticeboard.plans import queries
+
+    items = queries._items(spark, parts(spark, tmp_path, 400))
+    assert tasks_with_rows(items) > 4
+    postings.build(items, f"{tmp_path}/index", postings.Layout(buckets=4, block=100))
+    assert len(glob.glob(f"{tmp_path}/index/items/block=*/*.parquet")) == 4
+    assert postings.find(spark, f"{tmp_path}/index", "ring", layout=postings.Layout(buckets=4, block=100)).count() == 30
