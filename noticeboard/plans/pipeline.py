@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, records
 from ..functions import wordlists as W
+from ..functions.text import strip
 from ..operators import dedupe, keys, lifecycle, links, merge, orders, route, summary
 from ..operators.store import Store
 from ..schema import NOTICE, conform
@@ -25,9 +26,14 @@ def parse(pages: DataFrame) -> DataFrame:
 
 
 def prepare(fresh: DataFrame, as_of: str) -> DataFrame:
-    """A batch as the merge takes it: optimised, the best row of each id by priority, complete and not expired."""
-    rows = records.optimise(conform(fresh)).where("is_valid_post")
-    return records.validate(dedupe.best_per_key(rows, "job_id"), as_of)
+    """A batch as the merge takes it: optimised, the best row of each id by priority, complete and not expired.
+
+    Only kind and id are told before repeats go; the other rules read the rows that are left.
+    """
+    rows = conform(fresh)
+    rows = rows.where(classify.classify_post(strip("title"), strip("url"), "description").isNotNull())
+    best = dedupe.best_per_key(rows, keys.job_id(strip("title"), strip("url")))
+    return records.validate(records.optimise(best), as_of)
 
 
 def publish_into(live: Store, fresh: DataFrame, as_of: str) -> dict[str, int]:

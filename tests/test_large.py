@@ -105,3 +105,11 @@ def test_items_are_dealt_and_a_block_is_one_file(spark, tmp_path):
     postings.build(items, f"{tmp_path}/index", postings.Layout(buckets=4, block=100))
     assert len(glob.glob(f"{tmp_path}/index/items/block=*/*.parquet")) == 4
     assert postings.find(spark, f"{tmp_path}/index", "ring", layout=postings.Layout(buckets=4, block=100)).count() == 30
+
+
+def test_rules_of_a_batch_read_rows_without_repeats(spark):
+    from noticeboard.plans import pipeline
+
+    fresh = spark.createDataFrame([(1, "Officer Recruitment 2026", "https://x.in/a", "aiims")], "ord long, title string, url string, source string")
+    told = plan(pipeline.prepare(fresh, "2026-06-01"))
+    assert "AIIMS" in told and "AIIMS" not in told.split("Aggregate", 1)[1], "departments are told behind the dedupe"
