@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from .text import reader_line, squeeze, strip, text
+from .text import read_line, repaired, single_spaced, squeeze, strip, text
 from .udfs import join_glyphs, nfkc
 
 #: Of the characters of a line, the least share of letters and digits, and the most characters of a text.
@@ -41,12 +41,29 @@ def without_repeats(lines: Column) -> Column:
     return F.transform(F.filter(pairs, lambda p: p["v"].isNotNull() & ~p["v"].eqNullSafe(p["w"])), lambda p: p["v"])
 
 
+@cache
+def _solid_lines():
+    def solid(texts: pa.Array) -> pa.Array:
+        """Mostly decorative lines are empty."""
+        lines = texts.flatten()
+        size, good = pc.utf8_length(lines), pc.utf8_length(pc.replace_substring_regex(lines, "[^A-Za-zऀ-෿0-9]+", ""))
+        kept = pc.or_(pc.less_equal(size, 2), pc.greater_equal(pc.cast(good, pa.float64()), pc.multiply(pc.cast(size, pa.float64()), DENSITY)))
+        sizes = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False)
+        starts = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+        return pa.ListArray.from_arrays(starts, pc.if_else(kept, lines, ""), mask=texts.is_null())
+
+    return F.arrow_udf(solid, ArrayType(StringType()))
+
+
 def document_lines(x: Column | str) -> Column:
-    """The clean lines of an extracted text, in order: Devanagari words joined, mostly decorative lines and repeats gone."""
-    raw = F.split(F.regexp_replace(text(x), r"\r\n?", "\n"), "\n")
-    lines = _glyph_lines()(F.transform(raw, reader_line))
-    solid = lambda v: (F.length(v) <= 2) | (F.length(F.regexp_replace(v, r"[^A-Za-zऀ-෿0-9]", "")) >= DENSITY * F.length(v))
-    return without_repeats(F.filter(lines, lambda v: (v != "") & solid(v)))
+    """The clean lines of an extracted text, in order: Devanagari words joined, mostly decorative lines and repeats gone.
+
+    No repair crosses lines, so a whole text is repaired at once; a step's result is told once for each line, as a lambda's expressions are told wherever they stand.
+    """
+    raw = F.split(repaired(F.regexp_replace(text(x), r"\r\n?", "\n")), "\n")
+    pairs = F.transform(F.transform(raw, single_spaced), lambda t: F.struct(t.alias("t"), F.lower(t).alias("low")))
+    lines = _solid_lines()(_glyph_lines()(F.transform(pairs, lambda p: read_line(p["t"], p["low"]))))
+    return without_repeats(F.filter(lines, lambda v: v != ""))
 
 
 def document_text(x: Column | str, most: int = MOST) -> Column:

@@ -116,6 +116,9 @@ def slug_of(title: str, job_id: str, category: str = "", year: str = "") -> str:
 slug = _vector(slug_of)
 
 
+_DEVANAGARI = re.compile(r"[\u0900-\u097F]")
+
+
 def _devanagari(token: str) -> str:
     return re.sub(r"[^\u0900-\u097F]", "", token)
 
@@ -129,7 +132,9 @@ def _belongs(left: str, right: str) -> bool:
 
 
 def join_glyphs(line: str) -> str:
-    """Devanagari words that text extraction has set apart, joined from the left; whole words stay apart."""
+    """Devanagari words that text extraction has set apart, joined from the left; whole words stay apart. A line without Devanagari has none."""
+    if not _DEVANAGARI.search(line):
+        return " ".join(line.split())
     out: list[str] = []
     for token in line.split():
         if out and _belongs(out[-1], token):

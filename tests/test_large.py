@@ -113,3 +113,59 @@ def test_rules_of_a_batch_read_rows_without_repeats(spark):
     fresh = spark.createDataFrame([(1, "Officer Recruitment 2026", "https://x.in/a", "aiims")], "ord long, title string, url string, source string")
     told = plan(pipeline.prepare(fresh, "2026-06-01"))
     assert "AIIMS" in told and "AIIMS" not in told.split("Aggregate", 1)[1], "departments are told behind the dedupe"
+
+
+def documents(spark, tmp_path, texts) -> str:
+    """A folder with ``documents`` in one file of one row group."""
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_lines_of_documents_are_dealt_and_rules_told_once(spark, tmp_path):
+    from noticeboard.plans import queries
+
+    out = queries.QUERIES["q_document_lines"](spark, documents(spark, tmp_path, ["first line\nsecond line"] * 400))
+    assert tasks_with_rows(out) > 4 and out.where("n_lines = 2").count() == 400
+    assert plan(out).count("&nbsp;") == 1 and plan(out).count("creen reader") == 1, "a line is repaired and looked over once"
+
+
+def in_full(x):
+    """A reader's line by each step on every line, as it was told before lines without their signs were passed over."""
+    from noticeboard.functions import text as T
+    from noticeboard.functions import wordlists as W
+
+    t = T.text(x)
+    for name, sign in T.ENTITIES.items():
+        t = F.replace(t, F.lit(name), F.lit(sign))
+    t = T.squeeze(F.regexp_replace(T.repair_mojibake(t), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " "))
+    low = F.lower(t)
+    gone = low.rlike("(?U)" + T.PAGE_LINE) | low.isin(*W.NAVIGATION_LINES) | T.has_any(low, W.READER_NOISE)
+    t = F.trim(T.without(T.squeeze(T._stepped(t, T.LINE_STEPS)), (T.LIST_MARK,)))
+    return F.when(gone, "").otherwise(T.trimmed(T.squeeze(T._stepped(t, T.LINE_ENDS)), r" \-–—|;,"))
+
+
+def test_lines_equal_all_steps_in_full(spark):
+    import random
+
+    from noticeboard.functions import reading
+    from noticeboard.functions import text as T
+    from noticeboard.functions import wordlists as W
+
+    r = random.Random(4)
+    spaces = [chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in "\n\r"]
+    odd = [*W.MOJIBAKE, *T.ENTITIES, *W.ZERO_WIDTH, *W.READER_NOISE, *W.BULLETS, *W.DECORATION, *spaces, *"|-–—;,/.:()âÂï\x00\x07\x1f", "&amp;lt;", "Index 4", "ındex 7", "CONTENTS12", "go to  index 3", "page 3 of 5"]
+    odd += ["पृष्ठ 2", "क/ख", "(क)", "iv)", "12.", "a)", "Login", "é", "İ", "ſ", "K", "🙂", "विज्ञा", "पन"]
+    plain = ["word", "ntst", "Of", "the", "7", "भर्ती", "naïve", "Â£5"]
+    lines = ["".join(r.choice(odd if r.random() < 0.4 else plain) + r.choice(["", " ", " ", "  "]) for _ in range(r.randrange(9))) for _ in range(4000)] + [o + " word" for o in odd] + ["word " + o for o in odd] + odd
+    rows = spark.createDataFrame(list(enumerate(lines)), "i int, x string").repartition(4)
+    told = rows.select("x", T.reader_line("x").alias("a"), in_full(F.col("x")).alias("b"), T.single_spaced("x").alias("s"), T.squeeze("x").alias("t")).collect()
+    assert [(x.x, x.a, x.s) for x in told] == [(x.x, x.b, x.t) for x in told] and len(told) == len(lines)
+    bodies = [r.choice(["\n", "\r\n", "\r"]).join(lines[i : i + 20]) for i in range(0, len(lines), 20)] + ["", None, "\n\n"]
+    solid = lambda v: (F.length(v) <= 2) | (F.length(F.regexp_replace(v, r"[^A-Za-zऀ-෿0-9]", "")) >= reading.DENSITY * F.length(v))
+
+    def lines_in_full(x):
+        raw = F.split(F.regexp_replace(T.text(x), r"\r\n?", "\n"), "\n")
+        return reading.without_repeats(F.filter(reading._glyph_lines()(F.transform(raw, in_full)), lambda v: (v != "") & solid(v)))
+
+    both = spark.createDataFrame(list(enumerate(bodies)), "i int, x string").select(reading.document_lines("x").alias("a"), lines_in_full(F.col("x")).alias("b")).collect()
+    assert [x.a for x in both] == [x.b for x in both] and sum(len(x.a) for x in both) > 1000
