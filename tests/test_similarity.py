@@ -99,3 +99,45 @@ def test_no_pair_leaves_a_task_but_results(spark):
     plan = similarity.similar_titles(asked, titles, 0.99)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert similarity.similar_titles(asked, titles, 0.99).count() == 10
+
+
+@pytest.mark.parametrize("limit", [1, 3])
+def test_rounds_give_the_first_related_and_end_with_enough(spark, monkeypatch, limit):
+    monkeypatch.setattr(similarity, "PART", 7)
+    monkeypatch.setattr(similarity, "FIRST", 12)
+    monkeypatch.setattr(similarity, "ASKED", 6)
+    met, pairs = [], similarity._pairs
+    monkeypatch.setattr(similarity, "_pairs", lambda texts, *rest: (met.append(texts.count()), pairs(texts, *rest))[1])
+    titles, queries = corpus(8, 150)
+    queries += ["unlike all others 0123456789", queries[0]]
+    t = spark.createDataFrame([(7 * i, x) for i, x in enumerate(titles)] + [(5000, titles[3].upper()), (5001, None), (-5, "zzz")], "ord long, title string").repartition(3)
+    q = spark.createDataFrame([*enumerate(queries), (100, None), (101, " ")], "qid long, query string")
+    squeeze = lambda x: " ".join(x.lower().split())
+    distinct = {"zzz": -5}
+    for i, x in enumerate(titles):
+        distinct.setdefault(squeeze(x), 7 * i)
+    want = {}
+    for i, x in enumerate(queries):
+        near = sorted((o, title, v) for title, o in distinct.items() if (v := difflib.SequenceMatcher(None, squeeze(x), title).ratio()) >= 0.6)[:limit]
+        want |= {(i, rank): pair for rank, pair in enumerate(near, 1)}
+    got = similarity.related_titles(q, t, 0.6, limit).collect()
+    assert {(r.qid, r["rank"]): (r.ord, r.title, r.ratio) for r in got} == want and len(got) == len(want)
+    assert len(met) > 2 and met == sorted(met, reverse=True) and met[0] > met[-1] > 0, "a query with enough titles goes to no later round"
+
+
+def test_a_block_ends_a_query_with_enough():
+    titles, queries = corpus(3, 90)
+    every, _ = similarity.block_pairs(queries, titles, 0.6)
+    some, told = similarity.block_pairs(queries, titles, 0.6, 2)
+    assert sorted(some) == sorted(x for q in range(len(queries)) for x in sorted((p for p in every if p[0] == q), key=lambda p: p[1])[:2])
+    assert told["found"] == len(some) < len(every)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3])
+def test_counts_of_grams(size):
+    texts = ["", "a", "ab", "abab", "भर्ती 🙂🙂🙂", "bbb"]
+    index = similarity.Index(texts, size)
+    asked = ["abab", "b🙂🙂", "", "zzz", "ती 🙂"]
+    grams = lambda t: {g: sum(t[i : i + size] == g for i in range(len(t))) for g in {t[i : i + size] for i in range(len(t) - size + 1)}}
+    assert index.common(asked).tolist() == [[sum(min(n, grams(t).get(g, 0)) for g, n in grams(q).items()) for t in texts] for q in asked]
+    assert similarity.Index([], size).common(["a"]).shape == (1, 0)
